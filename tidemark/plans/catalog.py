@@ -1,3 +1,3 @@
 """Imports every plan module."""
 
-from tidemark.plans import prices  # noqa: F401
+from tidemark.plans import prices, statements  # noqa: F401

@@ -153,3 +153,121 @@ FROM (
     GROUP BY 1, 2) n USING (entity_id, session_no))""",
 )
 cte("numbered_features", "SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY session_no) AS rn FROM features")
+
+cte(
+    "order_flows",
+    """SELECT CAST(c_nationkey AS BIGINT) AS entity_id, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter,
+  sum(CASE WHEN o_orderstatus = 'F' THEN CAST(round(o_totalprice * 100) AS BIGINT) ELSE 0 END) AS f,
+  sum(CASE WHEN o_orderstatus = 'O' THEN CAST(round(o_totalprice * 100) AS BIGINT) ELSE 0 END) AS o,
+  sum(CASE WHEN o_orderstatus = 'P' THEN CAST(round(o_totalprice * 100) AS BIGINT) ELSE 0 END) AS p, count(*) AS n
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
+)
+
+
+def _statement(flows: str, filing_days: int) -> str:
+    return f"""SELECT entity_id, period_end, period_end + {filing_days} AS filed_date,
+  CASE WHEN entity_id % 4 = 0 AND year(period_end) >= 1998 THEN 'RevenueFromContractWithCustomerExcludingAssessedTax' ELSE 'Revenues' END AS revenue_tag,
+  (f + o + p) / 100.0 AS revenue, f / 200.0 AS operating_income, (f * 5 - p * 4) / 500.0 AS net_income,
+  CASE WHEN n % 11 <> 0 THEN (f * 5 - p * 4) / 500.0 / (n * 1000.0) END AS eps_diluted,
+  (f + o) / 400.0 - abs(CASE WHEN n % 7 <> 0 THEN o / 800.0 END) AS free_cash_flow,
+  CASE WHEN n % 7 <> 0 THEN o / 800.0 END AS capex, p / 400.0 AS cash, o / 300.0 AS total_debt, n * 1000.0 AS shares_outstanding, (f + p) / 300.0 AS equity
+FROM ({flows})"""
+
+
+_D = "CAST(f AS DOUBLE) AS f, CAST(o AS DOUBLE) AS o, CAST(p AS DOUBLE) AS p, CAST(n AS DOUBLE) AS n"
+cte("quarter_statements", _statement(f"SELECT entity_id, CAST(quarter + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS period_end, {_D} FROM order_flows", 40))
+cte("reported_quarters", "SELECT * FROM quarter_statements WHERE month(period_end) <> 12 OR entity_id % 2 = 1")
+cte(
+    "annual_statements",
+    _statement(
+        f"""SELECT entity_id, make_date(y, 12, 31) AS period_end, {_D} FROM (
+  SELECT entity_id, year(quarter) AS y, sum(f) AS f, sum(o) AS o, sum(p) AS p, sum(n) AS n FROM order_flows GROUP BY 1, 2 HAVING count(*) = 4)""",
+        60,
+    ),
+)
+
+FLOW = ("revenue", "operating_income", "net_income", "eps_diluted", "free_cash_flow", "capex")
+STOCK = ("cash", "total_debt", "shares_outstanding", "equity")
+
+
+def family(tag: str) -> str:
+    return f"CASE WHEN {tag} LIKE 'RevenueFromContract%' THEN 'contract' WHEN {tag} = 'Revenues' THEN 'total' ELSE {tag} END"
+
+
+def _lags(names, n: int) -> str:
+    return ", ".join(f"lag({c}, {i}) OVER w AS {c}_{i}" for i in range(1, n + 1) for c in names)
+
+
+cte(
+    "fourth_quarters",
+    f"""SELECT a.entity_id, a.period_end, a.filed_date, a.revenue_tag,
+  {", ".join(
+      (f"CASE WHEN {family('a.revenue_tag')} = {family('q.revenue_tag')} AND {family('q.revenue_tag')} = {family('q.revenue_tag_1')} AND {family('q.revenue_tag_1')} = {family('q.revenue_tag_2')} THEN " if c == "revenue" else "CASE WHEN true THEN ")
+      + f"a.{c} - (q.{c}_2 + q.{c}_1 + q.{c}) END AS {c}" for c in FLOW)},
+  {", ".join("a." + c for c in STOCK)}
+FROM (SELECT *, lag(period_end) OVER (PARTITION BY entity_id ORDER BY period_end) AS prev_end FROM annual_statements) a
+JOIN (SELECT *, {_lags(("period_end", "revenue_tag") + FLOW, 2)}, lead(period_end) OVER w AS next_end FROM reported_quarters WINDOW w AS (PARTITION BY entity_id ORDER BY period_end)) q
+  ON q.entity_id = a.entity_id AND q.period_end < a.period_end AND (q.next_end IS NULL OR q.next_end >= a.period_end)
+WHERE a.period_end - q.period_end BETWEEN 60 AND 120 AND q.period_end - q.period_end_1 BETWEEN 60 AND 120
+  AND q.period_end_1 - q.period_end_2 BETWEEN 60 AND 120 AND a.period_end - q.period_end_2 <= 330 AND (a.prev_end IS NULL OR q.period_end_2 > a.prev_end)""",
+)
+cte(
+    "all_quarters",
+    f"""SELECT entity_id, period_end, greatest(q.filed_date, d.filed_date) AS filed_date,
+  {", ".join(f"coalesce(q.{c}, d.{c}) AS {c}" for c in ("revenue_tag",) + FLOW + STOCK)}
+FROM reported_quarters q FULL JOIN fourth_quarters d USING (entity_id, period_end)""",
+)
+cte(
+    "rolled_ttm",
+    f"""SELECT entity_id, period_end, filed, revenue_tag, {", ".join(FLOW + STOCK)} FROM (
+  SELECT entity_id, period_end, max(filed_date) OVER w4 AS filed, revenue_tag,
+    {", ".join(("CASE WHEN count(" + c + ") OVER w4 = 4" + (" AND min(fam) OVER w4 = max(fam) OVER w4" if c == "revenue" else "") + " THEN sum(" + c + ") OVER w4 END AS " + c) for c in FLOW)},
+    {", ".join(STOCK)}, count(*) OVER w4 AS n4, min(gap) OVER w3 AS g1, max(gap) OVER w3 AS g2
+  FROM (SELECT *, period_end - lag(period_end) OVER (PARTITION BY entity_id ORDER BY period_end) AS gap, {family('revenue_tag')} AS fam FROM all_quarters)
+  WINDOW w4 AS (PARTITION BY entity_id ORDER BY period_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), w3 AS (PARTITION BY entity_id ORDER BY period_end ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+WHERE n4 = 4 AND g1 >= 60 AND g2 <= 120
+  AND CAST(revenue IS NOT NULL AS INT) + CAST(operating_income IS NOT NULL AS INT) + CAST(net_income IS NOT NULL AS INT) + CAST(eps_diluted IS NOT NULL AS INT) >= 2""",
+)
+cte(
+    "ytd",
+    f"""SELECT * FROM (
+  SELECT entity_id, anchor, row_number() OVER w AS k, period_end, max(filed_date) OVER w AS filed, revenue_tag, {", ".join(STOCK)},
+    period_end - anchor AS offset_days, min(CAST(gap BETWEEN 60 AND 120 AS INT)) OVER w AS gaps_ok, min(fam) OVER w AS fam_lo, max(fam) OVER w AS fam_hi,
+    {", ".join(f"CASE WHEN count({c}) OVER w = row_number() OVER w THEN sum({c}) OVER w END AS {c}" for c in FLOW)}
+  FROM (SELECT *, {family('revenue_tag')} AS fam, period_end - coalesce(lag(period_end) OVER (PARTITION BY entity_id, anchor ORDER BY period_end), anchor) AS gap
+    FROM (SELECT q.*, (SELECT max(a.period_end) FROM annual_statements a WHERE a.entity_id = q.entity_id AND a.period_end < q.period_end) AS anchor FROM all_quarters q)
+    WHERE anchor IS NOT NULL AND period_end - anchor <= 310)
+  WINDOW w AS (PARTITION BY entity_id, anchor ORDER BY period_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE k <= 3 AND gaps_ok = 1""",
+)
+cte(
+    "bridged_ttm",
+    f"""SELECT * FROM (
+  SELECT n.entity_id, n.period_end, greatest(a.filed_date, n.filed, b.filed) AS filed, n.revenue_tag,
+    {", ".join((f"CASE WHEN {family('a.revenue_tag')} = n.fam_lo AND n.fam_lo = n.fam_hi AND n.fam_hi = b.fam_lo AND b.fam_lo = b.fam_hi THEN " if c == "revenue" else "CASE WHEN true THEN ") + f"a.{c} + n.{c} - b.{c} END AS {c}" for c in FLOW)},
+    {", ".join("n." + c for c in STOCK)}, max(abs(n.offset_days - b.offset_days)) OVER (PARTITION BY a.entity_id, a.period_end ORDER BY n.k) AS drift
+  FROM (SELECT *, lag(period_end) OVER (PARTITION BY entity_id ORDER BY period_end) AS prev_end FROM annual_statements) a
+  JOIN ytd n ON n.entity_id = a.entity_id AND n.anchor = a.period_end
+  JOIN ytd b ON b.entity_id = a.entity_id AND b.anchor = a.prev_end AND b.k = n.k
+  WHERE a.period_end - a.prev_end BETWEEN 330 AND 400) WHERE drift <= 14""",
+)
+cte(
+    "ttm",
+    f"""SELECT * FROM (
+  SELECT entity_id, period_end, CASE WHEN fills THEN greatest(b_filed, x_filed) ELSE b_filed END AS filed_date, revenue_tag, {", ".join(FLOW + STOCK)},
+    CASE WHEN fills THEN 'bridged' ELSE method END AS method
+  FROM (SELECT entity_id, period_end, b.filed AS b_filed, x.filed AS x_filed, method, {", ".join(f"coalesce(b.{c}, x.{c}) AS {c}" for c in ("revenue_tag",) + FLOW + STOCK)},
+    coalesce({" OR ".join(f"(b.{c} IS NULL AND x.{c} IS NOT NULL)" for c in FLOW)}, false) AS fills
+    FROM (SELECT entity_id, period_end, filed_date AS filed, revenue_tag, {", ".join(FLOW + STOCK)}, 'annual' AS method FROM annual_statements
+      UNION ALL SELECT entity_id, period_end, filed, revenue_tag, {", ".join(FLOW + STOCK)}, 'four_quarter_sum' FROM rolled_ttm r
+      WHERE NOT EXISTS (SELECT 1 FROM annual_statements a WHERE a.entity_id = r.entity_id AND a.period_end = r.period_end)) b
+    FULL JOIN bridged_ttm x USING (entity_id, period_end)))
+WHERE CAST(revenue IS NOT NULL AS INT) + CAST(operating_income IS NOT NULL AS INT) + CAST(net_income IS NOT NULL AS INT) + CAST(eps_diluted IS NOT NULL AS INT) >= 2""",
+)
+cte(
+    "ttm_versions",
+    """SELECT *, CAST(filed_date AS TIMESTAMP) + INTERVAL (entity_id % 5) DAY + INTERVAL 12 HOUR AS observed_at, 1 AS version FROM ttm
+UNION ALL SELECT * REPLACE (revenue * 1.01 AS revenue, net_income * 0.98 AS net_income),
+  CAST(filed_date AS TIMESTAMP) + INTERVAL (entity_id % 5) DAY + INTERVAL 12 HOUR + INTERVAL 120 DAY, 2 FROM ttm WHERE entity_id % 3 = 0""",
+)
+cte("decisions", "SELECT entity_id, session_date, session_no, close, CAST(session_date AS TIMESTAMP) + INTERVAL 21 HOUR AS decision_at FROM panel WHERE entity_id >= 0")

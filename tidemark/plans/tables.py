@@ -131,3 +131,82 @@ class Tables:
     def setups(self) -> DataFrame:
         h = X.setup_history(self.features)
         return h.withColumn("setup_score", X.setup_score(F.col("sample_size"), F.col("ups"), F.col("setup_median"), F.col("rebound_potential_60")))
+
+    # --- statements --------------------------------------------------------
+
+    @cached_property
+    def order_flows(self) -> DataFrame:
+        """Cents ordered per (entity, quarter) by status, reduced by customer before the join."""
+        o = self.raw("orders")
+        c = cents("o_totalprice")
+        part = lambda s: F.sum(F.when(F.col("o_orderstatus") == s, c).otherwise(0))
+        by_customer = o.groupBy("o_custkey", F.trunc("o_orderdate", "quarter").alias("quarter")).agg(
+            part("F").alias("f"), part("O").alias("o"), part("P").alias("p"), F.count("*").alias("n")
+        )
+        customer = self.raw("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("entity_id"))
+        return (
+            by_customer.join(customer, by_customer.o_custkey == customer.c_custkey)
+            .groupBy("entity_id", "quarter")
+            .agg(F.sum("f").alias("f"), F.sum("o").alias("o"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+        )
+
+    @staticmethod
+    def _statement(flows: DataFrame, filing_days: int) -> DataFrame:
+        f, o, p, n = (F.col(x).cast("double") for x in "fopn")
+        net = (f * 5 - p * 4) / 500.0
+        cash_flow, capex = (f + o) / 400.0, F.when(F.col("n") % 7 != 0, o / 800.0)
+        tag = F.when((F.col("entity_id") % 4 == 0) & (F.year("period_end") >= 1998), "RevenueFromContractWithCustomerExcludingAssessedTax").otherwise("Revenues")
+        return flows.select(
+            "entity_id",
+            "period_end",
+            F.date_add("period_end", filing_days).alias("filed_date"),
+            tag.alias("revenue_tag"),
+            ((f + o + p) / 100.0).alias("revenue"),
+            (f / 200.0).alias("operating_income"),
+            net.alias("net_income"),
+            F.when(F.col("n") % 11 != 0, net / (n * 1000.0)).alias("eps_diluted"),
+            (cash_flow - F.abs(capex)).alias("free_cash_flow"),
+            capex.alias("capex"),
+            (p / 400.0).alias("cash"),
+            (o / 300.0).alias("total_debt"),
+            (n * 1000.0).alias("shares_outstanding"),
+            ((f + p) / 300.0).alias("equity"),
+        )
+
+    @cached_property
+    def quarter_statements(self) -> DataFrame:
+        end = F.date_sub(F.add_months("quarter", 3), 1)
+        return self._statement(self.order_flows.withColumn("period_end", end), 40)
+
+    @cached_property
+    def reported_quarters(self) -> DataFrame:
+        """Quarterly filings: every second entity files no fourth quarter."""
+        return self.quarter_statements.where((F.month("period_end") != 12) | (F.col("entity_id") % 2 == 1))
+
+    @cached_property
+    def annual_statements(self) -> DataFrame:
+        years = self.order_flows.groupBy("entity_id", F.year("quarter").alias("year")).agg(
+            *[F.sum(x).alias(x) for x in "fopn"], F.count("*").alias("quarters")
+        )
+        full = years.where(F.col("quarters") == 4).withColumn("period_end", F.make_date("year", F.lit(12), F.lit(31)))
+        return self._statement(full, 60)
+
+    @cached_property
+    def ttm(self) -> DataFrame:
+        from tidemark.operators.fundamentals import build_ttm
+
+        return build_ttm(self.annual_statements, self.reported_quarters)
+
+    @cached_property
+    def ttm_versions(self) -> DataFrame:
+        """Each statement as first observed, and for every third entity a restatement 120 days later."""
+        t = self.ttm.withColumn("observed_at", (F.col("filed_date").cast("timestamp_ntz") + F.expr("make_dt_interval(cast(entity_id % 5 as int), 12)")))
+        again = t.where(F.col("entity_id") % 3 == 0).withColumn("observed_at", F.col("observed_at") + F.expr("interval 120 days"))
+        again = again.withColumn("revenue", F.col("revenue") * 1.01).withColumn("net_income", F.col("net_income") * 0.98)
+        return t.withColumn("version", F.lit(1)).unionByName(again.withColumn("version", F.lit(2)))
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        """Every bar with its decision time: the close of the session's last day, 21:00 UTC."""
+        p = self.panel.select("entity_id", "session_date", "session_no", "close")
+        return p.withColumn("decision_at", F.col("session_date").cast("timestamp_ntz") + F.expr("interval 21 hours"))
