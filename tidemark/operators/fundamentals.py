@@ -35,8 +35,8 @@ REVENUE_FAMILIES = {
 
 def revenue_family(tag: Column) -> Column:
     """Family of a revenue concept; an unlisted concept is its own family."""
-    table = F.create_map(*[F.lit(x) for kv in REVENUE_FAMILIES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, tag), tag)
+    members = lambda name: [t for t, f in REVENUE_FAMILIES.items() if f == name]
+    return F.when(tag.isin(members("total")), "total").when(tag.isin(members("contract")), "contract").otherwise(tag)
 
 
 def compatible_basis(*tags: Column) -> Column:
@@ -217,36 +217,39 @@ def prior_year(latest: DataFrame, history: DataFrame, cutoff: str, usable_at: st
     return latest.join(best, [ENTITY, PERIOD, cutoff], "left")
 
 
-def factor_values(price: Column, cur: str = "", prev: str = "prev.") -> dict[str, Column]:
-    """The factor vector of a statement against its prior year and a price.
+def with_factors(df: DataFrame, price: str, prev: str = "prev") -> DataFrame:
+    """Add the factor vector of a statement against its prior year (a struct column) and a price.
 
     Questionable statements give no factors, and a prior year that is
     questionable or reports revenue on another basis is not compared.
     """
-    c = lambda f: finite(F.col(cur + f))
-    sound = F.size(anomalies(cur)) == 0
-    comparable = (F.size(anomalies(prev)) == 0) & compatible_basis(F.col(f"{cur}revenue_tag"), F.col(f"{prev}revenue_tag"))
-    p = lambda f: F.when(comparable, finite(F.col(prev + f)))
+    fields = ("revenue", "net_income", "operating_income", "eps_diluted", "equity")
+    old = lambda f: F.col(f"{prev}.{f}")
+    comparable = (F.size(anomalies(f"{prev}.")) == 0) & compatible_basis(F.col("revenue_tag"), old("revenue_tag"))
+    cur = (*fields, "free_cash_flow", "shares_outstanding", "total_debt", "cash")
+    df = df.withColumns({"_sound": F.size(anomalies()) == 0, "_same": comparable})
+    df = df.withColumns({**{f"_c_{f}": F.when(F.col("_sound"), finite(f)) for f in cur}, **{f"_p_{f}": F.when(F.col("_same"), finite(old(f))) for f in fields}})
+    c, p = (lambda f: F.col(f"_c_{f}")), (lambda f: F.col(f"_p_{f}"))
     op, net = ratio(c("operating_income"), c("revenue")), ratio(c("net_income"), c("revenue"))
-    old_op, old_net = ratio(p("operating_income"), p("revenue")), ratio(p("net_income"), p("revenue"))
-    cap = F.when(c("shares_outstanding") > 0, price * c("shares_outstanding"))
+    fcf, price_col = c("free_cash_flow"), F.col(price)
     mean_equity = F.when((c("equity") > 0) & (p("equity") > 0), (c("equity") + p("equity")) / 2)
-    fcf = c("free_cash_flow")
-    raw = {
-        "revenue_growth": growth(c("revenue"), p("revenue")),
-        "eps_growth": relative_change(c("eps_diluted"), p("eps_diluted")),
-        "operating_margin": op,
-        "net_margin": net,
-        "operating_margin_change": op - old_op,
-        "net_margin_change": net - old_net,
-        "fcf_margin": ratio(fcf, c("revenue")),
-        "cash_conversion": ratio(fcf, c("net_income")),
-        "net_debt_to_fcf": F.when(fcf > 0, (c("total_debt") - c("cash")) / fcf),
-        "earnings_yield": ratio(c("eps_diluted"), price),
-        "fcf_yield": ratio(fcf, cap),
-        "return_on_equity": ratio(c("net_income"), mean_equity),
-    }
-    return {k: F.when(sound, v) for k, v in raw.items()}
+    df = df.withColumns(
+        {
+            "revenue_growth": growth(c("revenue"), p("revenue")),
+            "eps_growth": relative_change(c("eps_diluted"), p("eps_diluted")),
+            "operating_margin": op,
+            "net_margin": net,
+            "operating_margin_change": op - ratio(p("operating_income"), p("revenue")),
+            "net_margin_change": net - ratio(p("net_income"), p("revenue")),
+            "fcf_margin": ratio(fcf, c("revenue")),
+            "cash_conversion": ratio(fcf, c("net_income")),
+            "net_debt_to_fcf": F.when(fcf > 0, (c("total_debt") - c("cash")) / fcf),
+            "earnings_yield": ratio(c("eps_diluted"), price_col),
+            "fcf_yield": ratio(fcf, F.when(c("shares_outstanding") > 0, price_col * c("shares_outstanding"))),
+            "return_on_equity": ratio(c("net_income"), mean_equity),
+        }
+    )
+    return df.drop("_sound", "_same", *[f"_c_{f}" for f in cur], *[f"_p_{f}" for f in fields])
 
 
 def finance_profile(sector: Column, industry: Column | None = None, profile: Column | None = None) -> Column:

@@ -271,3 +271,24 @@ UNION ALL SELECT * REPLACE (revenue * 1.01 AS revenue, net_income * 0.98 AS net_
   CAST(filed_date AS TIMESTAMP) + INTERVAL (entity_id % 5) DAY + INTERVAL 12 HOUR + INTERVAL 120 DAY, 2 FROM ttm WHERE entity_id % 3 = 0""",
 )
 cte("decisions", "SELECT entity_id, session_date, session_no, close, CAST(session_date AS TIMESTAMP) + INTERVAL 21 HOUR AS decision_at FROM panel WHERE entity_id >= 0")
+
+cte(
+    "earnings_versions",
+    """WITH q AS (SELECT entity_id, period_end, entity_id * 100000 + year(period_end) * 10 + quarter(period_end) AS event_id,
+    CAST(period_end + CAST(25 + entity_id % 7 AS INTEGER) AS DATE) AS reported_date, CASE entity_id % 3 WHEN 0 THEN '07:30' WHEN 1 THEN '16:15' END AS event_time,
+    eps_diluted AS reported_eps, lag(eps_diluted) OVER w AS estimated_eps, (eps_diluted - lag(eps_diluted) OVER w) / nullif(abs(lag(eps_diluted) OVER w), 0) * 100 AS surprise_percent,
+    CASE WHEN lag(revenue) OVER w > 0 THEN (revenue / lag(revenue) OVER w - 1) * 100 END AS revenue_surprise_percent
+  FROM quarter_statements WINDOW w AS (PARTITION BY entity_id ORDER BY period_end)),
+first_seen AS (SELECT *, CAST(reported_date AS TIMESTAMP) + INTERVAL 25 HOUR AS observed_at FROM q)
+SELECT * FROM first_seen UNION ALL
+SELECT * REPLACE (surprise_percent + 1.0 AS surprise_percent, observed_at + INTERVAL 10 DAY AS observed_at) FROM first_seen WHERE (entity_id + quarter(period_end)) % 4 = 0""",
+)
+cte(
+    "analyst_snapshots",
+    """SELECT CAST(c_nationkey AS BIGINT) AS entity_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS period_date,
+  count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS strong_buy, count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS buy,
+  count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') AS hold, count(*) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED') AS sell,
+  count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS strong_sell, CAST(last_day(date_trunc('month', o_orderdate)) AS TIMESTAMP) + INTERVAL 20 HOUR AS observed_at, 'orders' AS source
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, last_day(date_trunc('month', o_orderdate))""",
+)
+cte("quarter_decisions", "SELECT * FROM decisions WHERE (entity_id, session_date) IN (SELECT entity_id, min(session_date) FROM decisions GROUP BY entity_id, date_trunc('quarter', session_date))")

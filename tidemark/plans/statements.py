@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import r4, r6
+from tidemark.functions import r2, r4, r6
 from tidemark.operators import asof as A
 from tidemark.operators import fundamentals as S
 from tidemark.plans.ctes import FLOW, STOCK, family, rnd
@@ -58,41 +58,30 @@ FROM decisions d LEFT JOIN (SELECT *, session_date - period_end AS age FROM fund
 )
 def fundamentals_asof_q(t: Tables) -> DataFrame:
     df = A.stale_to_null(fundamentals_asof(t), F.datediff("session_date", "period_end"), S.MAX_STATEMENT_AGE, ["revenue", "eps_diluted"])
-    return df.select("entity_id", "session_date", "period_end", "version", F.round("revenue", 9).alias("_r"), "revenue", "eps_diluted").select(
-        "entity_id", "session_date", "period_end", "version", (F.floor(F.col("revenue") * 100 + 0.5) / 100).alias("revenue"), r4("eps_diluted").alias("eps_diluted")
-    )
+    return df.select("entity_id", "session_date", "period_end", "version", r2("revenue").alias("revenue"), r4("eps_diluted").alias("eps_diluted"))
 
 
 _PREV_SQL = """paired AS (SELECT l.*, p.period_end AS prev_period, p.revenue AS prev_revenue, p.net_income AS prev_net_income, p.eps_diluted AS prev_eps, p.operating_income AS prev_operating_income,
     p.equity AS prev_equity, p.revenue_tag AS prev_tag FROM latest l
   LEFT JOIN LATERAL (SELECT * FROM ttm_versions v WHERE v.entity_id = l.entity_id AND greatest(v.observed_at, CAST(v.filed_date AS TIMESTAMP)) <= l.decision_at
     AND l.period_end - v.period_end BETWEEN 300 AND 450 ORDER BY abs(l.period_end - v.period_end - 365), v.observed_at DESC LIMIT 1) p ON true)"""
-_LATEST_SQL = f"{_ASOF_SQL}, latest AS (SELECT * FROM fund WHERE (entity_id, session_date) IN (SELECT entity_id, max(session_date) FROM decisions GROUP BY 1))"
-
-
-def quarterly_decisions(t: Tables) -> DataFrame:
-    """One decision per entity and calendar quarter: its last session."""
-    return t.decisions.groupBy("entity_id", F.trunc("session_date", "quarter").alias("q")).agg(
-        F.max_by(F.struct("session_date", "session_no", "close", "decision_at"), "session_no").alias("r")
-    ).select("entity_id", "r.*")
 
 
 def factor_rows(t: Tables) -> DataFrame:
     """Latest and prior-year statement and the factor vector of each quarterly decision."""
     payload = ["period_end", "observed_at", "filed_date", "revenue_tag", *S.FLOW_FIELDS, *S.STOCK_FIELDS]
     versions = t.ttm_versions.withColumn("usable_at", F.greatest("observed_at", F.col("filed_date").cast("timestamp_ntz")))
-    latest = A.latest_known(quarterly_decisions(t), versions, ["entity_id"], "decision_at", "usable_at", "period_end", payload, ["observed_at"])
+    latest = A.latest_known(t.quarter_decisions, versions, ["entity_id"], "decision_at", "usable_at", "period_end", payload, ["observed_at"])
     data = ["revenue_tag", "revenue", "net_income", "operating_income", "eps_diluted", "equity"]
     both = S.prior_year(latest, versions, "decision_at", "usable_at", data, "observed_at")
-    return both.withColumns(S.factor_values(F.col("close")))
+    return S.with_factors(both, "close")
 
 
 def _sound(p: str) -> str:
     return f"NOT coalesce({p}revenue > 0 AND (abs({p}net_income) > {p}revenue OR abs({p}operating_income) > {p}revenue), false)"
 
 
-_QUARTER_SQL = f"""qd AS (SELECT entity_id, max(session_date) AS session_date FROM decisions GROUP BY entity_id, date_trunc('quarter', session_date)),
-{_ASOF_SQL}, latest AS (SELECT f.* FROM fund f JOIN qd USING (entity_id, session_date)), {_PREV_SQL},
+QUARTER_FACTORS_SQL = f"""{_ASOF_SQL.replace("FROM decisions d", "FROM quarter_decisions d").replace("fund AS", "latest AS")}, {_PREV_SQL},
 cmp AS (SELECT *, coalesce(NOT (prev_revenue > 0 AND (abs(prev_net_income) > prev_revenue OR abs(prev_operating_income) > prev_revenue)), true)
     AND (prev_tag IS NULL OR {family('prev_tag')} = {family('revenue_tag')}) AS comparable, {_sound('')} AS sound FROM paired),
 factors AS (SELECT *, CASE WHEN sound AND comparable AND prev_revenue > 0 THEN revenue / prev_revenue - 1 END AS revenue_growth,
@@ -116,14 +105,14 @@ FACTORS = [
 @query(
     "prior_year_statement",
     "J14 F45",
-    f"WITH {_QUARTER_SQL} SELECT entity_id, session_date, period_end, prev_period, {rnd('return_on_equity')} AS return_on_equity FROM factors",
+    f"WITH {QUARTER_FACTORS_SQL} SELECT entity_id, session_date, period_end, prev_period, {rnd('return_on_equity')} AS return_on_equity FROM factors",
 )
 def prior_year_statement(t: Tables) -> DataFrame:
     f = factor_rows(t).where(F.col("period_end").isNotNull())
     return f.select("entity_id", "session_date", "period_end", F.col("prev.period_end").alias("prev_period"), r6("return_on_equity").alias("return_on_equity"))
 
 
-@query("factor_vector", "F14 F4 P7", f"WITH {_QUARTER_SQL} SELECT entity_id, session_date, {', '.join(f'{rnd(c)} AS {c}' for c in FACTORS)} FROM factors")
+@query("factor_vector", "F14 F4 P7", f"WITH {QUARTER_FACTORS_SQL} SELECT entity_id, session_date, {', '.join(f'{rnd(c)} AS {c}' for c in FACTORS)} FROM factors")
 def factor_vector(t: Tables) -> DataFrame:
     f = factor_rows(t).where(F.col("period_end").isNotNull())
     return f.select("entity_id", "session_date", *[r6(c).alias(c) for c in FACTORS])

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
@@ -38,6 +39,15 @@ class Tables:
             raise KeyError(name)
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @staticmethod
+    def _reused(df: DataFrame) -> DataFrame:
+        """Keep a reduced table that several branches of one plan read.
+
+        The raw tables are then scanned once instead of once per branch.  Blocks
+        spill to disk and are rebuilt from their lineage if an executor is lost.
+        """
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
     # --- entities and bars -------------------------------------------------
 
     @cached_property
@@ -69,11 +79,11 @@ class Tables:
 
     @cached_property
     def bars_by_source(self) -> DataFrame:
-        return self._priced(self._line_bars(F.trunc("l_shipdate", "week")))
+        return self._reused(self._priced(self._line_bars(F.trunc("l_shipdate", "week"))))
 
     @cached_property
     def daily_bars(self) -> DataFrame:
-        return self._priced(self._line_bars(F.to_date("l_shipdate")))
+        return self._reused(self._priced(self._line_bars(F.to_date("l_shipdate"))))
 
     @staticmethod
     def _priced(bars: DataFrame) -> DataFrame:
@@ -121,7 +131,7 @@ class Tables:
     @cached_property
     def features(self) -> DataFrame:
         f = X.session_features(self.panel, self.benchmark_panel)
-        return f.join(self.entities.select("entity_id", "sector"), "entity_id")
+        return self._reused(f.join(self.entities.select("entity_id", "sector"), "entity_id"))
 
     @cached_property
     def context(self) -> DataFrame:
@@ -144,7 +154,7 @@ class Tables:
             part("F").alias("f"), part("O").alias("o"), part("P").alias("p"), F.count("*").alias("n")
         )
         customer = self.raw("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("entity_id"))
-        return (
+        return self._reused(
             by_customer.join(customer, by_customer.o_custkey == customer.c_custkey)
             .groupBy("entity_id", "quarter")
             .agg(F.sum("f").alias("f"), F.sum("o").alias("o"), F.sum("p").alias("p"), F.sum("n").alias("n"))
@@ -195,7 +205,7 @@ class Tables:
     def ttm(self) -> DataFrame:
         from tidemark.operators.fundamentals import build_ttm
 
-        return build_ttm(self.annual_statements, self.reported_quarters)
+        return self._reused(build_ttm(self.annual_statements, self.reported_quarters))
 
     @cached_property
     def ttm_versions(self) -> DataFrame:
@@ -210,3 +220,44 @@ class Tables:
         """Every bar with its decision time: the close of the session's last day, 21:00 UTC."""
         p = self.panel.select("entity_id", "session_date", "session_no", "close")
         return p.withColumn("decision_at", F.col("session_date").cast("timestamp_ntz") + F.expr("interval 21 hours"))
+
+    # --- reports and opinions ----------------------------------------------
+
+    @cached_property
+    def earnings_versions(self) -> DataFrame:
+        """Quarterly reports against the previous quarter, some of them revised ten days later."""
+        w = Window.partitionBy("entity_id").orderBy("period_end")
+        est, rev = F.lag("eps_diluted").over(w), F.lag("revenue").over(w)
+        q = self.quarter_statements.select(
+            "entity_id",
+            "period_end",
+            (F.col("entity_id") * 100000 + F.year("period_end") * 10 + F.quarter("period_end")).alias("event_id"),
+            F.expr("date_add(period_end, cast(25 + entity_id % 7 as int))").alias("reported_date"),
+            F.when(F.col("entity_id") % 3 == 0, "07:30").when(F.col("entity_id") % 3 == 1, "16:15").alias("event_time"),
+            F.col("eps_diluted").alias("reported_eps"),
+            est.alias("estimated_eps"),
+            F.when(est != 0, (F.col("eps_diluted") - est) / F.abs(est) * 100).alias("surprise_percent"),
+            F.when(rev > 0, (F.col("revenue") / rev - 1) * 100).alias("revenue_surprise_percent"),
+        )
+        first = q.withColumn("observed_at", F.col("reported_date").cast("timestamp_ntz") + F.expr("interval 25 hours"))
+        again = first.where((F.col("entity_id") + F.quarter("period_end")) % 4 == 0)
+        again = again.withColumn("observed_at", F.col("observed_at") + F.expr("interval 10 days")).withColumn("surprise_percent", F.col("surprise_percent") + 1.0)
+        return first.unionByName(again)
+
+    @cached_property
+    def analyst_snapshots(self) -> DataFrame:
+        """Monthly counts of five ordered opinions per entity, captured at the end of the month."""
+        o = self.raw("orders")
+        count = lambda p: F.count_if(F.col("o_orderpriority") == p)
+        names = {"strong_buy": "1-URGENT", "buy": "2-HIGH", "hold": "3-MEDIUM", "sell": "4-NOT SPECIFIED", "strong_sell": "5-LOW"}
+        by_customer = o.groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("period_date")).agg(*[count(p).alias(k) for k, p in names.items()])
+        customer = self.raw("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("entity_id"))
+        monthly = by_customer.join(customer, by_customer.o_custkey == customer.c_custkey).groupBy("entity_id", "period_date").agg(*[F.sum(k).alias(k) for k in names])
+        month_end = F.last_day("period_date").cast("timestamp_ntz") + F.expr("interval 20 hours")
+        return monthly.withColumn("observed_at", month_end).withColumn("source", F.lit("orders"))
+
+    @cached_property
+    def quarter_decisions(self) -> DataFrame:
+        """One decision per entity and quarter: its first session of the quarter."""
+        first = F.min_by(F.struct("session_date", "session_no", "close", "decision_at"), "session_no")
+        return self.decisions.groupBy("entity_id", F.trunc("session_date", "quarter").alias("q")).agg(first.alias("r")).select("entity_id", "r.*")
