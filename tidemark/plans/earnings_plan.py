@@ -179,10 +179,10 @@ def analyst_consensus(t: Tables) -> DataFrame:
     "analyst_score_change",
     "J16",
     f"""WITH asks AS (SELECT entity_id, session_date, decision_at, decision_at - INTERVAL 30 DAY AS earlier FROM decisions), two AS (
-  SELECT d.entity_id, d.session_date, c.side, a.observed_at, a.period_date, strong_buy + buy + hold + sell + strong_sell AS total, 100 * strong_buy + 75 * buy + 50 * hold + 25 * sell AS pts, c.at
-  FROM asks d, LATERAL (SELECT 'now' AS side, d.decision_at AS at UNION ALL SELECT 'old', d.earlier) c
-  LEFT JOIN LATERAL (SELECT * FROM analyst_snapshots a WHERE a.entity_id = d.entity_id AND a.observed_at <= c.at ORDER BY observed_at DESC, period_date DESC LIMIT 1) a ON true),
-scores AS (SELECT entity_id, session_date, side, CASE WHEN observed_at >= at - INTERVAL 7 DAY AND CAST(at AS DATE) - period_date <= 45 AND total >= 3 THEN floor((50 + (pts / CAST(total AS DOUBLE) - 50) * total / (total + 5)) * 1e4 + 0.5) / 1e4 END AS s FROM two)
+  SELECT d.entity_id, d.session_date, c.side, a.observed_at, a.period_date, strong_buy + buy + hold + sell + strong_sell AS total, 100 * strong_buy + 75 * buy + 50 * hold + 25 * sell AS pts, c.ask
+  FROM asks d, LATERAL (SELECT 'now' AS side, d.decision_at AS ask UNION ALL SELECT 'old', d.earlier) c
+  LEFT JOIN LATERAL (SELECT * FROM analyst_snapshots a WHERE a.entity_id = d.entity_id AND a.observed_at <= c.ask ORDER BY observed_at DESC, period_date DESC LIMIT 1) a ON true),
+scores AS (SELECT entity_id, session_date, side, CASE WHEN observed_at >= ask - INTERVAL 7 DAY AND CAST(ask AS DATE) - period_date <= 45 AND total >= 3 THEN floor((50 + (pts / CAST(total AS DOUBLE) - 50) * total / (total + 5)) * 1e4 + 0.5) / 1e4 END AS s FROM two)
 SELECT entity_id, session_date, {rnd("max(s) FILTER (WHERE side = 'now') - max(s) FILTER (WHERE side = 'old')", 4)} AS score_change FROM scores GROUP BY 1, 2""",
 )
 def analyst_score_change(t: Tables) -> DataFrame:

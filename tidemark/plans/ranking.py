@@ -17,7 +17,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.statements import QUARTER_FACTORS_SQL, factor_rows
 from tidemark.plans.tables import Tables
 
-MIN_PEERS, MIN_SAMPLE, MIN_FINANCIAL, MIN_TOTAL = 3, 10, 40.0, 45.0
+MIN_PEERS, MIN_SAMPLE, MIN_FINANCIAL, MIN_TOTAL, TOP = 3, 10, 40.0, 45.0, 5
 KEY = ["entity_id", "session_date"]
 GROUP = ["session_date", "sector", "profile"]
 
@@ -27,7 +27,9 @@ def profiled_factors(t: Tables) -> DataFrame:
     f = factor_rows(t).where(F.col("period_end").isNotNull())
     e = t.entities.withColumn("industry", F.when(F.col("entity_id") % 6 == 0, "Regional Banks").otherwise("Other"))
     e = e.select("entity_id", "sector", "ticker", S.finance_profile(F.col("sector"), F.col("industry")).alias("profile"))
-    return f.join(e, "entity_id").withColumn("age_days", F.datediff("session_date", "period_end"))
+    df = f.join(e, "entity_id").withColumn("age_days", F.datediff("session_date", "period_end"))
+    # One row per entity and quarter, read by every branch below.
+    return t.shared("profiled_factors", df)
 
 
 def _weights_values(profile: str, weights: dict[str, float]) -> str:
@@ -59,7 +61,7 @@ def eligible_factors(t: Tables) -> tuple[DataFrame, DataFrame]:
     cover = K.value_coverage(long, KEY)
     ok = cover.where(F.col("value_coverage") + 1e-9 >= K.MIN_FACTOR_COVERAGE).select(*KEY)
     fresh = long.where(F.col("age_days").between(0, S.MAX_STATEMENT_AGE)).drop("age_days")
-    return cand.join(cover, KEY, "left"), fresh.join(ok, KEY, "left_semi")
+    return cand.join(cover, KEY, "left"), t.shared("eligible_long", fresh.join(ok, KEY, "left_semi"))
 
 
 @query(
@@ -95,7 +97,7 @@ def ranked_candidates(t: Tables) -> DataFrame:
         (F.col("financial_score") < MIN_FINANCIAL, "financial_score_below_minimum"),
         (F.col("total_score") < MIN_TOTAL, "combined_score_below_minimum"),
     )
-    return df.withColumn("reject_reason", reason)
+    return t.shared("ranked_candidates", df.withColumn("reject_reason", reason))
 
 
 RANK_SQL = f"""{PEER_SQL}, {RECENT_SQL}, {UPCOMING_SQL}, {CONSENSUS_SQL},
@@ -116,11 +118,12 @@ ranked AS (SELECT *, CASE WHEN age_days NOT BETWEEN 0 AND 180 THEN 'old_ttm_peri
     "Q1 P11 P12 F18 T2 T6",
     f"""WITH {RANK_SQL} SELECT entity_id, session_date, sector, reject_reason, {rnd('financial_score', 4)} AS financial_score, {rnd('technical_score', 2)} AS technical_score, {rnd('earnings_score', 4)} AS earnings_score, analyst_score,
   CASE WHEN reject_reason IS NULL THEN {rnd('total_score', 4)} END AS total_score,
-  CASE WHEN reject_reason IS NULL THEN row_number() OVER (PARTITION BY session_date, reject_reason IS NULL ORDER BY floor(total_score * 1e4 + 0.5) DESC, CAST(entity_id AS VARCHAR)) END AS rank FROM ranked""",
+  CASE WHEN reject_reason IS NULL AND rk <= {TOP} THEN rk END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY session_date, reject_reason IS NULL ORDER BY floor(total_score * 1e4 + 0.5) DESC, CAST(entity_id AS VARCHAR)) AS rk FROM ranked)""",
 )
 def ranked_candidates_q(t: Tables) -> DataFrame:
     df = ranked_candidates(t).withColumn("_total", F.when(F.col("reject_reason").isNull(), r4("total_score")))
-    picks = K.top_n(df, 1 << 30, "_total", ["session_date"]).select(*KEY, "rank")
+    picks = K.top_n(df, TOP, "_total", ["session_date"]).select(*KEY, "rank")
     cols = [r4("financial_score").alias("financial_score"), r2("technical_score").alias("technical_score"), r4("earnings_score").alias("earnings_score"), "analyst_score"]
     return df.join(picks, KEY, "left").select(*KEY, "sector", "reject_reason", *cols, F.col("_total").alias("total_score"), F.col("rank").cast("long").alias("rank"))
 
@@ -221,10 +224,10 @@ def sector_capped_top(t: Tables) -> DataFrame:
 @query(
     "current_candidates",
     "P21 T9",
-    f"""WITH {V2_SQL} SELECT entity_id, session_date, {rnd('setup_v2', 4)} AS setup_v2, row_number() OVER (ORDER BY floor(setup_v2 * 1e4 + 0.5) DESC, CAST(entity_id AS VARCHAR)) AS rank FROM v2
-WHERE session_date = (SELECT max(session_date) FROM v2)""",
+    f"""WITH {V2_SQL} SELECT * FROM (SELECT entity_id, session_date, {rnd('setup_v2', 4)} AS setup_v2, row_number() OVER (ORDER BY floor(setup_v2 * 1e4 + 0.5) DESC, CAST(entity_id AS VARCHAR)) AS rank FROM v2
+WHERE session_date = (SELECT max(session_date) FROM v2)) WHERE rank <= 20""",
 )
 def current_candidates(t: Tables) -> DataFrame:
     df = _v2(t).withColumn("setup_v2", r4("setup_v2"))
     now = df.where(F.col("session_date") == df.agg(F.max("session_date")).scalar())
-    return K.top_n(now, 1 << 20, "setup_v2").select(*KEY, "setup_v2", "rank")
+    return K.top_n(now, 20, "setup_v2").select(*KEY, "setup_v2", "rank")

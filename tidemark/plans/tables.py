@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
 from tidemark.operators import calendar as C
 from tidemark.operators import features as X
+from tidemark.session import stage
 
 BENCHMARK = -1
 PREFERRED_SOURCE = "R"
@@ -33,20 +33,18 @@ def cents(c: str):
 class Tables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._shared: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         if name not in NAMES:
             raise KeyError(name)
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
-    @staticmethod
-    def _reused(df: DataFrame) -> DataFrame:
-        """Keep a reduced table that several branches of one plan read.
-
-        The raw tables are then scanned once instead of once per branch.  Blocks
-        spill to disk and are rebuilt from their lineage if an executor is lost.
-        """
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    def shared(self, name: str, df: DataFrame) -> DataFrame:
+        """A reduced table that several branches read, staged on first use."""
+        if name not in self._shared:
+            self._shared[name] = stage(df, name)
+        return self._shared[name]
 
     # --- entities and bars -------------------------------------------------
 
@@ -79,11 +77,11 @@ class Tables:
 
     @cached_property
     def bars_by_source(self) -> DataFrame:
-        return self._reused(self._priced(self._line_bars(F.trunc("l_shipdate", "week"))))
+        return self.shared("bars_by_source", self._priced(self._line_bars(F.trunc("l_shipdate", "week"))))
 
     @cached_property
     def daily_bars(self) -> DataFrame:
-        return self._reused(self._priced(self._line_bars(F.to_date("l_shipdate"))))
+        return self.shared("daily_bars", self._priced(self._line_bars(F.to_date("l_shipdate"))))
 
     @staticmethod
     def _priced(bars: DataFrame) -> DataFrame:
@@ -131,7 +129,7 @@ class Tables:
     @cached_property
     def features(self) -> DataFrame:
         f = X.session_features(self.panel, self.benchmark_panel)
-        return self._reused(f.join(self.entities.select("entity_id", "sector"), "entity_id"))
+        return self.shared("features", f.join(self.entities.select("entity_id", "sector"), "entity_id"))
 
     @cached_property
     def context(self) -> DataFrame:
@@ -140,7 +138,7 @@ class Tables:
     @cached_property
     def setups(self) -> DataFrame:
         h = X.setup_history(self.features)
-        return h.withColumn("setup_score", X.setup_score(F.col("sample_size"), F.col("ups"), F.col("setup_median"), F.col("rebound_potential_60")))
+        return self.shared("setups", h.withColumn("setup_score", X.setup_score(F.col("sample_size"), F.col("ups"), F.col("setup_median"), F.col("rebound_potential_60"))))
 
     # --- statements --------------------------------------------------------
 
@@ -154,10 +152,11 @@ class Tables:
             part("F").alias("f"), part("O").alias("o"), part("P").alias("p"), F.count("*").alias("n")
         )
         customer = self.raw("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("entity_id"))
-        return self._reused(
+        return self.shared(
+            "order_flows",
             by_customer.join(customer, by_customer.o_custkey == customer.c_custkey)
             .groupBy("entity_id", "quarter")
-            .agg(F.sum("f").alias("f"), F.sum("o").alias("o"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+            .agg(F.sum("f").alias("f"), F.sum("o").alias("o"), F.sum("p").alias("p"), F.sum("n").alias("n")),
         )
 
     @staticmethod
@@ -205,7 +204,7 @@ class Tables:
     def ttm(self) -> DataFrame:
         from tidemark.operators.fundamentals import build_ttm
 
-        return self._reused(build_ttm(self.annual_statements, self.reported_quarters))
+        return self.shared("ttm", build_ttm(self.annual_statements, self.reported_quarters))
 
     @cached_property
     def ttm_versions(self) -> DataFrame:
