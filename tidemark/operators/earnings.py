@@ -21,24 +21,22 @@ def after_close(event_time: str) -> Column:
     return F.coalesce(F.col(event_time) >= "16:00", F.lit(False))
 
 
-def reactions(events: DataFrame, bars: DataFrame, on: list[str] | None = None, prefix: str = "") -> DataFrame:
+def reactions(events: DataFrame, bars: DataFrame) -> DataFrame:
     """Return from the last price before a report was known to the first one after.
 
     Reports before the open compare the previous close with that day's, or the
     next session's where that day has none; all others compare the last close
     at or before the day with the next session.
     """
-    on = [ENTITY] if on is None else on
+    on = [ENTITY]
     prices = bars.select(*on, F.col("session_date").alias("_day"), F.col("close").alias("_close"))
     early = before_open("event_time")
     df = events.withColumn("_base_day", F.when(early, F.date_sub("reported_date", 1)).otherwise(F.col("reported_date")))
     df = df.withColumn("_from_day", F.when(early, F.col("reported_date")).otherwise(F.date_add("reported_date", 1)))
-    if not on:
-        df, prices, on = df.withColumn("_all", F.lit(1)), prices.withColumn("_all", F.lit(1)), ["_all"]
     df = asof_best(df, prices, on, "_base_day", "_day", ["_day", "_close"], prefix="_b")
     df = asof_best(df, prices, on, "_from_day", "_day", ["_day", "_close"], forward=True, prefix="_r")
     return df.select(
-        *events.columns, F.col("_r_day").alias(f"{prefix}reaction_date"), simple_return("_b_close", "_r_close").alias(f"{prefix}reaction")
+        *events.columns, F.col("_r_day").alias("reaction_date"), simple_return("_b_close", "_r_close").alias("reaction")
     )
 
 

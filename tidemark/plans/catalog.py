@@ -1,3 +1,3 @@
 """Imports every plan module."""
 
-from tidemark.plans import earnings_plan, prices, ranking, statements  # noqa: F401
+from tidemark.plans import earnings_plan, evaluation, prices, ranking, statements  # noqa: F401
