@@ -1,3 +1,3 @@
 """Imports every plan module."""
 
-from tidemark.plans import audits, earnings_plan, evaluation, observations, prices, ranking, statements  # noqa: F401
+from tidemark.plans import audits, earnings_plan, evaluation, observations, prices, ranking, statements, streams, texts  # noqa: F401

@@ -76,14 +76,14 @@ def event_asof(t: Tables) -> DataFrame:
 @query(
     "trailing_news",
     "A21 X5",
-    f"""WITH d AS (SELECT user_id, day, day + INTERVAL 21 HOUR AS cutoff FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)), n AS (SELECT user_id, ts AS published, ts + INTERVAL (event_id % 48) HOUR AS observed, CASE WHEN event_type <> 'error' THEN value END AS sentiment FROM events)
-SELECT d.user_id, d.day, count(*) AS articles, count(sentiment) AS with_sentiment, {rnd('avg(sentiment)', 4)} AS mean_sentiment FROM d JOIN n ON n.user_id = d.user_id AND n.published >= d.cutoff - INTERVAL 7 DAY AND greatest(n.published, n.observed) <= d.cutoff GROUP BY 1, 2""",
+    f"""WITH d AS (SELECT user_id, day, day + INTERVAL 21 HOUR AS cutoff FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)), n AS (SELECT user_id, ts AS published, ts + INTERVAL (event_id % 48) HOUR AS observed, CASE WHEN event_type <> 'error' THEN CAST(round(value * 100) AS BIGINT) END AS sentiment FROM events)
+SELECT d.user_id, d.day, count(*) AS articles, count(sentiment) AS with_sentiment, {rnd('sum(sentiment) / CAST(nullif(count(sentiment), 0) AS DOUBLE) / 100', 4)} AS mean_sentiment FROM d JOIN n ON n.user_id = d.user_id AND n.published >= d.cutoff - INTERVAL 7 DAY AND greatest(n.published, n.observed) <= d.cutoff GROUP BY 1, 2""",
 )
 def trailing_news(t: Tables) -> DataFrame:
     e = t.raw("events")
     d = e.select("user_id", F.to_date("ts").alias("day")).distinct().withColumn("cutoff", F.col("day").cast("timestamp_ntz") + F.expr("interval 21 hours"))
-    n = e.select("user_id", F.col("ts").alias("published"), (F.col("ts") + F.expr("make_dt_interval(0, cast(event_id % 48 as int))")).alias("observed"), F.when(F.col("event_type") != "error", F.col("value")).alias("sentiment"))
-    aggs = [F.count("*").alias("articles"), F.count("sentiment").alias("with_sentiment"), F.avg("sentiment").alias("m")]
+    n = e.select("user_id", F.col("ts").alias("published"), (F.col("ts") + F.expr("make_dt_interval(0, cast(event_id % 48 as int))")).alias("observed"), F.when(F.col("event_type") != "error", F.round(F.col("value") * 100).cast("long")).alias("sentiment"))
+    aggs = [F.count("*").alias("articles"), F.count("sentiment").alias("with_sentiment"), (F.sum("sentiment") / F.nullif(F.count("sentiment"), F.lit(0)) / 100).alias("m")]
     s = A.trailing_stats(d, n, ["user_id"], "cutoff", "published", "observed", 7, aggs)
     return s.where(F.col("articles").isNotNull()).select("user_id", "day", "articles", "with_sentiment", r4("m").alias("mean_sentiment"))
 
