@@ -43,60 +43,54 @@ def _over(lo: int, hi: int = 0):
     return Window.partitionBy(ENTITY).orderBy(NO).rangeBetween(lo, hi)
 
 
-def _exact(value: Column, sessions_back: int) -> Column:
-    """Keep ``value`` only when all of the last ``sessions_back`` + 1 sessions are present."""
-    present = F.count(F.lit(1)).over(_over(-sessions_back))
-    return F.when(present == sessions_back + 1, value)
-
-
-def forward_labels(horizons: tuple[int, ...] = HORIZONS) -> list[Column]:
-    out = []
-    for h in horizons:
-        ret = _at("close", h) / F.col("close") - 1
-        out += [ret.alias(f"forward_return_{h}"), (ret > 0).alias(f"forward_up_{h}")]
-    return out
-
-
-def momentum(n: int) -> Column:
-    """Exact-session return over ``n`` sessions."""
-    return simple_return(_at("close", -n), F.col("close"))
-
-
 def row_momentum(n: int) -> Column:
     """Return against the n-th previous row, whichever session that was."""
     return simple_return(F.lag("close", n).over(Window.partitionBy(ENTITY).orderBy(NO)), F.col("close"))
 
 
-def own_features(bars: DataFrame) -> DataFrame:
-    """Features of each entity's own series.  ``bars``: entity, session, session_no, close, high, low, volume."""
+def own_features(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """Features of each entity's own series.  ``bars``: entity, session, session_no, close, high, low, volume.
+
+    Every frame is evaluated once and named; the features are then plain
+    arithmetic over the named frames.
+    """
     rows = Window.partitionBy(ENTITY).orderBy(NO)
-    c, v = F.col("close"), F.col("volume").cast("double")
-    with_return = bars.withColumn("_ret", simple_return(F.lag("close").over(rows), c))
-    high20, high60 = F.max("close").over(_over(-19)), F.max("close").over(_over(-59))
-    low60 = F.min("close").over(_over(-59))
-    sma20 = F.avg("close").over(_over(-19))
-    prior5 = F.avg(v).over(_over(-5, -1))
-    mean20 = F.avg(v).over(_over(-19))
-    return with_return.select(
-        ENTITY,
-        SESSION,
-        NO,
-        "close",
-        momentum(1).alias("return_1"),
-        momentum(5).alias("momentum_5"),
-        momentum(20).alias("momentum_20"),
-        _exact(F.stddev_samp("_ret").over(_over(-19)) * ANNUAL, 20).alias("volatility_20"),
-        _exact(F.when(prior5 != 0, v / prior5 - 1), 5).alias("volume_change_5"),
-        F.when(c != 0, (F.col("high") - F.col("low")) / c).alias("range_pct"),
-        _exact(c / sma20 - 1, 19).alias("close_vs_sma20"),
-        _exact(F.when(mean20 != 0, v / mean20), 19).alias("volume_ratio_20"),
-        _exact(c / high20 - 1, 19).alias("drawdown_20"),
-        _exact(c / high60 - 1, 59).alias("drawdown_60"),
-        _exact(c / low60 - 1, 59).alias("distance_to_support_60"),
-        _exact(high20 / c - 1, 19).alias("rebound_potential_20"),
-        _exact(high60 / c - 1, 59).alias("rebound_potential_60"),
-        *forward_labels(),
-    )
+    vol = F.col("volume").cast("double")
+    present = lambda back: F.count(F.lit(1)).over(_over(-back)) == back + 1
+    frames = {
+        **{f"_back_{n}": _at("close", -n) for n in (1, 5, 20)},
+        **{f"_ahead_{h}": _at("close", h) for h in horizons},
+        **{f"_all_{n}": present(n) for n in (5, 19, 20, 59)},
+        "_deviation": F.stddev_samp("_ret").over(_over(-19)),
+        "_prior_volume": F.avg(vol).over(_over(-5, -1)),
+        "_mean_volume": F.avg(vol).over(_over(-19)),
+        "_mean_close": F.avg("close").over(_over(-19)),
+        "_high_20": F.max("close").over(_over(-19)),
+        "_high_60": F.max("close").over(_over(-59)),
+        "_low_60": F.min("close").over(_over(-59)),
+    }
+    df = bars.withColumn("_ret", simple_return(F.lag("close").over(rows), F.col("close"))).withColumns(frames)
+    c, f = F.col("close"), F.col
+    whole = lambda back, value: F.when(f(f"_all_{back}"), value)
+    out = {
+        "return_1": simple_return("_back_1", c),
+        "momentum_5": simple_return("_back_5", c),
+        "momentum_20": simple_return("_back_20", c),
+        "volatility_20": whole(20, f("_deviation") * ANNUAL),
+        "volume_change_5": whole(5, F.when(f("_prior_volume") != 0, vol / f("_prior_volume") - 1)),
+        "range_pct": F.when(c != 0, (f("high") - f("low")) / c),
+        "close_vs_sma20": whole(19, c / f("_mean_close") - 1),
+        "volume_ratio_20": whole(19, F.when(f("_mean_volume") != 0, vol / f("_mean_volume"))),
+        "drawdown_20": whole(19, c / f("_high_20") - 1),
+        "drawdown_60": whole(59, c / f("_high_60") - 1),
+        "distance_to_support_60": whole(59, c / f("_low_60") - 1),
+        "rebound_potential_20": whole(19, f("_high_20") / c - 1),
+        "rebound_potential_60": whole(59, f("_high_60") / c - 1),
+    }
+    for h in horizons:
+        out[f"forward_return_{h}"] = f(f"_ahead_{h}") / c - 1
+        out[f"forward_up_{h}"] = f(f"_ahead_{h}") / c - 1 > 0
+    return df.select(ENTITY, SESSION, NO, "close", *[v.alias(k) for k, v in out.items()])
 
 
 def session_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ NAMES = (
 
 def cents(c: str):
     """Money as whole cents, so that sums do not depend on the order of rows."""
-    return F.round(F.col(c) * 100).cast("long")
+    return F.floor(F.col(c) * 100 + 0.5)
 
 
 class Tables:
@@ -59,20 +59,19 @@ class Tables:
         )
 
     def _line_bars(self, session) -> DataFrame:
-        """Per (entity, session, source) sums, reduced by supplier before the join."""
-        line = self.raw("lineitem")
-        price = F.col("l_extendedprice") / F.col("l_quantity")
-        by_supplier = line.groupBy("l_suppkey", session.alias("session_date"), F.col("l_returnflag").alias("source")).agg(
-            F.sum(cents("l_extendedprice")).alias("c"),
-            F.sum(F.col("l_quantity").cast("long")).alias("q"),
-            F.max(price).alias("hi"),
-            F.min(price).alias("lo"),
-        )
+        """Per (entity, session, source) sums.
+
+        Suppliers are broadcast while Spark finds them small enough, and the
+        lines then never shuffle: only the combined sums do.  Beyond that size
+        both sides shuffle and adaptive execution splits a hot supplier.
+        """
+        line, price = self.raw("lineitem"), F.col("l_extendedprice") / F.col("l_quantity")
         supplier = self.raw("supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("entity_id"))
+        rows = line.select("l_suppkey", session.alias("session_date"), F.col("l_returnflag").alias("source"), cents("l_extendedprice").alias("c"), F.col("l_quantity").cast("long").alias("q"), price.alias("p"))
         return (
-            by_supplier.join(supplier, by_supplier.l_suppkey == supplier.s_suppkey)
+            rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
             .groupBy("entity_id", "session_date", "source")
-            .agg(F.sum("c").alias("notional_cents"), F.sum("q").alias("volume"), F.max("hi").alias("high"), F.min("lo").alias("low"))
+            .agg(F.sum("c").alias("notional_cents"), F.sum("q").alias("volume"), F.max("p").alias("high"), F.min("p").alias("low"))
         )
 
     @cached_property
@@ -144,20 +143,19 @@ class Tables:
 
     @cached_property
     def order_flows(self) -> DataFrame:
-        """Cents ordered per (entity, quarter) by status, reduced by customer before the join."""
-        o = self.raw("orders")
-        c = cents("o_totalprice")
-        part = lambda s: F.sum(F.when(F.col("o_orderstatus") == s, c).otherwise(0))
-        by_customer = o.groupBy("o_custkey", F.trunc("o_orderdate", "quarter").alias("quarter")).agg(
+        """Cents ordered per (entity, quarter) by status."""
+        part = lambda s: F.sum(F.when(F.col("o_orderstatus") == s, F.col("c")).otherwise(0))
+        flows = self.entity_orders.groupBy("entity_id", F.trunc("o_orderdate", "quarter").alias("quarter")).agg(
             part("F").alias("f"), part("O").alias("o"), part("P").alias("p"), F.count("*").alias("n")
         )
+        return self.shared("order_flows", flows)
+
+    @property
+    def entity_orders(self) -> DataFrame:
+        """Orders with the entity of their customer; see ``_line_bars`` on the join."""
         customer = self.raw("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("entity_id"))
-        return self.shared(
-            "order_flows",
-            by_customer.join(customer, by_customer.o_custkey == customer.c_custkey)
-            .groupBy("entity_id", "quarter")
-            .agg(F.sum("f").alias("f"), F.sum("o").alias("o"), F.sum("p").alias("p"), F.sum("n").alias("n")),
-        )
+        o = self.raw("orders").select("o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", cents("o_totalprice").alias("c"))
+        return o.join(customer, F.col("o_custkey") == F.col("c_custkey"))
 
     @staticmethod
     def _statement(flows: DataFrame, filing_days: int) -> DataFrame:
@@ -246,12 +244,9 @@ class Tables:
     @cached_property
     def analyst_snapshots(self) -> DataFrame:
         """Monthly counts of five ordered opinions per entity, captured at the end of the month."""
-        o = self.raw("orders")
         count = lambda p: F.count_if(F.col("o_orderpriority") == p)
         names = {"strong_buy": "1-URGENT", "buy": "2-HIGH", "hold": "3-MEDIUM", "sell": "4-NOT SPECIFIED", "strong_sell": "5-LOW"}
-        by_customer = o.groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("period_date")).agg(*[count(p).alias(k) for k, p in names.items()])
-        customer = self.raw("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("entity_id"))
-        monthly = by_customer.join(customer, by_customer.o_custkey == customer.c_custkey).groupBy("entity_id", "period_date").agg(*[F.sum(k).alias(k) for k in names])
+        monthly = self.entity_orders.groupBy("entity_id", F.trunc("o_orderdate", "month").alias("period_date")).agg(*[count(p).alias(k) for k, p in names.items()])
         month_end = F.last_day("period_date").cast("timestamp_ntz") + F.expr("interval 20 hours")
         return monthly.withColumn("observed_at", month_end).withColumn("source", F.lit("orders"))
 
