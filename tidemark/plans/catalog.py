@@ -1,3 +1,3 @@
 """Imports every plan module."""
 
-from tidemark.plans import audits, earnings_plan, evaluation, modelling, observations, prices, ranking, statements, streams, texts  # noqa: F401
+from tidemark.plans import audits, earnings_plan, evaluation, modelling, observations, prices, ranking, scoring, statements, streams, texts  # noqa: F401
