@@ -115,7 +115,7 @@ ranked AS (SELECT *, CASE WHEN age_days NOT BETWEEN 0 AND 180 THEN 'old_ttm_peri
 
 @query(
     "ranked_candidates",
-    "Q1 P11 P12 F18 T2 T6",
+    "Q1 P9 P11 P12 F18 T2 T6",
     f"""WITH {RANK_SQL} SELECT entity_id, session_date, sector, reject_reason, {rnd('financial_score', 4)} AS financial_score, {rnd('technical_score', 2)} AS technical_score, {rnd('earnings_score', 4)} AS earnings_score, analyst_score,
   CASE WHEN reject_reason IS NULL THEN {rnd('total_score', 4)} END AS total_score,
   CASE WHEN reject_reason IS NULL AND rk <= {TOP} THEN rk END AS rank
