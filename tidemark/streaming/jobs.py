@@ -1,8 +1,10 @@
 """Streams of observations: event time from the source, arrival as observed time.
 
-State is keyed, so Spark spreads it over the shuffle partitions, and it expires
-with the watermark.  The watermark must be longer than the longest lateness
-that still counts.
+State is keyed, so Spark spreads it over the shuffle partitions.  Windowed and
+deduplicating jobs drop state behind the watermark, which must be longer than
+the longest lateness that still counts.  Change capture keeps one value per key
+for good.  Sources should bound a micro-batch (``maxFilesPerTrigger``,
+``maxOffsetsPerTrigger``), which also bounds the rows of one key in it.
 """
 
 from __future__ import annotations
