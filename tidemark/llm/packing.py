@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -22,31 +24,58 @@ BLOCK_BINS = 512
 LOOSE = 0.97
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for letters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class _WordIds(dict):
     """White-space separated words to their token ids as bytes; words seen are kept up to a bound.
 
     The tokenizer drops white space and never merges across it, so a text's ids
-    are those of its words in order.
+    are those of its words in order.  A word of Latin letters is one unit to it:
+    such words skip the pattern search and go to the merges at once, and a
+    final ``,`` or the like, a unit of its own after a letter, is looked up apart.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    _LETTERS = _byte_letters()
+    _MARKS = frozenset(b",.;:!?")
+
+    def __init__(self, path: str, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
-        self._encode = Tokenizer.from_file(path).encode_batch
-        self._most = most
+        whole = Tokenizer.from_file(path)
+        self._encode, self._merge, self._most = whole.encode, whole.model.tokenize, most
 
-    def learn(self, texts: list[list[bytes]]) -> None:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self._most:
             self.clear()
-        new = list(set().union(*texts) - self.keys())
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, e in zip(part, self._encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self[word] = np.asarray(e.ids, dtype="<u4").tobytes()
+        text = word.decode("utf-8", "replace")
+        if len(word) > 1 and word[-1] in self._MARKS and text[-2].isalpha() and text[-2] < "\u0180" and text[-2] != "\u0130":
+            ids = self[word[:-1]] + self[word[-1:]]
+        elif text.isascii() and text.isalpha():
+            ids = self._pack(x.id for x in self._merge(text.lower()))
+        elif text.isalpha() and max(text) < "\u0180" and "\u0130" not in text and is_normalized("NFC", text):
+            ids = self._pack(x.id for x in self._merge(text.lower().encode().decode("latin-1").translate(self._LETTERS)))
+        else:
+            ids = np.asarray(self._encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    @staticmethod
+    def _pack(ids: Iterable[int]) -> bytes:
+        ids = list(ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def stream(self, text: bytes) -> bytes:
+        """The ids of a text.  A-Z fold first, where that can't make one of the tokenizer's own marks."""
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
@@ -65,11 +94,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                texts = [x.split() for x in text_rows(batch)]
-                known.learn(texts)
                 at, piece, start, length, crc, ids = [], [], [], [], [], []
-                for row, words in enumerate(texts):
-                    stream = b"".join(map(known.__getitem__, words)) + end
+                for row, text in enumerate(text_rows(batch)):
+                    stream = known.stream(text) + end
                     for k, i in enumerate(range(0, len(stream), 4 * capacity)):
                         part = stream[i : i + 4 * capacity]
                         at.append(row)
@@ -111,63 +138,77 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def _sums(sizes: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sizes of a bin, and the sums of two items as (sum, one, other)."""
+    one = np.array(sorted(sizes), dtype=np.int64)
+    i, j = np.triu_indices(len(one))
+    apart = (i != j) | (np.array([sizes[int(x)] for x in one])[i] > 1)
+    return one, np.stack([one[i] + one[j], one[i], one[j]])[:, apart]
+
+
 def _exchange(src: Counter, dst: Counter, gap: int) -> tuple[int, tuple, tuple] | None:
     """What to give and take so that ``dst`` gains most without passing its gap: one or two sizes for none, one or two."""
-    xs, ys = np.array(sorted(src)), np.array(sorted(dst))
-    give = [((int(x),), int(x)) for x in xs]
-    two = [((int(a), int(b)), int(a + b)) for i, a in enumerate(xs) for b in xs[i:] if a != b or src[int(a)] > 1]
-    take = [((), 0)] + [((int(y),), int(y)) for y in ys]
-    pair = [((int(a), int(b)), int(a + b)) for i, a in enumerate(ys) for b in ys[i:] if a != b or dst[int(a)] > 1]
+    (xs, x2), (ys, y2) = _sums(src), _sums(dst)
+    single = np.concatenate(([0], ys))
     best: tuple[int, tuple, tuple] | None = None
-    for gives, takes in ((give, take), (two, take[1:]), (give, pair)):
-        if not gives or not takes:
+    for gives, takes, kind in ((xs, single, 0), (x2[0], ys, 1), (xs, y2[0], 2)):
+        if not len(gives) or not len(takes):
             continue
-        gain = np.array([s for _, s in gives])[:, None] - np.array([s for _, s in takes])[None, :]
-        gain[gain > gap] = 0
-        i, j = np.unravel_index(int(gain.argmax()), gain.shape)
-        if gain[i, j] > 0 and (best is None or gain[i, j] > best[0]):
-            best = (int(gain[i, j]), gives[i][0], takes[j][0])
+        # the most that fits: for each take, the largest give up to take + gap
+        order = np.argsort(gives, kind="stable")
+        at = np.searchsorted(gives[order], takes + gap, side="right") - 1
+        gain = np.where(at >= 0, gives[order][np.maximum(at, 0)] - takes, 0)
+        j = int(gain.argmax())
+        if gain[j] > (best[0] if best else 0):
+            i = int(order[at[j]])
+            give = (int(x2[1, i]), int(x2[2, i])) if kind == 1 else (int(xs[i]),)
+            take = (int(y2[1, j]), int(y2[2, j])) if kind == 2 else (int(single[j]),) * bool(single[j]) if kind == 0 else (int(ys[j]),)
+            best = (int(gain[j]), give, take)
+            if best[0] == gap:
+                break
     return best
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Empty underfull bins into others by moves, one-for-one and two-for-one exchanges.
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, sources: int = 4) -> list[list[int]]:
+    """Empty underfull bins into others by moves, one-for-one, two-for-one and one-for-two exchanges.
 
     Every exchange takes from the emptier bin to the fuller, so the sum of
     squared fills, a whole number with a bound, grows by each: the search ends.
-    It stops as soon as no fewer bins are possible.
+    The ``sources`` emptiest bins are tried in turn, each against the others
+    from the fullest down, and a bin that becomes empty goes.  It stops when no
+    fewer bins are possible or none of the sources gains.
     """
     least = -(-int(sizes.sum()) // capacity)
-    bins = [list(b) for b in bins if b]
-    fill = [int(sizes[b].sum()) for b in bins]
-    tried: set[int] = set()
-    while len(bins) > max(1, least):
-        sources = [i for i in range(len(bins)) if fill[i] < capacity and i not in tried]
-        if not sources:
-            break
-        s = min(sources, key=lambda i: (fill[i], i))
-        moved = False
-        for t in sorted((i for i in range(len(bins)) if i != s and fill[s] <= fill[i] < capacity), key=lambda i: (-fill[i], i)):
-            while bins[s] and fill[t] < capacity and fill[s] <= fill[t] and (x := _exchange(Counter(sizes[bins[s]].tolist()), Counter(sizes[bins[t]].tolist()), capacity - fill[t])):
-                gain, give, take = x
-                for a, b, moving in ((s, t, give), (t, s, take)):
-                    for n in moving:
-                        item = next(i for i in bins[a] if sizes[i] == n)
-                        bins[a].remove(item)
-                        bins[b].append(item)
-                fill[s], fill[t], moved = fill[s] - gain, fill[t] + gain, True
-            if not bins[s]:
+    held = [Counter(sizes[b].tolist()) for b in bins]
+    items: dict[int, list[int]] = {}
+    for i in np.argsort(sizes, kind="stable").tolist():
+        items.setdefault(int(sizes[i]), []).append(i)
+    fill = [sum(n * c for n, c in h.items()) for h in held]
+    full = [h for h, f in zip(held, fill) if f == capacity]
+    held, fill = [h for h, f in zip(held, fill) if f < capacity], [f for f in fill if f < capacity]
+    gained = True
+    while gained and len(held) + len(full) > max(1, least):
+        gained = False
+        for s in sorted(range(len(held)), key=lambda i: fill[i])[:sources]:
+            for t in sorted((i for i in range(len(held)) if i != s), key=lambda i: -fill[i]):
+                while held[s] and fill[s] <= fill[t] < capacity and (x := _exchange(held[s], held[t], capacity - fill[t])):
+                    gain, give, take = x
+                    for n in give:
+                        held[s][n] -= 1
+                        held[t][n] += 1
+                    for n in take:
+                        held[t][n] -= 1
+                        held[s][n] += 1
+                    held[s], held[t] = +held[s], +held[t]
+                    fill[s], fill[t], gained = fill[s] - gain, fill[t] + gain, True
+                if not held[s]:
+                    break
+            if not held[s]:
+                held.pop(s)
+                fill.pop(s)
                 break
-        if not bins[s]:
-            bins.pop(s)
-            fill.pop(s)
-            tried.clear()
-        elif moved:
-            tried.clear()
-            tried.add(s)
-        else:
-            tried.add(s)
-    return bins
+    # Items of one size are alike: each bin takes as many as it holds.
+    return [[items[n].pop() for n, c in sorted(h.items(), reverse=True) for _ in range(c)] for h in [*full, *held]]
 
 
 def _block_packer(capacity: int, base: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
