@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import minhash, packing, secrets, toxicity, urls, warc
+from tidemark.llm import kneser_ney, minhash, packing, secrets, topk, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = topk.quantized(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(table, table.where("vec_id % 50 = 0"))
+
+
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +52,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_warc, op4_toxicity, op9_minhash_near_dedup, op10_secret_scans)}
-SQL: dict[str, str] = {"op2_url_filters": urls.ORACLE, "op3_warc": warc.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_warc, op4_toxicity, op5_exact_top_k, op6_language_model, op9_minhash_near_dedup, op10_secret_scans)}
+SQL: dict[str, str] = {"op2_url_filters": urls.ORACLE, "op3_warc": warc.ORACLE, "op5_exact_top_k": topk.ORACLE}
