@@ -5,16 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
+from tidemark.llm.decontamination import clean
+from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.secrets import redacted
+from tidemark.llm.toxicity import fitted, scored
+
+#: Near-duplicates share four fifths of their five-word shingles.
+SIMILARITY = 80
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows whose id is not listed.  The list is staged, so Spark knows its size when it picks the join."""
+    return docs.join(stage(ids.select("doc_id").distinct(), name), "doc_id", "left_anti").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier gives 0.5 or more go; the others stay as they are."""
+    model = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(False))
+    return scored(docs, model, keep=True).where("toxic_score < 0.5").select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest id."""
+    return _without(docs, near_duplicates(docs, SIMILARITY).where("NOT kept"), "repeats")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, in one piece or reordered, go."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; found secrets are replaced by a mark."""
-    return redacted(docs)
+    """Every document stays; found secrets are replaced by a mark and ``n_chars`` follows."""
+    out = redacted(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else out
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +52,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("secret_scans", secret_scans),
     ("best_fit_packing", best_fit_packing),
 ]

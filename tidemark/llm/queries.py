@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import kneser_ney, minhash, packing, secrets, topk, toxicity, urls, warc
+from tidemark.llm import decontamination, kneser_ney, licenses, minhash, packing, secrets, topk, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.language_model_scores(_table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -52,5 +60,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_warc, op4_toxicity, op5_exact_top_k, op6_language_model, op9_minhash_near_dedup, op10_secret_scans)}
-SQL: dict[str, str] = {"op2_url_filters": urls.ORACLE, "op3_warc": warc.ORACLE, "op5_exact_top_k": topk.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_warc, op4_toxicity, op5_exact_top_k, op6_language_model, op7_benchmark_decontamination, op8_license_scans, op9_minhash_near_dedup, op10_secret_scans)}
+SQL: dict[str, str] = {"op2_url_filters": urls.ORACLE, "op3_warc": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op8_license_scans": licenses.ORACLE}

@@ -175,14 +175,16 @@ class _WordScores(dict):
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: bool = False) -> DataFrame:
-    """(id, score) of every whole text, or with ``keep`` all columns and score; null and empty texts score as a bag of one empty word.
+    """(id, score) of every whole text, or with ``keep`` all columns and ``toxic_score``; null and empty texts score as a bag of one empty word.
 
     The model, of fixed size, travels with the task.
     """
     logits, base = model.word_logits().astype(np.float32), model.base
     columns = docs.columns if keep else [id_col, text_col]
     at = columns.index(text_col)
-    out = [c for c in columns if keep or c == id_col]
+    out, name = [c for c in columns if keep or c == id_col], "toxic_score" if keep else "score"
+    if name in out:
+        raise ValueError(f"a column {name} is there already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordScores(logits)
@@ -194,9 +196,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 s = np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
                 z.append(_worst(s, window)[1])
             p = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=np.float64) + base, -60, 60)))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in out] + [pa.array(p, pa.float64())], names=[*out, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in out] + [pa.array(p, pa.float64())], names=[*out, name])
 
-    schema = docs.select(*out).withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*out).withColumn(name, F.lit(0.0)).schema
     return docs.select(*columns).mapInArrow(run, schema)
 
 
