@@ -27,7 +27,8 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives 0.5 or more go; the others stay as they are."""
     model = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(False))
-    return scored(docs, model, keep=True).where("toxic_score < 0.5").select(*docs.columns)
+    judged = scored(docs, model, keep=True)
+    return judged.where(F.col(judged.columns[-1]) < 0.5).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ SAMPLE_CHARS = 40_000_000
 #: Words of one window.  A text's score is that of its most toxic window, so long texts dilute nothing.
 WINDOW = 12
 BUCKETS = 1 << 17
+#: Gradient steps at least: few texts are gone through more often.
+STEPS = 480
 #: What embeddings keep at each step: subwords that nothing teaches any more fade.
 DECAY = 0.995
 DIM = 8
@@ -142,6 +144,8 @@ def train(texts: list[bytes], labels: list[int], window: int = WINDOW, epochs: t
         model.bias[:] = (0, 20) if y.any() else (20, 0)
         return model
     corpus, adam = _Corpus(texts), _Adam(rate)
+    again = max(1, STEPS // (sum(epochs) * -(-len(y) // 64)))
+    epochs = (epochs[0] * again, epochs[1] * again)
     for epoch in range(sum(epochs)):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), 64):
@@ -175,7 +179,7 @@ class _WordScores(dict):
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: bool = False) -> DataFrame:
-    """(id, score) of every whole text, or with ``keep`` all columns and ``toxic_score``; null and empty texts score as a bag of one empty word.
+    """(id, score) of every whole text, or with ``keep`` all columns and, last, ``toxic_score`` under a name that is free; null and empty texts score as a bag of one empty word.
 
     The model, of fixed size, travels with the task.
     """
@@ -183,8 +187,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     columns = docs.columns if keep else [id_col, text_col]
     at = columns.index(text_col)
     out, name = [c for c in columns if keep or c == id_col], "toxic_score" if keep else "score"
-    if name in out:
-        raise ValueError(f"a column {name} is there already")
+    while name.lower() in (c.lower() for c in out):
+        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordScores(logits)
