@@ -22,14 +22,14 @@ _U = np.uint64
 #: Words are 56-bit hashes; these two stand for the start and the end of a text.
 START, END = 0, 1
 #: Text bytes for each shard of the model, and tokens that a task counts before it sends them on.
-SHARD_BYTES, FLUSH = 16_000_000, 3_000_000
+SHARD_BYTES, FLUSH = 12_000_000, 1_200_000
 
 
 class _Words(dict):
     """Words to 56-bit hashes; words seen are kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = (xxhash.xxh3_64_intdigest(word) >> 8) | 2
         return h
