@@ -86,8 +86,10 @@ class _Corpus:
 
     def __init__(self, texts: list[bytes]):
         number: dict[bytes, int] = {}
-        self.docs = [np.array([number.setdefault(w, len(number)) for w in t.split()] or [number.setdefault(b"", len(number))]) for t in texts]
-        self.flat, self.size = subwords(list(number))
+        self.docs = [np.array([number.setdefault(w, len(number)) for w in t.split()] or [number.setdefault(b"", len(number))], dtype=np.int32) for t in texts]
+        words = list(number)
+        parts = [subwords(words[i : i + 10_000]) for i in range(0, len(words), 10_000)]
+        self.flat, self.size = (np.concatenate(x) for x in zip(*((f.astype(np.int32), n) for f, n in parts)))
         self.start = np.cumsum(self.size) - self.size
 
     def batch(self, bags: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -223,7 +225,9 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out: Column, sample: tuple[i
     kept = texts.select("doc_id", "toxic", F.length("text").alias("n")).withColumn("sum", F.sum("n").over(by_hash)).where(F.col("sum") <= chars).select("doc_id").distinct()
     rows = texts.join(F.broadcast(kept), "doc_id").select("doc_id", "toxic", F.col("text").cast("binary").alias("text")).toPandas()
     rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
-    return train([bytes(x) for x in rows["text"]], rows["toxic"].tolist())
+    examples, answers = [bytes(x) for x in rows["text"]], rows["toxic"].tolist()
+    del rows
+    return train(examples, answers)
 
 
 def fold(column: str = "doc_id", folds: int = 5) -> Column:
