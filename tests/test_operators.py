@@ -125,6 +125,35 @@ def test_half_open_membership_and_capture(spark):
     assert rows(out, "entity_id", "day", "is_member") == [(1, D(2026, 10, 2), True), (1, D(2026, 10, 5), False), (2, D(2026, 10, 2), False), (2, D(2026, 10, 5), True)]
 
 
+def test_membership_starts_on_its_own_day(spark):
+    m = spark.createDataFrame([(1, D(2024, 1, 5), None, TS(2024, 1, 1)), (2, D(2024, 1, 5), D(2024, 1, 20), None)], "entity_id long, f date, t date, seen timestamp_ntz")
+    d = spark.createDataFrame([(e, D(2024, 1, day), TS(2024, 1, 10)) for e in (1, 2) for day in (1, 5, 9)], "entity_id long, day date, at timestamp_ntz")
+    want = [(e, D(2024, 1, day), day >= 5) for e in (1, 2) for day in (1, 5, 9)]
+    assert rows(A.member_asof(d, m, ["entity_id"], "at", "day", "f", "t", "seen"), "entity_id", "day", "is_member") == want
+    assert rows(A.member_asof(d, m, ["entity_id"], "at", "day", "f", "t"), "entity_id", "day", "is_member") == want
+
+
+def test_reports_observed_later_change_nothing(spark):
+    asks = spark.createDataFrame([(1, TS(2024, 5, day, 21)) for day in (11, 12, 13, 20, 23)], "entity_id long, at timestamp_ntz")
+    known = [(1, 7, D(2024, 5, 12), TS(2024, 5, 12, 18), 4.0)]
+    later = [(1, 7, D(2024, 5, 12), TS(2024, 5, 22), 9.0)]
+    kind = "entity_id long, event_id long, reported_date date, observed_at timestamp_ntz, surprise double"
+    find = lambda data: rows(R.recent_report(asks, spark.createDataFrame(data, kind), "at", ["surprise"]), "at", "surprise")
+    assert find(known) == [(TS(2024, 5, 11, 21), None), (TS(2024, 5, 12, 21), None), (TS(2024, 5, 13, 21), 4.0), (TS(2024, 5, 20, 21), 4.0), (TS(2024, 5, 23, 21), 4.0)]
+    assert find(known + later) == find(known)[:4] + [(TS(2024, 5, 23, 21), 9.0)]
+
+
+def test_expected_reports_as_the_calendar_was_known(spark):
+    days = [(D(2024, 5, d), n) for n, d in enumerate((1, 2, 3, 6, 7, 8, 9, 10, 13, 14, 15, 16, 17))]
+    calendar = spark.createDataFrame(days, "session_date date, session_no int")
+    asks = spark.createDataFrame([(1, TS(2024, 5, d, 21)) for d in (1, 2, 7, 9)], "entity_id long, at timestamp_ntz")
+    expected = [(1, 7, D(2024, 5, 15), TS(2024, 4, 1)), (1, 7, D(2024, 5, 8), TS(2024, 5, 2, 12)), (1, 8, D(2024, 5, 17), TS(2024, 5, 9, 22))]
+    reports = [(1, 7, TS(2024, 5, 7, 20))]
+    out = R.upcoming_report(asks, spark.createDataFrame(expected, "entity_id long, event_id long, expected_date date, observed_at timestamp_ntz"), spark.createDataFrame(reports, "entity_id long, event_id long, observed_at timestamp_ntz"), calendar, "at")
+    # moved forward on the 2nd, reported early on the 7th, the next one not on the calendar yet on the 9th
+    assert rows(out, "at", "reported_date", "sessions_until") == [(TS(2024, 5, 1, 21), D(2024, 5, 15), 10), (TS(2024, 5, 2, 21), D(2024, 5, 8), 4), (TS(2024, 5, 7, 21), None, None), (TS(2024, 5, 9, 21), None, None)]
+
+
 def test_change_points_keep_a_b_a_across_blocks(spark):
     data = [(1, 1, TS(2024, 1, 1, 1), "a"), (2, 1, TS(2024, 1, 1, 2), "a"), (3, 1, TS(2024, 1, 2), "b"), (4, 1, TS(2024, 1, 5), "b"), (5, 1, TS(2024, 1, 6), "a"), (6, 1, TS(2024, 1, 7), None)]
     df = spark.createDataFrame(data, "id int, k int, ts timestamp_ntz, s string")

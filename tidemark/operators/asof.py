@@ -100,16 +100,21 @@ def stale_to_null(df: DataFrame, age: Column, max_age: int, columns: Names) -> D
 def member_asof(left: DataFrame, members: DataFrame, on: Names, cutoff: str, day: str, start: str, end: str, captured: str | None = None) -> DataFrame:
     """Add ``is_member``: some half-open interval [start, end) known by the cutoff covers the day.
 
-    Among the intervals usable by the cutoff one covers the day exactly if the
-    furthest end lies after it, so a running maximum answers what would
-    otherwise be an interval join.
+    Without a capture time, among the intervals begun by the day one covers it
+    exactly if the furthest end lies after it, so a running maximum answers what
+    would otherwise be an interval join.  With one, begin and capture are held
+    against two different times: the few intervals that cover the day are met in
+    buckets, and those captured by the cutoff count.
     """
-    usable = F.col(start).cast("timestamp_ntz")
-    if captured:
-        usable = F.greatest(usable, F.coalesce(F.col(captured), usable))
-    spans = members.select(*on, usable.alias("_from"), F.coalesce(F.col(end), F.lit("9999-12-31").cast("date")).alias("_until"))
-    out = asof_best(left, spans, on, cutoff, "_from", ["_until"], best=["_until"])
-    return out.withColumn("is_member", F.coalesce(F.col("_until") > F.col(day), F.lit(False))).drop("_until")
+    if captured is None:
+        spans = members.select(*on, F.col(start).alias("_from"), F.coalesce(F.col(end), F.lit("9999-12-31").cast("date")).alias("_until"))
+        out = asof_best(left, spans, on, day, "_from", ["_until"], best=["_until"])
+        return out.withColumn("is_member", F.coalesce(F.col("_until") > F.col(day), F.lit(False))).drop("_until")
+    asks = left.select(*on, day, cutoff).distinct()
+    spans = members.select(*on, F.col(start).alias("_begins"), F.col(end).alias("_ends"), F.col(captured).alias("_seen"))
+    met = interval_join(asks, spans, on, day, "_begins", "_ends").where(F.coalesce(F.col("_seen") <= F.col(cutoff), F.lit(True)))
+    found = met.select(*on, day, cutoff).distinct().withColumn("_found", F.lit(True))
+    return left.join(found, [*on, day, cutoff], "left").select(*left.columns, F.coalesce("_found", F.lit(False)).alias("is_member"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: Names, day: str, start: str, end: str, width_days: int = 92) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import simple_return
-from tidemark.operators.asof import asof_best, live_streak
+from tidemark.operators.asof import asof_best, interval_join, live_streak
 from tidemark.operators.latest import latest_row
 from tidemark.operators.ranks import medians
 
@@ -88,25 +88,49 @@ def earnings_asof(decisions: DataFrame, versions: DataFrame, cutoff: str, values
     return out.withColumn("days_since", F.datediff(F.to_date(cutoff), "reported_date"))
 
 
-def recent_report(rows: DataFrame, reports: DataFrame, day: str, values: list[str], max_age: int = 30) -> DataFrame:
-    """The latest report strictly before each row's own day and at most ``max_age`` days old.
+def recent_report(rows: DataFrame, reports: DataFrame, cutoff: str, values: list[str], max_age: int = 30) -> DataFrame:
+    """The latest report from before the cutoff's day, at most ``max_age`` days old, as known at the cutoff.
 
-    Values of one report stay together: they all come from its newest capture.
+    A version is usable once its report day is over and it was observed.  Values
+    of one report stay together: they all come from its newest usable version.
     """
-    out = asof_best(rows, reports, [ENTITY], day, "reported_date", ["reported_date", *values], best=["reported_date", "observed_at", "event_id"], strict=True)
-    fresh = F.coalesce(F.datediff(day, "reported_date") <= max_age, F.lit(False))
+    usable = F.greatest(F.date_add("reported_date", 1).cast("timestamp_ntz"), F.col("observed_at"))
+    known = reports.where(F.col("reported_date").isNotNull() & F.col("observed_at").isNotNull()).withColumn("_usable", usable)
+    out = asof_best(rows, known, [ENTITY], cutoff, "_usable", ["reported_date", *values], best=["reported_date", "observed_at", "event_id"])
+    fresh = F.coalesce(F.datediff(F.to_date(cutoff), "reported_date") <= max_age, F.lit(False))
     return out.withColumns({c: F.when(fresh, F.col(c)) for c in ["reported_date", *values]})
 
 
-def upcoming_report(rows: DataFrame, expected: DataFrame, calendar: DataFrame, day: str, horizons: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """The next expected report on or after each day and the horizons it falls into.
+def scheduled(expected: DataFrame, reports: DataFrame) -> DataFrame:
+    """Calendar observations with the span in which each holds: until the event's next one, or until the event is seen reported."""
+    w = Window.partitionBy(ENTITY, "event_id").orderBy("observed_at", "expected_date")
+    seen = reports.groupBy(ENTITY, "event_id").agg(F.min("observed_at").alias("_seen"))
+    spans = expected.where(F.col("observed_at").isNotNull()).withColumn("_next", F.lead("observed_at").over(w)).join(seen, [ENTITY, "event_id"], "left")
+    return spans.withColumn("until", F.least("_next", "_seen")).where(F.col("until").isNull() | (F.col("observed_at") < F.col("until"))).drop("_next", "_seen")
 
-    ``within`` counts sessions after the day itself; ``within_execution``
+
+def next_expected(rows: DataFrame, expected: DataFrame, reports: DataFrame, cutoff: str) -> DataFrame:
+    """Adds reported_date: the first date on or after the cutoff's day that the calendar, as known at the cutoff, gives for an event not yet reported."""
+    asks = rows.select(ENTITY, F.col(cutoff).alias("_at"), F.to_date(cutoff).alias("_day")).distinct()
+    spans = scheduled(expected, reports).select(ENTITY, "expected_date", F.col("observed_at").alias("_from"), F.col("until").alias("_gone"), F.to_date("observed_at").alias("_first"), F.date_add(F.to_date("until"), 1).alias("_last"))
+    met = interval_join(asks, spans, [ENTITY], "_day", "_first", "_last")
+    holds = (F.col("_from") <= F.col("_at")) & (F.col("_gone").isNull() | (F.col("_at") < F.col("_gone"))) & (F.col("expected_date") >= F.col("_day"))
+    first = met.where(holds).groupBy(ENTITY, "_at").agg(F.min("expected_date").alias("reported_date"))
+    return rows.join(first.withColumnRenamed("_at", cutoff), [ENTITY, cutoff], "left").select(*rows.columns, "reported_date")
+
+
+def upcoming_report(rows: DataFrame, expected: DataFrame, reports: DataFrame, calendar: DataFrame, cutoff: str, horizons: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """The next report expected at the cutoff and the horizons it falls into.
+
+    ``expected`` holds calendar observations (event_id, expected_date,
+    observed_at); what was observed later, or is already reported, plays no
+    part.  ``within`` counts sessions after the cutoff's day; ``within_execution``
     starts one session later, when a decision can first be executed.
     """
     from tidemark.operators.calendar import day_ordinals
 
-    nxt = asof_best(rows, expected, [ENTITY], day, "reported_date", ["reported_date"], forward=True)
+    day = "_day"
+    nxt = next_expected(rows, expected, reports, cutoff).withColumn(day, F.to_date(cutoff))
     # First session at or after a day = sessions up to the day before it, plus one.
     ords = day_ordinals(calendar)
     last_no, last_day = calendar.agg(F.max("session_no")).scalar(), calendar.agg(F.max("session_date")).scalar()

@@ -283,6 +283,12 @@ first_seen AS (SELECT *, CAST(reported_date AS TIMESTAMP) + INTERVAL 25 HOUR AS
 SELECT * FROM first_seen UNION ALL
 SELECT * REPLACE (surprise_percent + 1.0 AS surprise_percent, observed_at + INTERVAL 10 DAY AS observed_at) FROM first_seen WHERE (entity_id + quarter(period_end)) % 4 = 0""",
 )
+cte(
+    "report_calendar",
+    """WITH q AS (SELECT DISTINCT entity_id, event_id, period_end, reported_date FROM earnings_versions)
+SELECT entity_id, event_id, CAST(CASE WHEN (entity_id + quarter(period_end)) % 5 = 0 THEN reported_date + 6 ELSE reported_date END AS DATE) AS expected_date, CAST(period_end AS TIMESTAMP) + INTERVAL 1 DAY AS observed_at FROM q
+UNION ALL SELECT entity_id, event_id, reported_date, CAST(period_end AS TIMESTAMP) + INTERVAL 13 DAY FROM q WHERE (entity_id + quarter(period_end)) % 5 = 0""",
+)
 cte(
     "analyst_snapshots",
     """SELECT CAST(c_nationkey AS BIGINT) AS entity_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS period_date,

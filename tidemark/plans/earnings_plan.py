@@ -71,7 +71,7 @@ def earnings_asof(t: Tables) -> DataFrame:
 
 
 RECENT_SQL = """recent AS (SELECT d.entity_id, d.session_date, e.reported_date, e.surprise_percent, e.revenue_surprise_percent FROM decisions d
-  JOIN LATERAL (SELECT * FROM earnings_versions e WHERE e.entity_id = d.entity_id AND e.reported_date < d.session_date ORDER BY e.reported_date DESC, e.observed_at DESC, e.event_id DESC LIMIT 1) e ON true
+  JOIN LATERAL (SELECT * FROM earnings_versions e WHERE e.entity_id = d.entity_id AND e.reported_date < d.session_date AND e.observed_at <= d.decision_at ORDER BY e.reported_date DESC, e.observed_at DESC, e.event_id DESC LIMIT 1) e ON true
   WHERE d.session_date - e.reported_date <= 30)"""
 
 
@@ -85,14 +85,19 @@ FROM decisions d LEFT JOIN recent r USING (entity_id, session_date)""",
 def recent_report(t: Tables) -> DataFrame:
     from tidemark.operators.rank import catalyst_adjustment
 
-    df = R.recent_report(t.decisions, t.earnings_versions, "session_date", ["surprise_percent", "revenue_surprise_percent"])
+    df = R.recent_report(t.decisions, t.earnings_versions, "decision_at", ["surprise_percent", "revenue_surprise_percent"])
     return df.select("entity_id", "session_date", "reported_date", r6(catalyst_adjustment("surprise_percent", "revenue_surprise_percent")).alias("adjustment"))
 
 
-UPCOMING_SQL = """upcoming AS (SELECT d.entity_id, d.session_date, d.session_no, e.reported_date,
+UPCOMING_SQL = """on_calendar AS (SELECT d.entity_id, d.session_date, d.decision_at, c.event_id, arg_max(c.expected_date, c.observed_at) AS expected_date
+  FROM decisions d JOIN report_calendar c ON c.entity_id = d.entity_id AND c.observed_at <= d.decision_at GROUP BY 1, 2, 3, 4),
+seen_reports AS (SELECT event_id, min(observed_at) AS seen FROM earnings_versions GROUP BY 1),
+next_expected AS (SELECT entity_id, session_date, min(expected_date) AS reported_date FROM on_calendar LEFT JOIN seen_reports USING (event_id)
+  WHERE expected_date >= session_date AND (seen IS NULL OR seen > decision_at) GROUP BY 1, 2),
+upcoming AS (SELECT d.entity_id, d.session_date, d.session_no, e.reported_date,
     CASE WHEN e.reported_date = d.session_date THEN 0 WHEN e.reported_date <= (SELECT max(session_date) FROM calendar)
       THEN greatest((SELECT max(session_no) FROM calendar c WHERE c.session_date <= e.reported_date - 1), d.session_no) + 1 - d.session_no END AS sessions_until
-  FROM decisions d LEFT JOIN LATERAL (SELECT min(reported_date) AS reported_date FROM earnings_versions e WHERE e.entity_id = d.entity_id AND e.reported_date >= d.session_date) e ON true)"""
+  FROM decisions d LEFT JOIN next_expected e USING (entity_id, session_date))"""
 
 
 @query(
@@ -103,8 +108,7 @@ UPCOMING_SQL = """upcoming AS (SELECT d.entity_id, d.session_date, d.session_no,
   coalesce(sessions_until <= 6, false) AS blocks_5 FROM upcoming""",
 )
 def upcoming_report(t: Tables) -> DataFrame:
-    expected = t.earnings_versions.select("entity_id", "reported_date").distinct()
-    df = R.upcoming_report(t.decisions, expected, t.calendar, "session_date")
+    df = R.upcoming_report(t.decisions, t.report_calendar, t.earnings_versions, t.calendar, "decision_at")
     return df.select(
         "entity_id", "session_date", "reported_date", F.col("sessions_until").cast("long").alias("sessions_until"), F.size("within").alias("horizons"), F.array_contains("within_execution", 5).alias("blocks_5")
     )

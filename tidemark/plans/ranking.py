@@ -82,9 +82,8 @@ def ranked_candidates(t: Tables) -> DataFrame:
     setups = t.setups.select(*KEY, F.col("setup_score").alias("technical_score"), "sample_size")
     base = cand.select(*KEY, "sector", "decision_at", "session_no", "age_days", "value_coverage", "ticker")
     df = base.join(scored, KEY, "left").join(setups, KEY, "left")
-    df = R.recent_report(df, t.earnings_versions, "session_date", ["surprise_percent", "revenue_surprise_percent"]).withColumnRenamed("reported_date", "last_report")
-    expected = t.earnings_versions.select("entity_id", "reported_date").distinct()
-    df = R.upcoming_report(df, expected, t.calendar, "session_date")
+    df = R.recent_report(df, t.earnings_versions, "decision_at", ["surprise_percent", "revenue_surprise_percent"]).withColumnRenamed("reported_date", "last_report")
+    df = R.upcoming_report(df, t.report_calendar, t.earnings_versions, t.calendar, "decision_at")
     df = O.consensus_asof(df, t.analyst_snapshots, "decision_at")
     df = df.withColumn("earnings_score", F.lit(50.0) + K.catalyst_adjustment("surprise_percent", "revenue_surprise_percent") * 6.25)
     df = K.priority(df)

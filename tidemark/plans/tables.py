@@ -241,6 +241,15 @@ class Tables:
         again = again.withColumn("observed_at", F.col("observed_at") + F.expr("interval 10 days")).withColumn("surprise_percent", F.col("surprise_percent") + 1.0)
         return first.unionByName(again)
 
+    @cached_property
+    def report_calendar(self) -> DataFrame:
+        """Expected report dates, observed the day after the period ends; every fifth is set too late at first and corrected twelve days on."""
+        q = self.earnings_versions.select("entity_id", "event_id", "period_end", "reported_date").distinct()
+        late = (F.col("entity_id") + F.quarter("period_end")) % 5 == 0
+        first = q.select("entity_id", "event_id", F.when(late, F.date_add("reported_date", 6)).otherwise(F.col("reported_date")).alias("expected_date"), (F.col("period_end").cast("timestamp_ntz") + F.expr("interval 1 day")).alias("observed_at"))
+        again = q.where(late).select("entity_id", "event_id", F.col("reported_date").alias("expected_date"), (F.col("period_end").cast("timestamp_ntz") + F.expr("interval 13 days")).alias("observed_at"))
+        return first.unionByName(again)
+
     @cached_property
     def analyst_snapshots(self) -> DataFrame:
         """Monthly counts of five ordered opinions per entity, captured at the end of the month."""
