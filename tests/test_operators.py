@@ -6,6 +6,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X_text
 from tidemark.functions import clip, finite, midpoint, relative_change, weighted_available
 from tidemark.operators import asof as A
 from tidemark.operators import bars as B
@@ -259,6 +260,55 @@ def test_guidance_text(spark):
     assert got == [(1, "FY", "eps", "adjusted", 2.1, 2.3), (1, "FY", "revenue", "reported", 1.5e9, 1.7e9), (4, "Q2", "revenue", "reported", 5e6, 6e6)]
 
 
+def test_guidance_grammar(spark):
+    lines = {
+        1: "Our outlook: third quarter 2025 revenue is raised from $1.0 to $1.2 billion to $1.3 to $1.4 billion",
+        2: "2025 full year guidance: net sales of $1,250 million &#8211; $1,300 million; GAAP EPS of ($0) no range",
+        3: "We withdrew guidance for fiscal year 2025, revenue of 1 million to 2 million",
+        4: "We expect fiscal 2025 revenue between 5 and 6 million, diluted earnings per share of $1.10 &mdash; $1.20",
+        5: "We expect fiscal 2025 or fiscal 2026 revenue of 5 million to 6 million",
+        6: "word " * 900 + "we anticipate fiscal year 2025 revenues of 7 million through 8 million",
+        7: "For the first quarter and full year 2025 we expect revenue of 1 million to 2 million",
+        8: "We expect fiscal 2031 revenue of 1 million to 2 million",
+        9: "We expect fiscal 2025 revenue of 1 million to 2 billion",
+    }
+    df = spark.createDataFrame([(i, D(2025, 1, 30), f"<p>{h}</p>") for i, h in lines.items()], "id int, filing_date date, html string")
+    got = rows(L.guidance_ranges(df, ["id", "filing_date"]), "id", "fiscal_period", "metric", "method", "low", "high")
+    assert got == [
+        (1, "Q3", "revenue", "reported", 1.3e9, 1.4e9), (2, "FY", "revenue", "reported", 1.25e9, 1.3e9), (4, "FY", "eps", "diluted", 1.1, 1.2),
+        (4, "FY", "revenue", "reported", 5e6, 6e6), (6, "FY", "revenue", "reported", 7e6, 8e6),
+    ]
+
+
+def test_fiscal_targets(spark):
+    texts = ["for the year ending December 31, 2025, in U.S. dollars", "the period ended 2025-06-30 (EUR)", "ends on 31 May", "USD or EUR by year end March 1 2026", "nothing"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    day, currency = L.explicit_target(F.col("t"))
+    assert rows(df.select("id", day.alias("d"), currency.alias("c")), "id", "d", "c") == [(0, D(2025, 12, 31), "USD"), (1, D(2025, 6, 30), "EUR"), (2, None, None), (3, D(2026, 3, 1), None), (4, None, None)]
+
+
+def test_character_references_are_resolved_once(spark):
+    texts = ["a&amp;lt;b", "1&#8211;2 &mdash; &rsquo;s", "&#x1F600;&#128512;", "&bogus; & &amp &#0; &#xD800;", None, "&nbsp;x&#160;y", "no marks"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = [r[1] for r in rows(df.select("id", X_text.resolved_references(F.col("t")).alias("x")), "id", "x")]
+    assert got == ["a&lt;b", "1\u20132 \u2014 \u2019s", "\U0001f600\U0001f600", "&bogus; & &amp &#0; &#xD800;", None, " x y", "no marks"]
+
+
+def test_links_are_filtered_before_any_limit(spark):
+    menu = "".join(f'<a href="/menu/{i}">Menu {i}</a>' for i in range(15))
+    html = menu + '<a href="q1.pdf#page=2">Results</a><a href="//files.example.com/b.pdf">Slides</a><a href="q1.pdf">Again</a><a href="https://evil.test/example.com/c.pdf">x</a><a href="/news">Annual report</a>'
+    df = spark.createDataFrame([(1, "https://ir.example.com/news/index.html?x=1", html)], "id int, url string, html string")
+    got = rows(L.discovered_links(df, "id", "html", kinds=r"(?i)\.pdf$|report", hosts=("example.com",), url="url"), "position", "href")
+    assert got == [(15, "https://ir.example.com/news/q1.pdf"), (16, "https://files.example.com/b.pdf"), (19, "https://ir.example.com/news")]
+    assert L.discovered_links(df, "id", "html").count() == 20 and L.discovered_links(df, "id", "html", kinds="pdf", per_page=1).count() == 1
+
+
+def test_document_kinds_read_the_whole_text(spark):
+    texts = ["x" * 5000 + " transcript of the conference call", "a transcript of records", "quarterly results. slide 1. investor presentation", "hello"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    assert [r[1] for r in rows(df.select("id", X_text.document_kind(F.col("t")).alias("k")), "id", "k")] == ["transcript", "official_release", "presentation", "official_release"]
+
+
 def test_renames_need_the_same_identity(spark):
     cur = spark.createDataFrame([("OLD", "7"), ("GONE", "8")], "name string, identity string")
     new = spark.createDataFrame([("NEW", "7"), ("OTHER", "9")], "name string, identity string")
