@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,40 +9,47 @@ from tidemark.functions import r2
 from tidemark.plans.ctes import rnd
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables
-from tidemark.session import checkpoint_dir
+from tidemark.session import is_folder, new_folder
 from tidemark.streaming import jobs as J
 
 
-def event_stream(t: Tables) -> DataFrame:
-    """The events file as a stream; a file source reads whole folders, hence the glob."""
-    schema = t.raw("events").schema
-    s = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.path)
+#: Files of one micro-batch.
+BATCH_FILES = 64
+
+
+def event_stream(t: Tables, files: int = BATCH_FILES) -> DataFrame:
+    """The events table as a stream, be it a folder of part files or one file, which its folder must then be filtered for."""
+    path = f"{t.path}/events.parquet"
+    reader = t.spark.readStream.schema(t.raw("events").schema).option("maxFilesPerTrigger", files)
+    s = reader.parquet(path) if is_folder(t.spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(t.path)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drain(t: Tables, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run to the end into a parquet table of the shared folder and read that."""
-    root = f"{checkpoint_dir(t.spark)}/tidemark-{uuid.uuid4().hex}"
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/state").outputMode("append")
-    else:
-        # Complete results of one run replace each other batch by batch.
-        write = lambda df, _: df.write.mode("overwrite").parquet(f"{root}/{name}")
-        q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").outputMode(mode)
+def _drain(t: Tables, stream: DataFrame, name: str) -> DataFrame:
+    """Run to the end into a parquet table of the shared folder and read that.
+
+    Windows are appended once the watermark has passed their end, so those that
+    end later than the newest event less the lateness stay in the state.
+    """
+    out, state = new_folder(t.spark, name), new_folder(t.spark, "state")
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append")
     q.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(f"{root}/{name}")
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+_PASSED = "(SELECT max(ts) - INTERVAL 30 HOUR FROM events)"
 
 
-@query("stream_bars", "X6", f"SELECT event_type, CAST(ts AS DATE) AS day, {rnd('arg_min(value, (ts, value))', 2)} AS open, {rnd('max(value)', 2)} AS high, {rnd('min(value)', 2)} AS low, {rnd('arg_max(value, (ts, value))', 2)} AS close, count(*) AS volume FROM events GROUP BY 1, 2")
+@query("stream_bars", "X6", f"SELECT event_type, CAST(ts AS DATE) AS day, {rnd('arg_min(value, (ts, value))', 2)} AS open, {rnd('max(value)', 2)} AS high, {rnd('min(value)', 2)} AS low, {rnd('arg_max(value, (ts, value))', 2)} AS close, count(*) AS volume FROM events GROUP BY 1, 2 HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= {_PASSED}")
 def stream_bars(t: Tables) -> DataFrame:
     s = J.bars(event_stream(t).withColumn("one", F.lit(1)), ["event_type"], "ts", "value", "one")
-    d = _drain(t, s, "bars", "complete")
+    d = _drain(t, s, "bars")
     return d.select("event_type", F.to_date("session_start").alias("day"), *[r2(c).alias(c) for c in ("open", "high", "low", "close")], F.col("volume").cast("long").alias("volume"))
 
 
-@query("stream_rolling_counts", "X5", "SELECT user_id, CAST(CAST(ts AS DATE) + i AS DATE) AS window_end, count(*) AS articles FROM events, range(1, 8) r(i) GROUP BY 1, 2".replace("CAST(ts AS DATE) + i", "CAST(ts AS DATE) + CAST(i AS INTEGER)"))
+@query("stream_rolling_counts", "X5", f"SELECT user_id, CAST(CAST(ts AS DATE) + CAST(i AS INTEGER) AS DATE) AS window_end, count(*) AS articles FROM events, range(1, 8) r(i) GROUP BY 1, 2 HAVING window_end <= {_PASSED}")
 def stream_rolling_counts(t: Tables) -> DataFrame:
-    d = _drain(t, J.rolling_counts(event_stream(t), ["user_id"], "ts", "value"), "counts", "complete")
+    d = _drain(t, J.rolling_counts(event_stream(t), ["user_id"], "ts", "value"), "counts")
     return d.select("user_id", F.to_date("window_end").alias("window_end"), "articles")
 
 
@@ -52,10 +57,10 @@ def stream_rolling_counts(t: Tables) -> DataFrame:
     "stream_run_sessions",
     "X8",
     """WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 195 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS sid FROM m)
-SELECT event_type, min(ts) AS session_start, max(ts) + INTERVAL 195 MINUTE AS overdue_from, count(*) AS runs FROM s GROUP BY event_type, sid""",
+SELECT event_type, min(ts) AS session_start, max(ts) + INTERVAL 195 MINUTE AS overdue_from, count(*) AS runs FROM s GROUP BY event_type, sid HAVING max(ts) + INTERVAL 195 MINUTE <= (SELECT max(ts) - INTERVAL 30 HOUR FROM events)""",
 )
 def stream_run_sessions(t: Tables) -> DataFrame:
-    d = _drain(t, J.run_sessions(event_stream(t), ["event_type"], "ts"), "sessions", "complete")
+    d = _drain(t, J.run_sessions(event_stream(t), ["event_type"], "ts"), "sessions")
     return d.select("event_type", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("overdue_from").cast("timestamp_ntz").alias("overdue_from"), "runs")
 
 
@@ -66,20 +71,20 @@ def stream_run_sessions(t: Tables) -> DataFrame:
 )
 def stream_change_versions(t: Tables) -> DataFrame:
     s = J.change_versions(event_stream(t), {"user_id": "long", "event_type": "string"}, F.floor(F.col("value") / 25), "ts", "event_id")
-    return _drain(t, s, "versions", "append").select("event_id", "user_id", "event_type")
+    return _drain(t, s, "versions").select("event_id", "user_id", "event_type")
 
 
-@query("stream_first_observations", "X1 X2", "SELECT count(*) AS stored, count(DISTINCT event_id) AS distinct_keys FROM events")
+@query("stream_first_observations", "X1 X2", "SELECT event_id, user_id, event_type, ts, value FROM events")
 def stream_first_observations(t: Tables) -> DataFrame:
     """Every event arrives twice; each is stored once."""
     s = event_stream(t)
     twice = s.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    root = f"{checkpoint_dir(t.spark)}/tidemark-{uuid.uuid4().hex}"
+    kept_at, state = new_folder(t.spark, "kept"), new_folder(t.spark, "state")
     kept = J.observations(twice, "ts", ["event_id"])
-    q = kept.writeStream.foreachBatch(J.first_wins_writer(f"{root}/kept", ["event_id"], ["ts"])).option("checkpointLocation", f"{root}/state").outputMode("append")
+    q = kept.writeStream.foreachBatch(J.first_wins_writer(kept_at, ["event_id"], ["ts"])).option("checkpointLocation", state).outputMode("append")
     q.trigger(availableNow=True).start().awaitTermination()
-    d = t.spark.read.schema(s.schema).parquet(f"{root}/kept")
-    return d.agg(F.count("*").alias("stored"), F.countDistinct("event_id").alias("distinct_keys"))
+    stored = t.spark.read.schema(kept.schema).parquet(kept_at)
+    return stored.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
 
 
 @query(
@@ -91,7 +96,7 @@ def stream_guidance_join(t: Tables) -> DataFrame:
     s = event_stream(t)
     g = s.where(F.col("event_type") == "purchase").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("guidance_id"), F.col("ts").alias("published_at"))
     e = s.where(F.col("event_type") == "view").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("estimate_id"), F.col("ts").alias("captured_at"), F.col("value").alias("consensus"))
-    d = _drain(t, J.matched_guidance(g, e), "pairs", "append")
+    d = _drain(t, J.matched_guidance(g, e), "pairs")
     return d.groupBy("guidance_id").agg(F.count("*").alias("matches"))
 
 
@@ -101,11 +106,11 @@ def stream_membership(t: Tables) -> DataFrame:
     start = F.expr("date_add(date'2024-01-01', cast(user_id % 10 as int))")
     m = users.select("user_id", start.alias("effective_from"), F.when(F.col("user_id") % 3 != 0, F.lit("2024-01-20").cast("date")).alias("effective_to"))
     s = event_stream(t).withColumn("day", F.to_date("ts"))
-    return _drain(t, J.enriched(s, m, "user_id", "day"), "members", "append").groupBy("event_type").agg(F.count("*").alias("n"))
+    return _drain(t, J.enriched(s, m, "user_id", "day"), "members").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("stream_availability", "X4", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE event_id % 4 = 0) AS late FROM events GROUP BY 1")
 def stream_availability(t: Tables) -> DataFrame:
     s = event_stream(t).withColumn("observed_at", F.col("ts") + F.expr("make_dt_interval(0, cast(if(event_id % 4 = 0, 26, 0) as int))"))
-    d = _drain(t, J.with_availability(s, "ts", "observed_at"), "available", "append")
+    d = _drain(t, J.with_availability(s, "ts", "observed_at"), "available")
     return d.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("available_at") > F.col("ts")).alias("late"))

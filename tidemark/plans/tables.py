@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import bars as B
 from tidemark.operators import calendar as C
 from tidemark.operators import features as X
-from tidemark.session import stage
+from tidemark.session import exists, new_folder, snapshot
 
 BENCHMARK = -1
 PREFERRED_SOURCE = "R"
@@ -25,6 +25,10 @@ NAMES = (
 )
 
 
+#: Staged tables by application, table states, name and plan: paths and schemas only.
+_STAGED: dict[tuple, tuple] = {}
+
+
 def cents(c: str):
     """Money as whole cents, so that sums do not depend on the order of rows."""
     return F.floor(F.col(c) * 100 + 0.5)
@@ -40,10 +44,24 @@ class Tables:
             raise KeyError(name)
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @cached_property
+    def state(self) -> tuple:
+        """Which application reads which state of which tables."""
+        return (self.spark.sparkContext.applicationId, self.path, *(snapshot(self.spark, f"{self.path}/{n}.parquet") for n in NAMES))
+
     def shared(self, name: str, df: DataFrame) -> DataFrame:
-        """A reduced table that several branches read, staged on first use."""
+        """A reduced table that several branches read, staged on first use; queries over the same tables share it.
+
+        It is written anew when a table has changed or the staged files are gone.
+        """
         if name not in self._shared:
-            self._shared[name] = stage(df, name)
+            key = (*self.state, name, df.semanticHash())
+            known = _STAGED.get(key)
+            if known is None or not exists(self.spark, known[0]):
+                path = new_folder(self.spark, name)
+                df.write.parquet(path)
+                known = _STAGED[key] = (path, df.schema)
+            self._shared[name] = self.spark.read.schema(known[1]).parquet(known[0])
         return self._shared[name]
 
     # --- entities and bars -------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,13 +28,65 @@ def local_session(cores: int | str = "*", app: str = "tidemark", partitions: int
     )
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The folder that the cluster shares, as ``spark.checkpoint.dir`` names it.
+
+    Only a session in one process, as in tests, may go without the setting; it
+    gets one temporary folder.  Anywhere else executors would write to their own
+    disks, so a missing setting is an error.
+    """
     shared = spark.conf.get(CHECKPOINT_KEY, None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_KEY, shared)
-    return shared
+    if shared:
+        return shared
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+    return _LOCAL[context.applicationId]
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; everything staged lies below it."""
+    return f"{checkpoint_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, whatever store it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _path(spark, path)
+    return system.exists(where)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where, system = _path(spark, path)
+    return system.exists(where) and system.getFileStatus(where).isDirectory()
+
+
+def snapshot(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a table from another: its files' count, bytes and newest time; empty if it is not there."""
+    where, system = _path(spark, path)
+    if not system.exists(where):
+        return ()
+    files = system.listStatus(where)
+    return len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all that this application staged; frames built before must not be read after it."""
+    where, system = _path(spark, run_folder(spark))
+    system.delete(where, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +96,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     once, the plan that follows starts at a parquet scan with statistics and
     column pruning, and the loss of an executor costs no recomputation.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

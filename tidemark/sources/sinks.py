@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.latest import best_row
+from tidemark.session import exists
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame | None, keys: list[str], order: list[str]) -> DataFrame:
@@ -14,16 +15,20 @@ def new_rows(incoming: DataFrame, existing: DataFrame | None, keys: list[str], o
     return first if existing is None else first.join(existing.select(*keys), keys, "left_anti")
 
 
-def append_first(incoming: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
-    """Append only unseen keys to a parquet table; running it again adds nothing."""
+def append_first(incoming: DataFrame, path: str, keys: list[str], order: list[str], parts: int = 64) -> None:
+    """Append only unseen keys to a parquet table; running it again adds nothing.
+
+    The table is partitioned by a hash of the key, and only the parts that the
+    incoming keys fall into are read: their numbers, ``parts`` at most, are
+    what reaches the driver.
+    """
     spark = incoming.sparkSession
-    try:
-        existing = spark.read.schema(incoming.schema).parquet(path)
-    except Exception as exc:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        existing = None
-    new_rows(incoming, existing, keys, order).write.mode("append").parquet(path)
+    rows = incoming.withColumn("key_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+    existing = None
+    if exists(spark, path):
+        met = [r[0] for r in rows.select("key_part").distinct().collect()]
+        existing = spark.read.schema(rows.schema).parquet(path).where(F.col("key_part").isin(met))
+    new_rows(rows, existing, [*keys, "key_part"], order).write.mode("append").partitionBy("key_part").parquet(path)
 
 
 def replace_entities(rows: DataFrame, required: DataFrame, path: str, entity: str = "entity_id", day: str = "session_date") -> DataFrame:

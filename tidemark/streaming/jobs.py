@@ -3,7 +3,8 @@
 State is keyed, so Spark spreads it over the shuffle partitions.  Windowed and
 deduplicating jobs drop state behind the watermark, which must be longer than
 the longest lateness that still counts.  Change capture keeps one value per key
-for good.  Sources should bound a micro-batch (``maxFilesPerTrigger``,
+for good: a source whose keys never come again needs a job of its own that
+drops them.  Sources bound a micro-batch (``maxFilesPerTrigger``,
 ``maxOffsetsPerTrigger``), which also bounds the rows of one key in it.
 """
 
@@ -68,29 +69,35 @@ def change_versions(df: DataFrame, keys: dict[str, str], state: Column, time: st
     """Emit a row only when its state differs from the key's previous one (A, B, A keeps all three).
 
     ``keys``: key columns and their types.  Only the last state and its time
-    are held per key; rows of one micro-batch are taken in event order.
+    are held per key, null among them; rows of one micro-batch are taken in event order.
     """
     names = list(keys)
     key_schema = ", ".join(f"{n} {k}" for n, k in keys.items())
-    out_schema = f"{key_schema}, {identity} long, {time} timestamp, state long"
+    out_schema = f"{key_schema}, {identity} long, {time} timestamp, state string"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        last = held.get[0] if held.exists else None
         parts = [f for f in frames if len(f)]
         if not parts:
             return
         rows = pd.concat(parts).sort_values([time, identity])
-        before = rows["state"].shift(1)
-        before.iloc[0] = last
-        changed = rows[~((rows["state"] == before) | (rows["state"].isna() & before.isna()))]
-        held.update((int(rows["state"].iloc[-1]),))
-        out = changed[[identity, time, "state"]].copy()
+        states = [None if x is None or x != x else x for x in rows["state"]]
+        first = not held.exists
+        last = None if first or held.get[1] else held.get[0]
+        keep = []
+        for x in states:
+            keep.append(first or x != last)
+            first, last = False, x
+        held.update((last or "", last is None))
+        out = rows.loc[keep, [identity, time]].copy()
+        out["state"] = [x for x, k in zip(states, keep) if k]
         for i, n in enumerate(names):
             out.insert(i, n, key[i])
         yield out
 
-    d = df.select(*names, identity, F.col(time).cast("timestamp").alias(time), state.cast("long").alias("state"))
-    return d.groupBy(*names).applyInPandasWithState(step, out_schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    # States travel as text: a long beside nulls would pass through a double.
+    d = df.select(*names, identity, F.col(time).cast("timestamp").alias(time), state.cast("long").cast("string").alias("state"))
+    out = d.groupBy(*names).applyInPandasWithState(step, out_schema, "last string, missing boolean", "append", GroupStateTimeout.NoTimeout)
+    return out.withColumn("state", F.col("state").cast("long"))
 
 
 def matched_guidance(guidance: DataFrame, estimates: DataFrame, days: int = 7, lateness: str = LATENESS) -> DataFrame:
