@@ -2,7 +2,9 @@
 
 import datetime as dt
 import tempfile
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import payloads as P
@@ -68,3 +70,70 @@ def test_stream_equals_batch_over_several_files(spark):
         xs = [x for x in data if x[1] == k and x[2].date() == day]
         assert v == (xs[0][3], max(x[3] for x in xs), min(x[3] for x in xs), xs[-1][3], len(xs))
     assert len(got) == 9
+
+
+def test_streams_read_folders_and_equal_the_batch(spark, tmp_path):
+    from tidemark.plans import streams as ST
+    from tidemark.plans.tables import Tables
+
+    start = dt.datetime(2024, 1, 1)
+    data = [(i, i % 3, "view", start + dt.timedelta(hours=i), None if i % 7 == 3 else float(i // 5)) for i in range(200)]
+    schema = "event_id long, user_id long, event_type string, ts timestamp_ntz, value double"
+    for k in range(4):  # several files, in the order of time
+        spark.createDataFrame(data[50 * k : 50 * k + 50], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        time.sleep(0.05)
+    t = Tables(spark, str(tmp_path))
+    assert ST.event_stream(t).isStreaming
+    stored = {(r.event_id, r.value) for r in ST.stream_first_observations(t).collect()}
+    assert stored == {(d[0], d[4]) for d in data}
+    got = {r.event_id for r in ST.stream_change_versions(t).collect()}
+    want, last = set(), {}
+    for d in data:
+        state = None if d[4] is None else int(d[4] // 25)
+        if d[1] not in last or last[d[1]] != state:
+            want.add(d[0])
+        last[d[1]] = state
+    assert got == want
+    bars = {(r.day, r.volume) for r in ST.stream_bars(t).collect()}
+    passed = data[-1][3] - dt.timedelta(hours=30)
+    days = [d[3].date() for d in data]
+    assert bars == {(x, days.count(x)) for x in set(days) if dt.datetime.combine(x, dt.time()) + dt.timedelta(days=1) <= passed}
+
+
+def test_changes_after_a_batch_that_ends_in_null(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    big = 2**53 + 1
+    batches = [[(1, 1, big), (2, 1, None)], [(3, 1, None), (4, 1, big)], [(5, 1, big), (6, 1, big + 1)]]
+    kind = "event_id long, k int, x long, ts timestamp"
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame([(i, key, x, start + dt.timedelta(hours=i)) for i, key, x in rows], kind)
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # the source takes files by time
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = J.run_to_end(J.change_versions(stream, {"k": "int"}, F.col("x"), "ts", "event_id"), "null_changes")
+    assert sorted((r.event_id, r.state) for r in out.collect()) == [(1, big), (2, None), (4, big), (6, big + 1)]
+
+
+def test_only_a_local_session_goes_without_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark import session
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError, match="share"):
+        session.checkpoint_dir(far)
+    assert session.checkpoint_dir(spark) == session.checkpoint_dir(spark)
+    staged = session.stage(spark.range(3), "three")
+    assert staged.count() == 3 and session.exists(spark, session.run_folder(spark))
+
+
+def test_staged_tables_are_shared_until_a_table_changes(spark, tmp_path):
+    from tidemark.plans.tables import Tables
+
+    path = f"{tmp_path}/nation.parquet"
+    spark.range(3).write.parquet(path)
+    first, second = (Tables(spark, str(tmp_path)).shared("n", spark.read.parquet(path)) for _ in range(2))
+    assert first.inputFiles() == second.inputFiles()
+    spark.range(5).write.mode("append").parquet(path)
+    third = Tables(spark, str(tmp_path)).shared("n", spark.read.parquet(path))
+    assert third.count() == 8 and third.inputFiles() != first.inputFiles()
