@@ -372,11 +372,12 @@ def entity_search(t: Tables) -> DataFrame:
     return e.withColumn("p", hit).where(F.col("p").isNotNull()).orderBy("p", F.col("entity_id").cast("string")).limit(8).select("ticker", "name", "sector")
 
 
-@query("refresh_floor", "P19", "SELECT count(*) AS total, count(*) FILTER (WHERE n > 0) AS with_ttm, count(*) FILTER (WHERE f > 0) AS with_fcf, count(*) FILTER (WHERE n > 0) / CAST(count(*) AS DOUBLE) >= 0.9 AND count(*) FILTER (WHERE f > 0) / CAST(count(*) AS DOUBLE) >= 0.5 AS passed FROM entities LEFT JOIN (SELECT entity_id, count(*) AS n, count(free_cash_flow) AS f FROM ttm GROUP BY 1) USING (entity_id)")
+@query("refresh_floor", "P19", "SELECT count(*) AS total, count(*) FILTER (WHERE n > 0) AS with_ttm, count(*) FILTER (WHERE f > 0) AS with_fcf, count(*) FILTER (WHERE q > 0) AS successful, count(*) FILTER (WHERE q > 0) / CAST(count(*) AS DOUBLE) >= 0.9 AND count(*) FILTER (WHERE n > 0) / CAST(count(*) AS DOUBLE) >= 0.7 AND count(*) FILTER (WHERE f > 0) / CAST(count(*) AS DOUBLE) >= 0.5 AS passed FROM entities LEFT JOIN (SELECT entity_id, count(*) AS n, count(free_cash_flow) AS f FROM ttm GROUP BY 1) USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS q FROM quarter_statements GROUP BY 1) USING (entity_id)")
 def refresh_floor(t: Tables) -> DataFrame:
     n = t.ttm.groupBy("entity_id").agg(F.count("*").alias("n"), F.count("free_cash_flow").alias("f"))
-    one = t.entities.join(n, "entity_id", "left").agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("with_ttm"), F.count_if(F.col("f") > 0).alias("with_fcf"))
-    return one.withColumn("passed", U.refresh_floor(F.col("total"), F.col("with_ttm"), F.col("with_ttm"), F.col("with_fcf")))
+    q = t.quarter_statements.groupBy("entity_id").agg(F.count("*").alias("q"))
+    one = t.entities.join(n, "entity_id", "left").join(q, "entity_id", "left").agg(F.count("*").alias("total"), F.count_if(F.col("q") > 0).alias("successful"), F.count_if(F.col("n") > 0).alias("with_ttm"), F.count_if(F.col("f") > 0).alias("with_fcf"))
+    return one.withColumn("passed", U.refresh_floor(F.col("total"), F.col("successful"), F.col("with_ttm"), F.col("with_fcf")))
 
 
 @query(

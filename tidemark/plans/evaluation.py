@@ -167,16 +167,18 @@ def weekly_summary(t: Tables) -> DataFrame:
 @query(
     "block_bootstrap",
     "A16 D3",
-    f"""WITH v AS (SELECT row_number() OVER (ORDER BY session_no) - 1 AS pos, {_NET} - benchmark_return AS x FROM weekly_cohorts WHERE model_version = 'momentum'), n AS (SELECT count(*) AS n FROM v),
-d AS (SELECT rep, k, i, CAST('0x' || substr(md5(rep || '|' || k), 1, 8) AS BIGINT) % n AS s, n FROM n, range(1000) r(rep), range(0, CAST(ceil((SELECT count(*) FROM v) / 4.0) AS BIGINT)) b(k), range(4) j(i)),
-m AS (SELECT rep, avg(x) AS m FROM d JOIN v ON v.pos = (d.s + d.i) % d.n WHERE k * 4 + i < n GROUP BY 1)
-SELECT {rnd('m')} AS lower_bound FROM (SELECT m, row_number() OVER (ORDER BY m) AS r FROM m) WHERE r = 51""",
+    f"""WITH v AS (SELECT model_version, row_number() OVER (PARTITION BY model_version ORDER BY session_no) - 1 AS pos, {_NET} - benchmark_return AS x FROM weekly_cohorts), n AS (SELECT model_version, count(*) AS n FROM v GROUP BY 1),
+d AS (SELECT model_version, rep, k, i, CAST('0x' || substr(md5(rep || '|' || k), 1, 8) AS BIGINT) % n AS s, n FROM n, range(1000) r(rep), LATERAL (SELECT unnest(range(0, CAST(ceil(n / 4.0) AS BIGINT))) AS k) b, range(4) j(i)),
+m AS (SELECT d.model_version, rep, avg(x) AS m FROM d JOIN v ON v.model_version = d.model_version AND v.pos = (d.s + d.i) % d.n WHERE k * 4 + i < n GROUP BY 1, 2)
+SELECT model_version, {rnd('m')} AS lower_bound FROM (SELECT model_version, m, row_number() OVER (PARTITION BY model_version ORDER BY m) AS r FROM m) WHERE r = 51""",
 )
 def block_bootstrap(t: Tables) -> DataFrame:
-    w = weekly(t).where(F.col("model_version") == "momentum")
+    w = weekly(t)
     x = F.col("model_return") - F.when(F.col("picks") > 0, E.ROUND_TRIP_COST).otherwise(0.0) - F.col("benchmark_return")
-    v = w.select((F.row_number().over(Window.orderBy("session_no")) - 1).cast("long").alias("pos"), x.alias("x"))
-    return E.block_lower_bound(v, "x", "pos").select(r6("lower_bound").alias("lower_bound"))
+    pos = F.row_number().over(Window.partitionBy("model_version").orderBy("session_no")) - 1
+    v = w.select("model_version", pos.cast("long").alias("pos"), x.alias("x"))
+    bounds = [E.block_lower_bound(v.where(F.col("model_version") == m), "x", "pos").select(F.lit(m).alias("model_version"), r6("lower_bound").alias("lower_bound")) for m in ("momentum", "reversal")]
+    return bounds[0].unionByName(bounds[1])
 
 
 @query(

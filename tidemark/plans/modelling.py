@@ -163,8 +163,11 @@ def learned_ranker_ladder(t: Tables) -> DataFrame:
     d = _usable(t).select("entity_id", "session_no", "session_date", "target", "actual_return", "label_end_no", *ALL)
     years = d.agg(F.max(F.year("session_date"))).first()[0]
     d = d.withColumn("year", F.year("session_date"))
-    model = M.fit_regressor(d.where(F.col("year") < years - 1), ALL, "actual_return", rounds=6)
-    p = M.predict(model, d.where(F.col("year") >= years - 1), ALL, "score")
+    held = F.col("year") >= years - 1
+    first = d.where(held).agg(F.min("session_no")).first()[0]
+    # A label that ends in the held-out years would show them to the fit.
+    model = M.fit_regressor(d.where(~held & (F.col("label_end_no") < first)), ALL, "actual_return")
+    p = M.predict(model, d.where(held), ALL, "score")
     ladder = K.top_ladder(K.top_n(p, 20, "score", ["session_no"]), ["year"], (5, 10, 20), "actual_return")
     return ladder.select("year", "k", r6("mean_outcome").alias("mean_outcome"), "picks")
 

@@ -104,7 +104,7 @@ def macro_obs(t: Tables) -> DataFrame:
     return t.shared("macro_obs", o.withColumns({"units": F.lit("units"), "vintage_date": F.when(F.col("series_id") < "3", F.date_add(end, 12)), "observed_at": end.cast("timestamp_ntz") + F.expr("interval 20 days")}))
 
 
-_MACRO_SQL = """asks AS (SELECT s.series_id, c.session_date, CAST(c.session_date AS TIMESTAMP) + INTERVAL 21 HOUR AS cutoff FROM calendar c, (SELECT DISTINCT series_id FROM macro_obs) s WHERE c.session_no % 3 = 0),
+_MACRO_SQL = """asks AS (SELECT s.series_id, c.session_date, CAST(c.session_date AS TIMESTAMP) + INTERVAL 21 HOUR AS cutoff FROM calendar c, (SELECT DISTINCT series_id FROM macro_obs) s),
 usable AS (SELECT *, CASE WHEN vintage_date IS NOT NULL THEN CAST(vintage_date + 1 AS TIMESTAMP) ELSE observed_at END AS usable_at FROM macro_obs),
 newest AS (SELECT a.*, m.observation_date, m.value FROM asks a LEFT JOIN LATERAL (SELECT * FROM usable u WHERE u.series_id = a.series_id AND u.usable_at <= a.cutoff ORDER BY observation_date DESC, usable_at DESC LIMIT 1) m ON true)"""
 
@@ -113,7 +113,7 @@ def macro_latest(t: Tables) -> DataFrame:
     o = macro_obs(t)
     # Sessions times the handful of series.
     series = o.groupBy().agg(F.collect_set("series_id").alias("s")).scalar()
-    asks = t.calendar.where(F.col("session_no") % 3 == 0).select("session_date", F.explode(series).alias("series_id"))
+    asks = t.calendar.select("session_date", F.explode(series).alias("series_id"))
     asks = asks.withColumn("cutoff", F.col("session_date").cast("timestamp_ntz") + F.expr("interval 21 hours"))
     return M.latest_observation(asks, o, "cutoff", 75)
 
@@ -190,7 +190,7 @@ def normalized_estimates(t: Tables) -> DataFrame:
 @query(
     "estimate_revisions",
     "J15 W28 F6",
-    f"""WITH d AS (SELECT * FROM decisions WHERE session_no % 2 = 0), cur AS (SELECT d.entity_id, d.session_date, d.decision_at, e.* EXCLUDE (entity_id) FROM d JOIN LATERAL (SELECT * FROM estimates e WHERE e.entity_id = d.entity_id AND e.captured_at <= d.decision_at ORDER BY captured_at DESC LIMIT 1) e ON true),
+    f"""WITH d AS (SELECT * FROM decisions), cur AS (SELECT d.entity_id, d.session_date, d.decision_at, e.* EXCLUDE (entity_id) FROM d JOIN LATERAL (SELECT * FROM estimates e WHERE e.entity_id = d.entity_id AND e.captured_at <= d.decision_at ORDER BY captured_at DESC LIMIT 1) e ON true),
 p AS (SELECT c.*, o.captured_at AS p_at, o.eps_consensus AS p_eps, o.revenue_consensus AS p_rev, o.eps_outside AS p_outside FROM cur c LEFT JOIN LATERAL (SELECT * FROM estimates e WHERE e.entity_id = c.entity_id AND e.fiscal_period_end = c.fiscal_period_end AND e.captured_at <= c.decision_at - INTERVAL 30 DAY ORDER BY captured_at DESC LIMIT 1) o ON true)
 SELECT d.entity_id, d.session_date, p.fiscal_period_end,
   CASE WHEN p.captured_at >= p.decision_at - INTERVAL 7 DAY AND p_at >= p.decision_at - INTERVAL 37 DAY AND NOT eps_outside AND NOT p_outside AND eps_basis <> 'unknown' THEN {rnd('greatest(-2, least(2, (eps_consensus - p_eps) / nullif(abs(p_eps), 0)))')} END AS eps_revision_30d,
@@ -198,7 +198,7 @@ SELECT d.entity_id, d.session_date, p.fiscal_period_end,
 FROM d LEFT JOIN p USING (entity_id, session_date)""",
 )
 def estimate_revisions(t: Tables) -> DataFrame:
-    d = O.estimate_revisions(t.decisions.where(F.col("session_no") % 2 == 0), estimates(t), "decision_at")
+    d = O.estimate_revisions(t.decisions, estimates(t), "decision_at")
     return d.select("entity_id", "session_date", "fiscal_period_end", r6("estimate_eps_revision_30d").alias("eps_revision_30d"), r6("estimate_revenue_revision_30d").alias("revenue_revision_30d"))
 
 

@@ -70,14 +70,14 @@ def newest_signals(t: Tables) -> DataFrame:
 @query(
     "calendar_status",
     "F24 P22",
-    """WITH c AS (SELECT max(ts) AS clock FROM events), r AS (SELECT user_id AS entity_id, ts AS observed_at, CAST(ts AS DATE) + CAST(event_id % 5 AS INTEGER) - 2 AS d FROM events WHERE event_type = 'view')
+    """WITH c AS (SELECT max(ts) AS clock FROM events), r AS (SELECT user_id AS entity_id, ts AS observed_at, CAST(ts AS DATE) + CAST(event_id % 5 AS INTEGER) - 2 AS d FROM events)
 SELECT u.entity_id, min(d) AS reported_date, CASE WHEN min(d) IS NULL THEN 'unknown' ELSE 'current' END AS calendar_status FROM (SELECT DISTINCT user_id AS entity_id FROM events) u LEFT JOIN (SELECT r.* FROM r, c WHERE observed_at >= clock - INTERVAL 48 HOUR AND d >= CAST(clock AS DATE)) x USING (entity_id) GROUP BY 1""",
 )
 def calendar_status(t: Tables) -> DataFrame:
     e = t.raw("events")
     clock = e.agg(F.max("ts")).scalar()
     day = F.expr("date_add(to_date(ts), cast(event_id % 5 as int) - 2)")
-    r = e.where("event_type = 'view'").select(F.col("user_id").alias("entity_id"), F.col("ts").alias("observed_at"), F.array(day).alias("dates"))
+    r = e.select(F.col("user_id").alias("entity_id"), F.col("ts").alias("observed_at"), F.array(day).alias("dates"))
     users = e.select(F.col("user_id").alias("entity_id")).distinct()
     return C.calendar_status(r, users, clock, F.to_date(clock)).select("entity_id", "reported_date", "calendar_status")
 

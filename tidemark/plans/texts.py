@@ -257,10 +257,10 @@ def ownership_transactions(t: Tables) -> DataFrame:
     return o.select("entity_id", F.col("event_date").alias("period_end"), "code", r2("reported_value").alias("reported_value"))
 
 
-@query("calendar_text", "S23", "SELECT event_id, 'Release, ' || event_type AS title, date_trunc('second', ts) AS event_at FROM events WHERE event_type IN ('signup', 'purchase')")
+@query("calendar_text", "S23", "SELECT event_id, 'Release, ' || event_type AS title, date_trunc('second', ts) AS event_at FROM events")
 def calendar_text(t: Tables) -> DataFrame:
     """Calendar text with folded lines written from events and read back."""
-    e = t.raw("events").where(F.col("event_type").isin("signup", "purchase"))
+    e = t.raw("events")
     body = F.concat(
         F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:"), F.col("event_id"), F.lit("\r\nDTSTART:"), F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("Z\r\nSUMMARY:Release\\, "), F.substring("event_type", 1, 3), F.lit("\r\n "), F.expr("substring(event_type, 4)"), F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR"),
     )
@@ -271,10 +271,10 @@ def calendar_text(t: Tables) -> DataFrame:
 @query(
     "article_sentiment",
     "F30",
-    "SELECT n.n_nationkey AS entity_id, count(*) AS articles, count(*) FILTER (WHERE e.event_id % 5 IN (0, 1)) AS with_sentiment FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 30 WHERE event_type = 'view' GROUP BY 1",
+    "SELECT n.n_nationkey AS entity_id, count(*) AS articles, count(*) FILTER (WHERE e.event_id % 5 IN (0, 1)) AS with_sentiment FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 30 GROUP BY 1",
 )
 def article_sentiment(t: Tables) -> DataFrame:
-    e = t.raw("events").where(F.col("event_type") == "view")
+    e = t.raw("events")
     ticker = F.concat(F.lit("n"), F.col("user_id") % 30)
     mood = F.when(F.col("event_id") % 5 == 0, "positive").when(F.col("event_id") % 5 == 1, "negative").otherwise("mixed")
     a = e.select(F.col("event_id").alias("id"), F.lit("Headline").alias("title"), F.lit("https://example.com/a").alias("url"), F.col("ts").alias("published_at"), F.col("ts").alias("observed_at"), F.array(ticker, ticker).alias("tickers"), F.array(F.struct(ticker.alias("ticker"), mood.alias("sentiment"))).alias("insights"))

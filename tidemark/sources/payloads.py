@@ -139,7 +139,7 @@ def article_rows(df: DataFrame, directory: DataFrame) -> DataFrame:
     d = df.where(ok).withColumn("ticker", F.explode(F.array_distinct(F.transform("tickers", normalize_ticker))))
     stated = F.element_at(F.filter("insights", lambda x: normalize_ticker(x["ticker"]) == F.col("ticker")), -1)
     d = d.withColumn("sentiment", F.when(F.size(F.filter("insights", lambda x: normalize_ticker(x["ticker"]) == F.col("ticker"))) > 0, score(stated["sentiment"])))
-    return d.join(directory.select("entity_id", "ticker"), "ticker").select("entity_id", "id", "published_at", "observed_at", F.substring("title", 1, 500).alias("headline"), "sentiment")
+    return d.join(directory.select("entity_id", "ticker"), "ticker").select("entity_id", "id", "published_at", "observed_at", F.col("title").alias("headline"), "sentiment")
 
 
 def constituents(df: DataFrame, current: DataFrame, low: int = 490, high: int = 550, churn: int = 10) -> DataFrame:
