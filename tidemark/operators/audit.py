@@ -121,6 +121,13 @@ def fingerprint(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
+def portable_fingerprint(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """Row count and digests that any engine with MD5 can repeat: over the columns as text, joined, null as empty."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    h = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor_digest"), F.sum(F.pmod(h, F.lit(2**31))).alias("sum_digest"))
+
+
 def archive_gaps(expiring: DataFrame, copies: list[DataFrame], keys: list[str]) -> DataFrame:
     """Expiring rows missing from, or different in, any of the archive copies."""
     digest = lambda d: d.select(*keys, F.md5(F.to_json(F.struct(*sorted(expiring.columns))).cast("binary")).alias("digest"))

@@ -382,7 +382,7 @@ def refresh_floor(t: Tables) -> DataFrame:
 
 @query(
     "publication_cadence",
-    "F37 F36 F35",
+    "F37 F36",
     """WITH s AS (SELECT session_date, lag(session_date, 2) OVER (ORDER BY session_date) AS prev FROM daily_calendar), c AS (SELECT session_date AS signal_date, session_date + CAST(session_no % 5 AS INTEGER) AS publication_date, prev AS previous_date, session_date AS latest FROM s JOIN daily_calendar USING (session_date))
 SELECT signal_date, CASE WHEN dayofweek(publication_date) <> 0 THEN 'not_due' WHEN previous_date - CAST(dayofweek(previous_date) AS INTEGER) >= publication_date - CAST(dayofweek(publication_date) AS INTEGER) THEN 'not_due'
   WHEN signal_date < publication_date - 3 OR signal_date >= publication_date THEN 'market_session_unavailable' ELSE 'due' END AS decision FROM c""",
@@ -404,7 +404,7 @@ def table_fingerprint(t: Tables) -> DataFrame:
 
 @query(
     "archive_verification",
-    "S16 S17",
+    "S17",
     "SELECT l_orderkey, l_linenumber, l_partkey, CAST(0 AS INTEGER) AS copy FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_partkey % 97 = 0 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 1 FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_quantity = 13",
 )
 def archive_verification(t: Tables) -> DataFrame:

@@ -90,7 +90,7 @@ def model_periods(t: Tables) -> DataFrame:
 
 @query(
     "training_panel",
-    "M12 M16",
+    "M12",
     f"""WITH {CONSENSUS_SQL}, fnd AS (SELECT d.entity_id, d.session_date, v.period_end, v.revenue FROM decisions d JOIN LATERAL (SELECT * FROM ttm_versions v WHERE v.entity_id = d.entity_id AND greatest(v.observed_at, CAST(v.filed_date AS TIMESTAMP)) <= d.decision_at ORDER BY v.period_end DESC, v.observed_at DESC LIMIT 1) v ON true)
 SELECT p.entity_id, p.session_date, {rnd('p.momentum_20')} AS momentum_20, {rnd('p.market_regime_score')} AS market_regime_score, {rnd('f.revenue', 2)} AS revenue, s.analyst_score, {rnd('p.target')} AS target
 FROM model_panel p LEFT JOIN fnd f USING (entity_id, session_date) LEFT JOIN scored s USING (entity_id, session_date) WHERE p.session_no % 5 = 1""",
@@ -189,7 +189,7 @@ def horizon_scores(t: Tables) -> DataFrame:
     )
 
 
-@query("validated_horizons", "P17 P16", f"WITH {_VAL_SQL} SELECT CAST(s.horizon AS INTEGER) AS horizon, {rnd('brier')} AS brier, {rnd('baseline_brier')} AS baseline_brier, oof_rows, s.horizon IN (SELECT horizon FROM good) AND (SELECT count(*) FROM good) >= 2 AS validated FROM scores s")
+@query("validated_horizons", "P17", f"WITH {_VAL_SQL} SELECT CAST(s.horizon AS INTEGER) AS horizon, {rnd('brier')} AS brier, {rnd('baseline_brier')} AS baseline_brier, oof_rows, s.horizon IN (SELECT horizon FROM good) AND (SELECT count(*) FROM good) >= 2 AS validated FROM scores s")
 def validated_horizons(t: Tables) -> DataFrame:
     s = horizon_scores(t)
     ok = U.validated_horizons(s, ["model"], 500).select("horizon", F.lit(True).alias("v"))

@@ -179,7 +179,7 @@ def estimates(t: Tables) -> DataFrame:
 
 @query(
     "normalized_estimates",
-    "F27 S20",
+    "F27",
     f"SELECT entity_id, captured_at, fiscal_period_end, eps_basis, {rnd('eps_consensus')} AS eps_consensus, {rnd('eps_low')} AS eps_low, {rnd('eps_high')} AS eps_high, eps_outside, CAST(n AS BIGINT) AS analysts FROM estimates",
 )
 def normalized_estimates(t: Tables) -> DataFrame:
@@ -280,7 +280,7 @@ def membership_sync(t: Tables) -> DataFrame:
 
 @query(
     "key_preserving_rename",
-    "U8 J31",
+    "U8",
     "SELECT 'N' || n_nationkey AS old, n_name AS new, CAST(n_nationkey AS BIGINT) AS identity FROM nation WHERE n_nationkey % 2 = 0",
 )
 def key_preserving_rename(t: Tables) -> DataFrame:
@@ -292,7 +292,7 @@ def key_preserving_rename(t: Tables) -> DataFrame:
 
 @query(
     "preserved_fields",
-    "S14 S13",
+    "S14",
     f"SELECT entity_id, period_end, {rnd('coalesce(CASE WHEN entity_id % 2 = 0 THEN NULL ELSE cash END, CASE WHEN entity_id % 3 <> 0 THEN cash END)', 4)} AS cash, entity_id % 2 = 0 AND entity_id % 3 <> 0 AS retained FROM quarter_statements",
 )
 def preserved_fields(t: Tables) -> DataFrame:
@@ -305,7 +305,7 @@ def preserved_fields(t: Tables) -> DataFrame:
 
 @query(
     "valuation_on_price_date",
-    "J28 Q15 F11 F20",
+    "J28 Q15 F11",
     f"SELECT v.entity_id, v.session_date, {rnd('v.close / e.eps')} AS pe FROM decisions v JOIN (SELECT entity_id, session_date, last_eps AS eps FROM (SELECT d.entity_id, d.session_date, (SELECT arg_max(eps_diluted, period_end) FROM quarter_statements q WHERE q.entity_id = d.entity_id AND q.filed_date <= d.session_date AND eps_diluted IS NOT NULL) AS last_eps FROM decisions d)) e USING (entity_id, session_date) WHERE e.eps > 0",
 )
 def valuation_on_price_date(t: Tables) -> DataFrame:

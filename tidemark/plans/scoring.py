@@ -28,7 +28,7 @@ n AS (SELECT *, {' + '.join(f'CAST(p{i} IS NOT NULL AS INT)' for i in range(5))}
 SELECT entity_id, period_end, {rnd('(' + ' + '.join(f'coalesce(p{i}, 0)' for i in range(5)) + ') / nullif(k, 0)', 1)} AS score, {rnd('k / 5.0 * 100', 1)} AS coverage FROM n"""
 
 
-@query("fundamentals_score", "F15 W29 F16 F17", _SCORE_SQL)
+@query("fundamentals_score", "F15 W29", _SCORE_SQL)
 def fundamentals_score(t: Tables) -> DataFrame:
     w = Window.partitionBy("entity_id").orderBy("period_end")
     a = t.annual_statements.withColumns({"prev_revenue": F.lag("revenue").over(w), "prev_income": F.lag("operating_income").over(w)})
@@ -69,7 +69,7 @@ def newest_signals(t: Tables) -> DataFrame:
 
 @query(
     "calendar_status",
-    "F24 P22",
+    "F24",
     """WITH c AS (SELECT max(ts) AS clock FROM events), r AS (SELECT user_id AS entity_id, ts AS observed_at, CAST(ts AS DATE) + CAST(event_id % 5 AS INTEGER) - 2 AS d FROM events)
 SELECT u.entity_id, min(d) AS reported_date, CASE WHEN min(d) IS NULL THEN 'unknown' ELSE 'current' END AS calendar_status FROM (SELECT DISTINCT user_id AS entity_id FROM events) u LEFT JOIN (SELECT r.* FROM r, c WHERE observed_at >= clock - INTERVAL 48 HOUR AND d >= CAST(clock AS DATE)) x USING (entity_id) GROUP BY 1""",
 )

@@ -22,7 +22,7 @@ def _money(df: DataFrame, *keys: str) -> DataFrame:
 _SQL_MONEY = ", ".join(f"{rnd(c, 4)} AS {c}" for c in _MONEY)
 
 
-@query("annual_statements", "S29 S13", f"SELECT entity_id, period_end, filed_date, revenue_tag, {_SQL_MONEY} FROM annual_statements")
+@query("annual_statements", "", f"SELECT entity_id, period_end, filed_date, revenue_tag, {_SQL_MONEY} FROM annual_statements")
 def annual_statements(t: Tables) -> DataFrame:
     return _money(t.annual_statements, "entity_id", "period_end", "filed_date", "revenue_tag")
 

@@ -40,7 +40,7 @@ def page_text(t: Tables) -> DataFrame:
 
 @query(
     "page_links",
-    "S28 S27",
+    "S28",
     """SELECT page_id, CAST(i - 1 AS INTEGER) AS position, href[i] AS href FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1) AS href FROM pages), LATERAL (SELECT unnest(range(1, len(href) + 1)) AS i)""",
 )
 def page_links(t: Tables) -> DataFrame:
@@ -103,7 +103,7 @@ def fiscal_targets(t: Tables) -> DataFrame:
     return d.withColumn("target", day).withColumn("currency", currency).groupBy("entity_id", "target", "currency").agg(F.count("*").alias("lines"))
 
 
-@query("html_table_rows", "S11 S25", f"SELECT entity_id, period_end, {rnd('revenue', 2)} AS revenue FROM quarter_statements")
+@query("html_table_rows", "S11", f"SELECT entity_id, period_end, {rnd('revenue', 2)} AS revenue FROM quarter_statements")
 def html_table_rows(t: Tables) -> DataFrame:
     row = F.concat(F.lit("<tr class='x'><td>"), F.col("period_end").cast("string"), F.lit("</td><td> <b>"), F.format_string("%.2f", r2("revenue")), F.lit("</b></td></tr>"))
     # One short page per entity and year.
@@ -282,7 +282,7 @@ def article_sentiment(t: Tables) -> DataFrame:
     return r.groupBy("entity_id").agg(F.count("*").alias("articles"), F.count("sentiment").alias("with_sentiment"))
 
 
-@query("vintage_observations", "S5 S4 S24", f"SELECT series_id, observation_date, vintage_date, {rnd('value', 4)} AS value FROM macro_obs WHERE vintage_date IS NOT NULL")
+@query("vintage_observations", "S5 S24", f"SELECT series_id, observation_date, vintage_date, {rnd('value', 4)} AS value FROM macro_obs WHERE vintage_date IS NOT NULL")
 def vintage_observations(t: Tables) -> DataFrame:
     from tidemark.plans.observations import macro_obs
 
@@ -292,7 +292,7 @@ def vintage_observations(t: Tables) -> DataFrame:
     return P.vintage_json(d, ["series_id"], "payload", "observed_at").select("series_id", "observation_date", "vintage_date", r4("value").alias("value"))
 
 
-@query("corporate_actions", "S21 S22", "SELECT c_custkey, 'dividend' AS kind, DATE '2020-01-02' AS event_date, floor(c_acctbal * 100 + 0.5) / 100 AS amount FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, 'split', DATE '2020-02-03', 2.0 FROM customer WHERE c_custkey % 7 = 0")
+@query("corporate_actions", "S21", "SELECT c_custkey, 'dividend' AS kind, DATE '2020-01-02' AS event_date, floor(c_acctbal * 100 + 0.5) / 100 AS amount FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, 'split', DATE '2020-02-03', 2.0 FROM customer WHERE c_custkey % 7 = 0")
 def corporate_actions(t: Tables) -> DataFrame:
     c = t.raw("customer")
     ratio = F.when(F.col("c_custkey") % 7 == 0, "2.0").otherwise("0")

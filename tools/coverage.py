@@ -13,10 +13,8 @@ from tidemark.plans.registry import load_all  # noqa: E402
 
 # Ids served by a function that no registered query runs, with the place and its test.
 ELSEWHERE = {
-    "S2": "a plain scan (`Tables.raw`)", "S3": "`sources.payloads.constituents`, tests", "S15": "`sources.sinks.replace_entities`, tests", "S26": "`sources.payloads.report_dates`, tests",
-    "P15": "`functions.text.normalize_ticker`, tests", "P20": "`DataFrame.select` / `Column.dropFields`, no wrapper", "F1": "`operators.calendar.exchange_calendar`, tests against published closures",
-    "F2": "`operators.calendar.latest_completed_session`", "F7": "`functions.percent_to_decimal`", "F9": "`operators.scores.event_signals`", "F29": "`operators.scores.provider_month`", "F38": "`operators.scores.evidence`",
-    "F41": "`operators.scores.projected_date`", "T7": "`operators.opinions.estimate_revisions` (target pick)", "V8": "price and total-return bars are separate inputs of `evaluate.cohort_paths`; a return basis is never filled from the other",
+    "S2": "a plain scan (`Tables.raw`)", "S15": "`sources.sinks.replace_entities`, tests",
+    "P15": "`functions.text.normalize_ticker`, tests", "P20": "`DataFrame.select` / `Column.dropFields`, no wrapper", "F1": "`operators.calendar.exchange_calendar`, tests against published closures", "T7": "`operators.opinions.estimate_revisions` (target pick)",
     "D2": "`features.session_labels` and `calendar.session_targets` as DataFrame functions instead of a table function",
 }
 
