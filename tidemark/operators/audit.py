@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import round_half_up
 from tidemark.operators.latest import latest_row
 
 
@@ -149,3 +150,9 @@ def validated_horizons(metrics: DataFrame, keys: list[str], min_rows: int = 1000
 def refresh_floor(total: Column, successful: Column, with_ttm: Column, with_fcf: Column) -> Column:
     """True when enough of the universe was refreshed (90 / 70 / 50 %)."""
     return F.coalesce((total > 0) & (successful / total >= 0.9) & (with_ttm / total >= 0.7) & (with_fcf / total >= 0.5), F.lit(False))
+
+
+def usable_shares(rows: DataFrame, by: list[str], features: list[str]) -> DataFrame:
+    """How many rows there are, and the share of them that states each feature."""
+    share = lambda c: round_half_up(F.avg(F.col(c).isNotNull().cast("int")), 6).alias(f"usable_{c}")
+    return rows.groupBy(*by).agg(F.count("*").alias("entities"), *[share(c) for c in features])

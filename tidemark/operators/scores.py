@@ -114,3 +114,8 @@ def projected_date(dates: Column, today: Column, horizon_days: int = 400) -> Col
 def evidence(lines: list[tuple[Column, Column]]) -> Column:
     """Sentences whose condition holds."""
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), text) for c, text in lines]))
+
+
+def valid_horizons(horizons: Column, allowed: tuple[int, ...]) -> Column:
+    """Every horizon is an allowed one and none is there twice."""
+    return F.forall(horizons, lambda h: h.isin(*allowed)) & (F.size(F.array_distinct(horizons)) == F.size(horizons))

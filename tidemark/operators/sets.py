@@ -45,6 +45,11 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: lis
     return best_row(existing.unionByName(incoming), keys, [F.col(c) for c in order], "max")
 
 
+def merged_statements(income: DataFrame, balance: DataFrame, cash_flow: DataFrame, keys: list[str]) -> DataFrame:
+    """Income rows with the balance and the cash flow of the same keys, null where those are missing."""
+    return income.join(balance, keys, "left").join(cash_flow, keys, "left")
+
+
 def preserve_fields(current: DataFrame, previous: DataFrame, identity: list[str], fields: list[str]) -> DataFrame:
     """Fill missing fields from the previous row of the very same record, and name those filled."""
     p = previous.select(*identity, *[F.col(f).alias(f"_p_{f}") for f in fields])

@@ -193,3 +193,99 @@ def unchanged_scores(t: Tables) -> DataFrame:
     first = q.where(F.col("entity_id") % 3 == 0).withColumn("origin", F.lit("first"))
     second = q.withColumn("origin", F.lit("second"))
     return Z.union_by_precedence(first, second, ["entity_id", "period_end"]).select("entity_id", "period_end", r4("revenue").alias("revenue"), "origin")
+
+
+@query(
+    "daily_series",
+    "S4",
+    " UNION ALL ".join(f"SELECT '{s}' AS series_id, CAST(ts AS DATE) AS observation_date, CAST(count(*) FILTER (WHERE event_type = '{k}') AS DOUBLE) AS value FROM events GROUP BY 2 HAVING day(CAST(ts AS DATE)) % 7 <> 0" for s, k in (("views", "view"), ("clicks", "click"))),
+)
+def daily_series(t: Tables) -> DataFrame:
+    """Wide text columns, a mark instead of a number on every seventh day, to long observations."""
+    day = F.to_date("ts")
+    text = lambda k: F.when(F.dayofmonth("day") % 7 == 0, ".").otherwise(F.col(k).cast("string"))
+    wide = t.raw("events").groupBy(day.alias("day")).agg(F.count_if(F.col("event_type") == "view").alias("v"), F.count_if(F.col("event_type") == "click").alias("c"))
+    rows = wide.select(F.col("day").cast("string").alias("day"), text("v").alias("views"), text("c").alias("clicks"), F.lit("2100-01-01").cast("timestamp_ntz").alias("observed_at"))
+    return P.series_csv(rows, ["views", "clicks"], "day", "observed_at").select("series_id", "observation_date", "value")
+
+
+@query(
+    "institutional_holdings",
+    "S22",
+    "SELECT o_orderkey AS holder, o_custkey AS entity_id, CAST(o_orderdate AS DATE) AS report_date, CAST(floor(o_totalprice) AS BIGINT) AS shares FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 3 AND floor(o_totalprice) > 0",
+)
+def institutional_holdings(t: Tables) -> DataFrame:
+    o = t.raw("orders")
+    shares = F.when(F.col("o_orderkey") % 11 == 3, "n/a").otherwise(F.floor("o_totalprice").cast("string"))
+    rows = o.select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("holder"), shares.alias("shares"), F.to_date("o_orderdate").cast("string").alias("report_date"), F.expr("cast(to_date(o_orderdate) as timestamp_ntz) + make_dt_interval(cast(o_orderkey % 5 - 1 as int))").alias("observed_at"))
+    return P.holding_rows(rows.withColumn("observed_at", F.when(F.col("holder") % 5 == 0, F.col("observed_at")).otherwise(F.col("observed_at") + F.expr("interval 1 day"))), ["holder", "entity_id"]).select("holder", "entity_id", "report_date", "shares")
+
+
+@query(
+    "timed_releases",
+    "S25",
+    "SELECT event_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 13 HOUR + INTERVAL 30 MINUTE + CASE WHEN event_id % 2 = 0 THEN INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END AS event_at FROM events WHERE event_id % 9 <> 4",
+)
+def timed_releases(t: Tables) -> DataFrame:
+    """Rows of a release table with a date and a clock time of the exchange's zone, to UTC; rows without a time are left out."""
+    clock = F.when(F.col("event_id") % 9 == 4, "TBA").when(F.col("event_id") % 2 == 0, "1:30 PM").otherwise("08:30 AM")
+    row = F.concat(F.lit("<table><tr><td>"), F.date_format("ts", "MMMM d, yyyy"), F.lit("</td><td>"), clock, F.lit("</td><td>Release</td></tr></table>"))
+    pages = t.raw("events").select("event_id", row.alias("html"))
+    return P.timed_rows(pages, ["event_id"], "html", "-05:00").select("event_id", "event_at")
+
+
+@query(
+    "exhibit_links",
+    "S27",
+    "SELECT page_id, 'ex99-' || i || '.htm' AS href FROM pages, range(1, 3) r(i) WHERE i <= 1 + page_id % 2",
+)
+def exhibit_links(t: Tables) -> DataFrame:
+    """Rows of a filing's index whose type is an exhibit of releases, to their links; the other rows name other documents."""
+    row = lambda kind, name: F.concat(F.lit("<tr><td>"), kind, F.lit("</td><td><a href=\""), name, F.lit("\">doc</a></td></tr>"))
+    second = F.when(F.col("page_id") % 2 == 1, row(F.lit("EX-99.2"), F.lit("ex99-2.htm"))).otherwise(row(F.lit("EX-10.1"), F.lit("ex10.htm")))
+    html = F.concat(F.lit("<table>"), row(F.lit("8-K"), F.lit("main.htm")), row(F.lit(" ex-99.1 "), F.lit("ex99-1.htm")), second, F.lit("</table>"))
+    return P.exhibits(t.raw("pages").select("page_id", html.alias("html")), ["page_id"], "html").select("page_id", "href")
+
+
+@query(
+    "merged_statements",
+    "S29",
+    f"SELECT entity_id, period_end, {rnd('revenue', 2)} AS revenue, CASE WHEN entity_id % 3 <> 0 THEN {rnd('cash', 2)} END AS cash, CASE WHEN entity_id % 4 <> 0 THEN {rnd('free_cash_flow', 2)} END AS free_cash_flow FROM quarter_statements",
+)
+def merged_statements(t: Tables) -> DataFrame:
+    """Income statements keep every row and take balance and cash flow of the same date where there is one."""
+    q, key = t.quarter_statements, ["entity_id", "period_end"]
+    balance = q.where(F.col("entity_id") % 3 != 0).select(*key, "cash")
+    flow = q.where(F.col("entity_id") % 4 != 0).select(*key, "free_cash_flow")
+    m = Z.merged_statements(q.select(*key, "revenue"), balance, flow, key)
+    return m.select(*key, *[r2(c).alias(c) for c in ("revenue", "cash", "free_cash_flow")])
+
+
+@query("allowed_horizons", "F35", "SELECT event_id, event_id % 4 <> 3 AND event_id % 5 <> 0 AS valid FROM events")
+def allowed_horizons(t: Tables) -> DataFrame:
+    third = F.when(F.col("event_id") % 4 == 3, 7).otherwise(20)
+    second = F.when(F.col("event_id") % 5 == 0, 5).otherwise(10)
+    return t.raw("events").select("event_id", S.valid_horizons(F.array(F.lit(5), second, third), (5, 10, 20)).alias("valid"))
+
+
+@query(
+    "narrative_evidence",
+    "F38",
+    """SELECT entity_id, period_end, concat_ws('; ', CASE WHEN net_income > 0 THEN 'Profit in the quarter' END, CASE WHEN free_cash_flow > 0 THEN 'Free cash flow above zero' END, CASE WHEN entity_id % 2 = 0 AND revenue > 0 THEN 'Entity ' || entity_id || ' reports revenue' END) AS evidence FROM quarter_statements""",
+)
+def narrative_evidence(t: Tables) -> DataFrame:
+    lines = [
+        (F.col("net_income") > 0, F.lit("Profit in the quarter")), (F.col("free_cash_flow") > 0, F.lit("Free cash flow above zero")),
+        ((F.col("entity_id") % 2 == 0) & (F.col("revenue") > 0), F.format_string("Entity %d reports revenue", F.col("entity_id"))),
+    ]
+    return t.quarter_statements.select("entity_id", "period_end", F.array_join(S.evidence(lines), "; ").alias("evidence"))
+
+
+@query(
+    "feature_health",
+    "M16",
+    f"SELECT session_no, count(*) AS entities, {rnd('avg(CAST(momentum_20 IS NOT NULL AS INT))')} AS usable_momentum_20, {rnd('avg(CAST(volatility_20 IS NOT NULL AS INT))')} AS usable_volatility_20 FROM features GROUP BY 1",
+)
+def feature_health(t: Tables) -> DataFrame:
+    """Share of entities with a usable value of each feature, by session."""
+    return U.usable_shares(t.features, ["session_no"], ["momentum_20", "volatility_20"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import finite, positive
-from tidemark.functions.text import normalize_ticker
+from tidemark.functions.text import normalize_ticker, table_rows, visible_text
 
 _FACT = "struct<start:date,end:date,val:double,filed:date,form:string,accn:string>"
 FACTS_SCHEMA = f"struct<facts:map<string,map<string,struct<units:map<string,array<{_FACT}>>>>>>"
@@ -158,3 +158,27 @@ def report_dates(df: DataFrame, required: list[str]) -> DataFrame:
         raise ValueError(f"report-date file lacks {missing}")
     d = df.select(normalize_ticker(F.col("symbol")).alias("ticker"), F.col("reportDate").try_cast("date").alias("d")).where("d is not null").distinct()
     return d.groupBy("ticker").agg(F.sort_array(F.collect_list("d")).alias("dates"))
+
+
+def holding_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Institutional holdings: a positive whole number of shares, reported on a day that the observation does not precede."""
+    day, shares = F.col("report_date").try_cast("date"), F.floor(positive("shares")).cast("long")
+    d = df.select(*keys, day.alias("report_date"), shares.alias("shares"), "observed_at")
+    return d.where((F.col("shares") > 0) & (F.col("report_date") <= F.to_date("observed_at")))
+
+
+def timed_rows(df: DataFrame, keys: list[str], html: str, zone: str = "America/New_York") -> DataFrame:
+    """Table rows that state a day and a clock time of ``zone``, as UTC; the third cell is the title."""
+    cells = df.select(*keys, F.explode(table_rows(F.col(html))).alias("c")).where(F.size("c") >= 2)
+    at = F.try_to_timestamp(F.concat_ws(" ", F.col("c")[0], F.upper(F.col("c")[1])), F.lit("MMMM d, yyyy h:mm a")).cast("timestamp_ntz")
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), at)
+    return cells.select(*keys, utc.alias("event_at"), F.get("c", 2).alias("title")).where(F.col("event_at").isNotNull())
+
+
+def exhibits(df: DataFrame, keys: list[str], html: str, kind: str = r"(?i)^\s*EX-99(\.\d+)?\s*$") -> DataFrame:
+    """Links of the index rows that have a cell of this kind."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    d = df.select(*keys, F.explode(rows).alias("_row"))
+    cells = F.transform(F.regexp_extract_all("_row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), visible_text)
+    href = F.regexp_extract("_row", r"""(?is)<a\b[^>]*href=["']([^"']+)["']""", 1)
+    return d.where(F.exists(cells, lambda c: c.rlike(kind))).select(*keys, href.alias("href")).where("href <> ''")
