@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,10 @@ from pyspark.sql import functions as F
 
 from tidemark.session import checkpoint_dir, stage
 
-__all__ = ["checkpoint_dir", "components", "contracted", "mixed", "shared_folder", "stage", "text_rows", "word_hashes"]
+__all__ = ["checkpoint_dir", "components", "contracted", "frugal", "mixed", "shared_folder", "slices", "stage", "text_rows", "word_hashes"]
+
+Batches = Iterator[pa.RecordBatch]
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _U = np.uint64
 
@@ -22,6 +28,34 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
 
 
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task over short batches, whose memory goes back to the system at its end: workers live on, beside the executor's heap.
+
+    The batch length is set where the session has Spark's default.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
+def slices(batches: Batches, rows: int = 256) -> Batches:
+    """The same rows in short batches, so that only few texts at a time are turned into Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def text_rows(batch: pa.RecordBatch, column: int = 1) -> list[bytes]:
     """The texts of a batch as UTF-8; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
@@ -39,7 +73,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class word_hashes(dict):
     """Words to 64-bit hashes.  Words seen are kept up to a bound, then forgotten: only speed depends on it."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         import xxhash
 
         super().__init__()
@@ -106,4 +140,4 @@ def contracted(edges: DataFrame) -> DataFrame:
         pairs = [(x, r) for x, r in pairs if x != r]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], names=["src", "dst"])
 
-    return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropna().mapInArrow(union, "src long, dst long")
+    return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropna().mapInArrow(frugal(union), "src long, dst long")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mixed, stage, text_rows, word_hashes
+from tidemark.llm.common import frugal, mixed, slices, stage, text_rows, word_hashes
 
 #: Words of a seed, and the share of a test's words that tiles must cover.
 MIN_MATCH, COVERAGE = 5, 0.8
@@ -121,7 +121,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     table = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out: DataFrame | None = None
     for block in _blocks(benchmark, block_words):
-        found = table.mapInArrow(_tiler(block, min_match, coverage), schema)
+        found = table.mapInArrow(frugal(_tiler(block, min_match, coverage)), schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -138,7 +138,7 @@ def _tiler(block: list[tuple[int, bytes]], min_match: int, coverage: float):
             keys, owner = np.concatenate([g for g, _ in runs]), np.concatenate([np.full(len(g), n) for g, n in runs])
             order = np.argsort(keys, kind="stable")
             seeds[width] = keys[order], owner[order]
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for at, text in enumerate(text_rows(batch)):
                 doc = tokens(text, hashes)

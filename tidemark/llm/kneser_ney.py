@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mixed, shared_folder, text_rows
+from tidemark.llm.common import frugal, mixed, shared_folder, slices, text_rows
 
 _U = np.uint64
 #: Words are 56-bit hashes; these two stand for the start and the end of a text.
@@ -91,7 +91,7 @@ def _counter(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = _Words(), [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in text_rows(batch, 0):
                 held.append(known.tokens(text))
                 size += len(held[-1])
@@ -202,7 +202,7 @@ def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTE
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, size / shard_bytes))))
     folder = shared_folder(docs.sparkSession, "language_model")
-    counted = texts.mapInArrow(_counter(bits), "shard long, contexts binary, runs binary, words binary, counts binary")
+    counted = texts.mapInArrow(frugal(_counter(bits)), "shard long, contexts binary, runs binary, words binary, counts binary")
     partial = counted.groupBy("shard").applyInPandas(_bigram_merger(folder, bits), "shard long, context boolean, words binary, numbers binary, stats binary")
     sums = partial.groupBy("shard").applyInPandas(_word_merger(folder), ", ".join(f"{x} long" for x in _SUMS))
     row = sums.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in _SUMS]).first()
@@ -335,14 +335,12 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, arrays = _Words(), _Arrays(model)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                columns = arrays.scores([known.tokens(t) for t in text_rows(batch)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.astype(k)) for x, k in zip(columns, ("i8", "i8", "f8", "f8"))]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        for batch in slices(batches):
+            columns = arrays.scores([known.tokens(t) for t in text_rows(batch)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.astype(k)) for x, k in zip(columns, ("i8", "i8", "f8", "f8"))]], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def held_out(column: str = "doc_id", folds: int = 10) -> Column:

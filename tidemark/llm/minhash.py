@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, contracted, mixed, stage, text_rows, word_hashes
+from tidemark.llm.common import components, contracted, frugal, mixed, slices, stage, text_rows, word_hashes
 
 SHINGLE = 5
 #: 30 bands of 5 registers: a pair at 0.85 shares no band once in 4e7, at 0.8 once in 1.5e5.
@@ -112,8 +112,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for batch in slices([whole]):
                 sets = shingle_sets(text_rows(batch), hashes)
                 same = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -125,7 +124,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
                             column[i] = x
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), *[pa.array(k, pa.list_(pa.int64())) for k in keys]], names=["doc_id", "n_shingles", "same", "bands", "fine"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, same binary, bands array<long>, fine array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, n_shingles long, same binary, bands array<long>, fine array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,19 +133,18 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for batch in slices([whole]):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(text_rows(batch), hashes)], pa.binary())], names=["doc_id", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    return texts.join(ids, "doc_id", "left_semi").mapInArrow(frugal(run), "doc_id long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b), those whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)
@@ -156,7 +154,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(frugal(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:

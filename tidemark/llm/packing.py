@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, text_rows
+from tidemark.llm.common import frugal, slices, stage, text_rows
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -43,7 +43,7 @@ class _WordIds(dict):
     _LETTERS = _byte_letters()
     _MARKS = frozenset(b",.;:!?")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -91,28 +91,26 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordIds(tokenizer_path)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                at, piece, start, length, crc, ids = [], [], [], [], [], []
-                for row, text in enumerate(text_rows(batch)):
-                    stream = known.stream(text) + end
-                    for k, i in enumerate(range(0, len(stream), 4 * capacity)):
-                        part = stream[i : i + 4 * capacity]
-                        at.append(row)
-                        piece.append(k)
-                        start.append(i // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        if keep_ids:
-                            ids.append(np.frombuffer(part, dtype="<i4"))
-                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+        for batch in slices(batches):
+            at, piece, start, length, crc, ids = [], [], [], [], [], []
+            for row, text in enumerate(text_rows(batch)):
+                stream = known.stream(text) + end
+                for k, i in enumerate(range(0, len(stream), 4 * capacity)):
+                    part = stream[i : i + 4 * capacity]
+                    at.append(row)
+                    piece.append(k)
+                    start.append(i // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if keep_ids:
+                        ids.append(np.frombuffer(part, dtype="<i4"))
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if keep_ids:
+                columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), schema)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import frugal, slices
+
 #: Plain kinds, then the linked ones, in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "part_id", "part_secret", "part_endpoint")
 #: Characters between two parts of one credential, at most.
@@ -104,7 +106,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.list_(pa.int32())
-        for batch in batches:
+        for batch in slices(batches):
             spans = []
             for text in batch.column(1).to_pylist():
                 base = plain_spans(text or "")
@@ -112,7 +114,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = [pa.array([[x[i] for x in s] for s in spans], lists) for i in (1, 0, 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "kinds", "starts", "ends"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), schema)
 
 
 def joined(first_kind: int = 0, last_kind: int = len(KINDS) - 1):
@@ -146,12 +148,12 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", sc
         return "".join([*out, text[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(batch.columns)
             columns[at] = pa.array([clean(x) for x in columns[at].to_pylist()], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def digest_of(spans: list[tuple[str, int, int]]) -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import frugal, stage
 
 #: Pivots of the table, and vectors of one block on either side.
 PIVOTS, BLOCK = 32, 4096
@@ -45,7 +45,7 @@ def _with_distances(table: DataFrame, pivots: dict[int, np.ndarray]) -> DataFram
                 dist.append(np.sqrt(((pivots[dim] - v) ** 2).sum(axis=1)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ints, pa.binary()), pa.array(dist, pa.binary())], names=["vec_id", "dim", "ints", "dist"])
 
-    return table.mapInArrow(run, "vec_id long, dim int, ints binary, dist binary")
+    return table.mapInArrow(frugal(run), "vec_id long, dim int, ints binary, dist binary")
 
 
 def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mixed, text_rows
+from tidemark.llm.common import frugal, mixed, slices, text_rows
 
 #: Labelled documents that training uses at most, toxic and other, drawn by the hash of their id, and their characters.
 SAMPLE = (2000, 4000)
@@ -166,7 +166,7 @@ def train(texts: list[bytes], labels: list[int], window: int = WINDOW, epochs: t
 class _WordScores(dict):
     """Words to the mean logit of their subwords; words seen are kept up to a bound."""
 
-    def __init__(self, logits: np.ndarray, most: int = 400_000):
+    def __init__(self, logits: np.ndarray, most: int = 200_000):
         super().__init__()
         self._logits, self._most = logits, most
 
@@ -194,8 +194,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordScores(logits)
-        for whole, lo in ((b, lo) for b in batches for lo in range(0, b.num_rows, 256)):
-            batch, z = whole.slice(lo, 256), []
+        for batch in slices(batches):
+            z = []
             texts = [text.split() or [b""] for text in text_rows(batch, at)]
             known.learn(texts)
             for words in texts:
@@ -205,7 +205,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in out] + [pa.array(p, pa.float64())], names=[*out, name])
 
     schema = docs.select(*out).withColumn(name, F.lit(0.0)).schema
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(frugal(run), schema)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, held_out: Column, sample: tuple[int, int] = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
