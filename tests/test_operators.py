@@ -233,6 +233,9 @@ def test_interval_identity_and_conflict(spark):
     e = spark.createDataFrame([(1, d(1), d(7), 60.0), (1, d(1), d(3), 20.0), (1, d(7), d(9), 25.0), (2, d(1), d(4), 5.0), (2, d(4), d(9), 5.0), (2, d(1), d(9), 12.0)], "entity_id long, left date, right date, value double")
     a = spark.createDataFrame([(1, d(3), d(9)), (2, d(1), d(9)), (3, d(1), d(9))], "entity_id long, start date, end date")
     assert rows(S.interval_totals(e, a), "entity_id", "total") == [(1, 65.0), (2, None), (3, None)]
+    long = spark.createDataFrame([(1, D(2000, 1, 1) + dt.timedelta(days=30 * k), D(2000, 1, 1) + dt.timedelta(days=30 * k + 30), 1.0) for k in range(40)], "entity_id long, left date, right date, value double")
+    far = spark.createDataFrame([(1, D(2000, 1, 1), D(2000, 1, 1) + dt.timedelta(days=1200)), (1, D(2000, 1, 31), D(2000, 1, 1)), (1, D(1999, 1, 1), D(2000, 1, 1)), (2, D(2000, 1, 1), D(2000, 1, 31))], "entity_id long, start date, end date")
+    assert [r[1] for r in rows(S.interval_totals(long, far), "start", "total", "entity_id")] == [None, 40.0, None, -1.0]
 
 
 def test_macro_vintage_counts_from_the_next_day(spark):

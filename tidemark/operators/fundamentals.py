@@ -333,25 +333,51 @@ def shares_asof(statements: DataFrame, shares: DataFrame, days: int = 180) -> Da
     return statements.join(best, key, "left")
 
 
-def interval_totals(edges: DataFrame, asks: DataFrame, max_hops: int = 6, tolerance: float = 0.01) -> DataFrame:
-    """Amount between two days as a signed path over reported intervals.
+def interval_totals(edges: DataFrame, asks: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Amount between two days as a signed path, of any length, over reported intervals.
 
     ``edges``: entity, left, right, value; ``asks``: entity, start, end.  An
-    interval adds its value forward and takes it off backward.  Breadth-first
-    rounds (at most ``max_hops`` joins, each distributed) give every reachable
-    day one total; two totals that disagree leave the ask unanswered.
+    interval fixes how far apart its two days lie, so days joined by intervals
+    form groups with one running total each, and an ask is the difference of two
+    totals.  A group in which two paths disagree answers nothing.  The intervals
+    of one entity, as many as it has filed, are settled together.
     """
-    e = edges.select(ENTITY, "left", "right", "value")
-    both = e.select(ENTITY, F.col("left").alias("from"), F.col("right").alias("to"), F.col("value").alias("step")).unionByName(
-        e.select(ENTITY, F.col("right").alias("from"), F.col("left").alias("to"), (-F.col("value")).alias("step"))
-    )
+    import pandas as pd
+
+    def settle(known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        up: dict = {}  # day -> (day nearer to its group's head, amount from there to here)
+
+        def head(day):
+            path = []
+            while (step := up.setdefault(day, (day, 0.0)))[0] != day:
+                path.append(day)
+                day = step[0]
+            total = 0.0
+            for d in reversed(path):
+                total += up[d][1]
+                up[d] = (day, total)
+            return day, total
+
+        torn = set()
+        for left, right, value in known.dropna()[["left", "right", "value"]].sort_values(["left", "right", "value"]).itertuples(index=False):
+            (a, to_left), (b, to_right) = head(left), head(right)
+            if a != b:
+                up[b] = (a, to_left + value - to_right)
+                if b in torn:
+                    torn.add(a)
+            elif abs(to_left + value - to_right) > tolerance:
+                torn.add(a)
+        totals = []
+        for start, end in wanted[["start", "end"]].itertuples(index=False):
+            (a, x), (b, y) = head(start), head(end)
+            totals.append(y - x if a == b and a not in torn else None)
+        return wanted[[ENTITY, "start", "end"]].assign(total=pd.Series(totals, index=wanted.index, dtype="float64"))
+
     key = [ENTITY, "start", "end"]
-    reached = asks.select(*key, F.col("start").alias("node"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
-    for _ in range(max_hops):
-        steps = reached.join(both, (reached[ENTITY] == both[ENTITY]) & (F.col("node") == F.col("from"))).select(
-            *[reached[k] for k in key], F.col("to").alias("node"), (F.col("lo") + F.col("step")).alias("lo"), (F.col("hi") + F.col("step")).alias("hi")
-        )
-        reached = reached.unionByName(steps).groupBy(*key, "node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    clash = F.max(F.col("hi") - F.col("lo"))
-    out = reached.groupBy(*key).agg(clash.alias("_clash"), F.max(F.when(F.col("node") == F.col("end"), F.col("lo"))).alias("_total"))
-    return asks.join(out.select(*key, F.when(F.col("_clash") <= tolerance, F.col("_total")).alias("total")), key, "left")
+    kind = {f.name: f.dataType.simpleString() for f in asks.schema.fields}
+    found = (
+        edges.select(ENTITY, "left", "right", "value").groupBy(ENTITY)
+        .cogroup(asks.select(*key).distinct().groupBy(ENTITY))
+        .applyInPandas(settle, ", ".join(f"{k} {kind[k]}" for k in key) + ", total double")
+    )
+    return asks.join(found.withColumn("total", F.when(~F.isnan("total"), F.col("total"))), key, "left")

@@ -194,7 +194,7 @@ def interval_identity(t: Tables) -> DataFrame:
     start = F.add_months(F.date_add("period_end", 1), -3)
     edges = q.select("entity_id", start.alias("left"), F.date_add("period_end", 1).alias("right"), F.col("revenue").alias("value"))
     asks = q.where(F.month("period_end") == 6).select("entity_id", "period_end", F.add_months(F.date_add("period_end", 1), -12).alias("start"), F.date_add("period_end", 1).alias("end"))
-    out = S.interval_totals(edges, asks, max_hops=4, tolerance=0.05)
+    out = S.interval_totals(edges, asks, tolerance=0.05)
     return out.where(F.col("total").isNotNull()).select("entity_id", "period_end", r2("total").alias("total"))
 
 
