@@ -1,10 +1,11 @@
-"""Queries against their SQL.  A sample by default; every query with TIDEMARK_ALL=1."""
+"""Queries against their SQL, none of them empty.  A sample by default; every query with TIDEMARK_ALL=1."""
 
 import os
 
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.plans.registry import load_all
 from tools.compare import compare, connect
 
 SF = os.environ.get("TIDEMARK_SF", "/root/testdata/sf0.001")
@@ -12,7 +13,7 @@ SAMPLE = (
     "canonical_bars", "session_features", "exact_session_labels", "price_history_gaps", "fetch_plan", "setup_match", "ttm_rows", "beat_streak", "recent_report", "event_asof",
     "change_versions", "member_asof", "trailing_news", "macro_change", "corroborated_fill", "guidance_ranges", "company_facts", "page_text", "page_links", "reported_debt", "run_timeliness", "archive_verification",
 )
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("TIDEMARK_ALL") else SAMPLE
+NAMES = sorted(n for n, q in load_all().items() if q.sql) if os.environ.get("TIDEMARK_ALL") else SAMPLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
@@ -24,8 +25,10 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, name):
-    problems = [p for p in compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) if p != "no rows"]
-    assert not problems
+    problems = compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name])
+    # The smallest tables have too few peers for these to select anyone; larger ones do.
+    may_be_empty = {"two_rankings", "current_candidates"} if SF.endswith("sf0.001") else set()
+    assert [p for p in problems if p != "no rows" or name not in may_be_empty] == []
 
 
 def test_entry_runs(spark):
