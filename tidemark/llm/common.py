@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpoint_dir, stage
+from tidemark.session import new_folder, stage
 
-__all__ = ["checkpoint_dir", "components", "contracted", "frugal", "mixed", "shared_folder", "slices", "stage", "text_rows", "word_hashes"]
+__all__ = ["components", "contracted", "frugal", "mixed", "shared_folder", "slices", "stage", "text_rows", "word_hashes"]
 
 Batches = Iterator[pa.RecordBatch]
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -24,8 +23,8 @@ _U = np.uint64
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share."""
-    return f"{checkpoint_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
+    """A new folder below the one that driver and executors share; ``session.drop_staged`` deletes it with the staged tables."""
+    return new_folder(spark, name)
 
 
 def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
