@@ -200,12 +200,12 @@ def live_streak(df: DataFrame, keys: Names, order: Names, hit: Column) -> DataFr
 def trailing_stats(decisions: DataFrame, facts: DataFrame, on: Names, cutoff: str, published: str, observed: str, days: int, aggs: list[Column]) -> DataFrame:
     """Aggregate the facts published in the last ``days`` before each cutoff and seen by then.
 
-    Facts visit the days on which they can count (``days`` + 1 of them) and
-    meet the decisions of that day, so the fan-out is fixed.
+    Each distinct cutoff asks for the ``days`` + 1 days it looks back on, and
+    facts meet them on their own day: a raw fact is shuffled once, and what it
+    counts for is summed in the task that met it.
     """
-    f = facts.withColumn("_day", F.explode(F.sequence(F.to_date(published), F.date_add(F.to_date(published), days))))
-    d = decisions.withColumn("_day", F.to_date(cutoff))
-    hits = d.select(*on, "_day", cutoff).join(f, [*on, "_day"]).where(
-        available(F.col(cutoff), observed, published) & (F.col(published) >= F.col(cutoff) - F.expr(f"interval {days} days"))
-    )
+    span = F.sequence(F.date_sub(F.to_date(cutoff), days), F.to_date(cutoff))
+    d = decisions.select(*on, cutoff).distinct().withColumn("_day", F.explode(span))
+    f = facts.withColumn("_day", F.to_date(published))
+    hits = f.join(d, [*on, "_day"]).where(available(F.col(cutoff), observed, published) & (F.col(published) >= F.col(cutoff) - F.expr(f"interval {days} days")))
     return decisions.join(hits.groupBy(*on, cutoff).agg(*aggs), [*on, cutoff], "left")
