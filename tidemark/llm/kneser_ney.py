@@ -51,6 +51,11 @@ def _shard(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
 
 
+def _word_bits(bits: int) -> int:
+    """Words are far fewer than pairs of them, so an eighth of the shards, 8 at least, holds them, and a pair's shard addresses fewer."""
+    return min(bits, max(3, bits - 3))
+
+
 def _seven(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
 
@@ -144,7 +149,7 @@ def _bigram_merger(folder: str, bits: int):
             by = np.argsort(of, kind="stable")
             runs = _runs(of[by])
             of, cc = of[by][runs], c[by]
-            home = _shard(mixed(of), bits)
+            home = _shard(mixed(of), _word_bits(bits))
             if what == "context":
                 columns = [np.add.reduceat(x.astype(np.int64), runs) for x in (cc == 1, cc == 2, cc > 2)]
             else:
@@ -266,7 +271,7 @@ class _Arrays:
     def words(self, h: np.ndarray) -> list[np.ndarray]:
         """count, follows, n1, n2, n3 of each word; zeros for unknown ones."""
         out = [np.zeros(len(h), dtype=np.int64) for _ in range(5)]
-        home = _shard(mixed(h), self.model.bits)
+        home = _shard(mixed(h), _word_bits(self.model.bits))
         for u in np.unique(home):
             if (f := self._file(f"words-{u}", ("<u8", "<u8", "n", "n", "n", "n", "n"))) is None:
                 continue
