@@ -244,3 +244,12 @@ def test_weak_parts_need_each_other(spark):
     clean = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
     assert clean[3] == "[SECRET] with [SECRET] beside it" and clean[7] is None and clean[8] == "" and clean[0] == texts[0]
     assert secrets.redacted(docs).columns == docs.columns and secrets.secret_digest(docs.limit(0)).count() == 0
+
+
+def test_blocks_of_a_bucket_lose_no_link(spark):
+    rng = random.Random(8)
+    base = rng.choices([f"v{i}" for i in range(300)], k=150)
+    rows = [(i, " ".join(changed(base, rng, rng.randrange(14)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, block=16).collect()}
+    assert got == plain_components(rows) and len(set(got.values())) > 10

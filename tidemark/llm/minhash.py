@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -15,11 +16,8 @@ from tidemark.llm.common import components, contracted, frugal, mixed, slices, s
 SHINGLE = 5
 #: 30 bands of 5 registers: a pair at 0.85 shares no band once in 4e7, at 0.8 once in 1.5e5.
 BANDS, ROWS = 30, 5
-#: Leaders of a bucket in each round; the last round lets every member lead.
-LEADERS = (1, 8, 64)
-#: After the first round what is left of a bucket is dealt by each of 8 groups of 6 registers, spread over the bands.  A pair
-#: at 0.85 shares 13 bands on average and no group of one of them once in 44, so this adds a miss in some 1e8; at 0.8 one in 7e4.
-FINE, FINE_ROWS = 8, 6
+#: Members of a bucket that meet at once.
+BLOCK = 256
 
 _U = np.uint64
 
@@ -100,14 +98,8 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return keys
 
 
-def fine_keys(sig: np.ndarray, groups: int = FINE, rows: int = FINE_ROWS) -> np.ndarray:
-    """A 64-bit key per set and group of registers, which are taken in steps of 31 so that a group has few of one band."""
-    at = (np.arange(groups * rows) * 31) % sig.shape[1]
-    return band_keys(sig[:, at], groups, rows)
-
-
 def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, same, bands, fine): ``same`` names the whole set, null for an empty one."""
+    """(doc_id, n_shingles, same, bands): ``same`` names the whole set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
@@ -116,15 +108,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
                 sets = shingle_sets(text_rows(batch), hashes)
                 same = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys: list[list] = [[None] * len(sets), [None] * len(sets)]
+                keys: list = [None] * len(sets)
                 if full:
                     sig = super_minhash([sets[i] for i in full], bands * rows)
-                    for column, k in zip(keys, (band_keys(sig, bands, rows), fine_keys(sig))):
-                        for i, x in zip(full, k.view(np.int64)):
-                            column[i] = x
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), *[pa.array(k, pa.list_(pa.int64())) for k in keys]], names=["doc_id", "n_shingles", "same", "bands", "fine"])
+                    for i, x in zip(full, band_keys(sig, bands, rows).view(np.int64)):
+                        keys[i] = x
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "same", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, n_shingles long, same binary, bands array<long>, fine array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, n_shingles long, same binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -145,11 +136,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            keep = [_linked(np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U), percent) for x, y in pairs]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
@@ -157,16 +145,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(frugal(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _block_links(percent: int):
+    """Links between components among the members of one block, or between two blocks, of a bucket.
+
+    A pair is looked at in the first band it shares only, pairs that share most
+    bands first; once a link joins two components their other pairs are skipped.
+    What comes out is at most a link a member.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bands = np.array(rows["bands"].tolist(), dtype=np.int64)
+        ids, size, comp, block = (rows[c].to_numpy() for c in ("rep", "n_shingles", "component", "block"))
+        here = int((bands[0] == key[0]).argmax())
+        up = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        left, right = (np.flatnonzero(block == key[i]) for i in (1, 2))
+        pairs = []
+        for i in left.tolist():
+            same = bands[right] == bands[i]
+            ok = (same.argmax(axis=1) == here) & (comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))
+            if key[1] == key[2]:
+                ok &= right > i
+            pairs += [(-n, i, j) for n, j in zip(same[ok].sum(axis=1).tolist(), right[ok].tolist())]
+        sets = [np.frombuffer(x, dtype=_U) for x in rows["shingles"]]
+        out = []
+        for _, i, j in sorted(pairs):
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b and _linked(sets[i], sets[j], percent):
+                up[max(a, b)] = min(a, b)
+                out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row.
 
     Documents with equal sets are one class at once; only a class's smallest id
-    goes on.  Classes that share a band meet in its bucket.  In each round some
-    members of a bucket lead and the others, unless already in the leader's
-    component, are verified against them on full sets; buckets whose members
-    have become one component are done, and the last round lets all members
-    lead.  So a bucket of many copies costs a row a member, and still no
-    link between two components is left untested.
+    goes on.  Classes that share a band meet in its bucket.  First every member
+    is verified against the bucket's smallest id, on full sets, and links become
+    components.  Buckets whose members are then one component are done; in the
+    others all members of different components are compared, in blocks of
+    bounded size that meet pairwise, and only links leave a task.  So a bucket
+    of copies costs a row a member, no pairs are listed, and no link between two
+    components that share a band is left out.
 
     Null and empty texts have empty sets and stand alone; rows with a null id
     are linked with nothing and kept; rows that repeat an id are one node, each
@@ -178,38 +212,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     member = stage(known.select("doc_id", "same", "n_shingles").distinct().join(classes, "same").select("doc_id", "n_shingles", "rep"), "members")
     reps = known.join(classes.withColumnRenamed("rep", "doc_id"), ["same", "doc_id"], "left_semi")
     banded = stage(reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("key")).distinct(), "bands")
-    shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    buckets = stage(banded.join(shared, "key", "left_semi"), "buckets")
+    shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    buckets = stage(banded.join(shared.select("key"), "key", "left_semi"), "buckets")
     labels = stage(buckets.select("rep", F.col("rep").alias("component")).distinct(), "labels")
     sets = stage(_sets(docs, labels.select(F.col("rep").alias("doc_id")), id_col, text_col), "sets")
-    tested: DataFrame | None = None
-
-    def still_open(buckets: DataFrame) -> DataFrame:
-        mine = buckets.join(labels, "rep")
-        divided = mine.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        return stage(mine.join(divided, "key", "left_semi"), "open")
-
-    for turn, leaders in enumerate((*LEADERS, None)):
-        mine = still_open(buckets)
-        if turn == 1:
-            groups = reps.select(F.col("doc_id").alias("rep"), F.posexplode("fine").alias("at", "group"))
-            finer = mine.select("key", "rep", "n_shingles").join(groups, "rep").select("rep", "n_shingles", F.xxhash64("key", "at", "group").alias("key"))
-            buckets = stage(finer.distinct(), "finer")
-            mine = still_open(buckets)
-        if mine.isEmpty():
-            break
-        lead = mine if leaders is None else mine.join(mine.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(leaders)), F.lit(leaders)).alias("slot")).agg(F.min("rep").alias("rep")).select("key", "rep"), ["key", "rep"], "left_semi")
-        lead = lead.select("key", F.col("rep").alias("other"), F.col("component").alias("its"), F.col("n_shingles").alias("m"))
-        pairs = mine.join(lead, "key").where((F.col("component") != F.col("its")) & (100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m"))).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = _verified(pairs, sets, percent)
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The labels after these links (a, b)."""
         side = lambda c: labels.select(F.col("rep").alias(c), F.col("component").alias(f"{c}_component"))
-        joins = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_component").alias("src"), F.col("b_component").alias("dst"))
-        found = components(contracted(joins))
-        labels = stage(labels.join(found.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("rep", F.coalesce("root", "component").alias("component")), "labels")
+        edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_component").alias("src"), F.col("b_component").alias("dst"))
+        found = components(contracted(edges))
+        return stage(labels.join(found.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("rep", F.coalesce("root", "component").alias("component")), "labels")
+
+    lead = shared.select("key", F.col("lo").alias("other")).join(labels.select(F.col("rep").alias("other")), "other")
+    sizes = buckets.select(F.col("rep").alias("other"), F.col("n_shingles").alias("m")).distinct()
+    stars = buckets.join(lead, "key").where("rep <> other").select("rep", "other", "n_shingles").distinct().join(sizes, "other")
+    stars = stars.where(100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    labels = joined(_verified(stage(stars, "stars"), sets, percent))
+
+    mine = buckets.join(labels, "rep")
+    divided = mine.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("lo < hi")
+    dealt = mine.join(divided.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = stage(dealt, "open")
+    if not dealt.isEmpty():
+        meets = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "rep", "n_shingles", "component", "block")
+        full = sets.join(reps.select("doc_id", "bands"), "doc_id").withColumnRenamed("doc_id", "rep")
+        links = meets.join(full, "rep").groupBy("key", "x", "y").applyInPandas(_block_links(percent), "a long, b long")
+        labels = joined(links)
     grouped = stage(member.select("doc_id", "rep").join(labels, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).distinct(), "grouped")
     least = grouped.groupBy("doc_id").agg(F.min("component").alias("component_id"), F.max("component").alias("most"))
     twofold = grouped.join(least.where("component_id < most"), "doc_id").where("component > component_id").select(F.col("component").alias("src"), F.col("component_id").alias("dst"))
