@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -43,7 +43,7 @@ class _WordIds(dict):
     _LETTERS = _byte_letters()
     _MARKS = frozenset(b",.;:!?")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,27 +51,28 @@ class _WordIds(dict):
 
         super().__init__()
         whole = Tokenizer.from_file(path)
-        self._encode, self._merge, self._most = whole.encode, whole.model.tokenize, most
+        self._encode, self._merge = whole.encode, whole.model.tokenize
+        self._half, self._older = most // 2, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self._most:
+        ids = self._older.get(word)
+        if ids is None:
+            ids = self._ids(word)
+        if len(self) >= self._half:  # words in use come back from the older half
+            self._older = dict(self)
             self.clear()
-        text = word.decode("utf-8", "replace")
-        if len(word) > 1 and word[-1] in self._MARKS and text[-2].isalpha() and text[-2] < "\u0180" and text[-2] != "\u0130":
-            ids = self[word[:-1]] + self[word[-1:]]
-        elif text.isascii() and text.isalpha():
-            ids = self._pack(x.id for x in self._merge(text.lower()))
-        elif text.isalpha() and max(text) < "\u0180" and "\u0130" not in text and is_normalized("NFC", text):
-            ids = self._pack(x.id for x in self._merge(text.lower().encode().decode("latin-1").translate(self._LETTERS)))
-        else:
-            ids = np.asarray(self._encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self[word] = ids
         return ids
 
-    @staticmethod
-    def _pack(ids: Iterable[int]) -> bytes:
-        ids = list(ids)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _ids(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return array("I", [x.id for x in self._merge(word.decode().lower())]).tobytes()
+        text = word.decode("utf-8", "replace")
+        if len(word) > 1 and word[-1] in self._MARKS and text[-2].isalpha() and text[-2] < "\u0180" and text[-2] != "\u0130":
+            return self[word[:-1]] + self[word[-1:]]
+        if text.isalpha() and max(text) < "\u0180" and "\u0130" not in text and is_normalized("NFC", text):
+            return array("I", [x.id for x in self._merge(text.lower().encode().decode("latin-1").translate(self._LETTERS))]).tobytes()
+        return array("I", self._encode(text, add_special_tokens=False).ids).tobytes()
 
     def stream(self, text: bytes) -> bytes:
         """The ids of a text.  A-Z fold first, where that can't make one of the tokenizer's own marks."""
