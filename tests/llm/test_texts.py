@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -196,6 +197,36 @@ def test_licences_against_plain_code(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_licences_in_paragraphs_and_within_lines(spark):
+    breaks = {
+        "MIT": ["The above copyright notice", 'THE SOFTWARE IS PROVIDED "AS IS"'],
+        "Apache-2.0": ["You may obtain a copy", "http://www.apache.org", "Unless required by"],
+        "GPL-3.0": ["This program is distributed", "You should have received"],
+        "BSD-2-Clause": ["1. Redistributions", "2. Redistributions", "THIS SOFTWARE IS PROVIDED"],
+    }
+    code = "\n\n".join(f"def part_{i}(value):\n    total = value + {i}\n    return total, 'of the part number {i}'" for i in range(60))
+    texts, names = [], []
+    for name, at in breaks.items():
+        text = licenses.TEMPLATES[name][1 if name != "BSD-2-Clause" else 0]
+        for start in at:
+            assert start in text
+            text = text.replace(start, "\n\n" + start, 1)
+        wrapped = "\n\n".join("\n".join(textwrap.wrap(x, 70)) for x in text.split("\n\n"))
+        for form in (text, wrapped, "Copyright (c) 2020 A. Person\n\n" + wrapped):
+            texts.append(f"{form}\n\n{code}")
+            names.append(name)
+        texts.append(f"{code}\n\n{wrapped}\n\n{code}")
+        names.append(name)
+    for line, name in [("This small library of many useful parts is Released under the MIT License and has been in use at many places for years", "MIT"), ("See the manual for all of the parts (Licensed under CC BY-NC 4.0.) and write to its authors about the rest of them", "CC-BY-NC-4.0")]:
+        texts.append(f"{code}\n{line}\n{code}")
+        names.append(name)
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.licenses, r.best_license) for r in got] == [([n], n) for n in names]
+    # a wrapped notice may begin with a line that is the short one
+    assert all(r.n_matches in (1, 2) and r.best_dice > 0.95 for r in got)
+    assert licenses.license_scan(spark.createDataFrame([(1, code + "\n\n" + licenses.TEMPLATES["MIT"][1][:300] + "\n\n" + code)], "doc_id long, text string")).first().n_matches == 0
+
+
 # --- secrets ----------------------------------------------------------------
 
 KEY = "AKIA" + "ABCDEFGH12345678"

@@ -1,4 +1,4 @@
-"""Licence scans: normalised lines, blocks and texts compared to templates by the Dice coefficient of word bigrams."""
+"""Licence scans: normalised lines, blocks, texts and runs of phrases compared to templates by the Dice coefficient of word bigrams."""
 
 from __future__ import annotations
 
@@ -83,10 +83,138 @@ def _matches(grams: Column, templates: dict[str, tuple[str, ...]], threshold: fl
     return F.filter(F.array(*scores), lambda x: x["dice"] >= threshold)
 
 
+def _wanted(templates: dict[str, tuple[str, ...]], threshold: float) -> tuple[Column, list[str], list[str]]:
+    """A row per licence with its templates, the longest first; all their bigrams; and words of which a text has at least one if it holds enough bigrams of any."""
+    rows, every, keys = [], set(), set()
+    for name, texts in templates.items():
+        own_rows, edges = [], ([], [])
+        for text in sorted(texts, key=lambda x: -len(template_bigrams(x))):
+            words = re.sub(r"[\W_]+", " ", text.lower()).split()
+            own = template_bigrams(text)
+            low, high = bounds(len(own), threshold)
+            # Repeats count here: a run is at most as long as the upper bound of the template's own length.
+            longest = max(high, bounds(len(words) - 1, threshold)[1]) + 1
+            own_rows.append(F.struct(F.array(*[F.lit(x) for x in own]).alias("own"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(longest).alias("longest")))
+            for edge, pair in zip(edges, (words[:2], words[-2:])):
+                edge.append(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(pair) + r"(?![\p{L}\p{N}])")
+            every.update(own)
+            left = set(own)
+            for word in sorted(set(words), key=lambda w: (-len(w), w)):
+                if len(left) < low:
+                    break
+                keys.add(word)
+                left = {x for x in left if word not in x.split()}
+        rows.append(F.struct(F.lit(name).alias("license"), F.array(*own_rows).alias("templates"), F.lit("|".join(edges[0])).alias("first"), F.lit("|".join(edges[1])).alias("last")))
+    return F.array(*rows), sorted(every), sorted(keys)
+
+
+def _dice(grams: Column, t: Column) -> Column:
+    """The coefficient, null out of size bounds."""
+    return F.when(F.size(grams).between(t["low"], t["high"]), F.size(F.array_intersect(grams, t["own"])) * 2 / (F.size(grams) + F.size(t["own"])))
+
+
+def _level(grams: Column, own: Column, threshold: float) -> Column:
+    """The bigrams of the longest of a licence's templates that a unit is; 0 for none."""
+    return F.array_max(F.transform(own["templates"], lambda t: F.when(_dice(grams, t) >= threshold, F.size(t["own"])).otherwise(0)))
+
+
+def _phrases(text: Column, own: Column, threshold: float) -> Column:
+    """(words, level) of each phrase in order, the level that of its line or block.
+
+    Phrases end at line ends, at marks beside white space, before a template's
+    first two words and after its last two.
+    """
+
+    def cut(line: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(F.lower(line), own["first"], F.lit("\n$0")), own["last"], F.lit("$0\n"))
+        return F.transform(F.split(marked, r"\n|(?<=[^\p{L}\p{N}\s])\s+|\s+(?=[^\p{L}\p{N}\s])"), _words)
+
+    def level(unit: Column) -> Column:
+        return _bound(_bigrams(_words(unit)), lambda g: _level(g, own, threshold))
+
+    def levelled(unit: Column, above: Column, use) -> Column:
+        return _bound(F.greatest(above, level(unit)), use)
+
+    def lines(block: Column, above: Column) -> Column:
+        return F.flatten(F.transform(F.split(block, "\n"), lambda x: levelled(x, above, lambda n: F.transform(cut(x), lambda w: F.struct(w.alias("words"), n.alias("level"))))))
+
+    blocks = F.transform(F.split(text, r"\n\s*\n"), lambda x: levelled(x, F.lit(0), lambda n: lines(x, n)))
+    return F.filter(F.flatten(blocks), lambda p: F.get(p["words"], F.lit(0)) != "")
+
+
+def _best_run(phrases: Column, start: Column, t: Column) -> Column:
+    """(start, end, dice) of the best run of phrases from ``start``."""
+
+    def state(grams, last, n, at, end, dice, going):
+        return F.struct(grams.alias("grams"), last.alias("last"), n.alias("n"), at.alias("at"), end.alias("end"), dice.alias("dice"), going.alias("going"))
+
+    def step(s: Column, phrase: Column) -> Column:
+        words = phrase["words"]
+        stopped = state(s["grams"], s["last"], s["n"], s["at"], s["end"], s["dice"], F.lit(False))
+
+        def grown(grams: Column) -> Column:
+            dice = F.coalesce(_dice(grams, t), F.lit(0.0))
+            better = dice > s["dice"]
+            return state(grams, F.element_at(words, -1), s["n"] + F.size(words), s["at"] + 1, F.when(better, s["at"]).otherwise(s["end"]), F.when(better, dice).otherwise(s["dice"]), F.size(grams) <= t["high"])
+
+        fits = s["going"] & (phrase["level"] < F.size(t["own"])) & (s["n"] + F.size(words) <= t["longest"])
+        joined = F.when(s["last"] == "", words).otherwise(F.concat(F.array(s["last"]), words))
+        return F.when(fits, _bound(F.array_union(s["grams"], _bigrams(joined)), grown)).otherwise(stopped)
+
+    none = state(F.array().cast("array<string>"), F.lit(""), F.lit(0), start, start, F.lit(0.0), F.lit(True))
+    run = F.aggregate(F.slice(phrases, start, t["longest"]), none, step)
+    return _bound(run, lambda r: F.struct((-F.size(t["own"])).alias("size"), (-r["dice"]).alias("minus"), start.alias("start"), r["end"].alias("end")))
+
+
+def _runs(phrases: Column, templates: Column, own: Column, threshold: float) -> Column:
+    """(license, dice) of the runs of phrases that reach the threshold: the longest template's best first, then those that overlap none before."""
+
+    def begins(i: Column, t: Column) -> Column:
+        phrase = F.get(phrases, i - 1)
+        beyond = F.coalesce(F.slice(F.get(phrases, i)["words"], 1, 1), F.array().cast("array<string>"))
+        return (phrase["level"] < F.size(t["own"])) & F.arrays_overlap(_bigrams(F.concat(phrase["words"], beyond)), t["own"])
+
+    def of(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(phrases)), lambda i: begins(i, t))
+        return F.filter(F.transform(starts, lambda i: _best_run(phrases, i, t)), lambda r: r["minus"] <= -threshold)
+
+    ranked = F.array_sort(F.flatten(F.transform(templates, of)))
+    chosen = F.aggregate(ranked, F.array().cast("array<struct<size:int,minus:double,start:int,end:int>>"), lambda kept, r: F.when(F.exists(kept, lambda k: (k["start"] <= r["end"]) & (r["start"] <= k["end"])), kept).otherwise(F.concat(kept, F.array(r))))
+    distinct = F.array_distinct(F.transform(chosen, lambda r: F.struct(r["size"].alias("size"), (-r["minus"]).alias("dice"), F.array_join(F.flatten(F.transform(F.slice(phrases, r["start"], r["end"] - r["start"] + 1), lambda p: p["words"])), " ").alias("words"))))
+    return F.transform(distinct, lambda r: F.struct(own["license"].alias("license"), r["dice"].alias("dice")))
+
+
+def _passages(text: Column, templates: dict[str, tuple[str, ...]], threshold: float) -> Column:
+    """(license, dice) of the runs of phrases that are a template and lie in no line, block or text that is it or a longer one of its licence.
+
+    A run that reaches the threshold shares as many bigrams with its template
+    as the lower size bound, so a text without as many is passed over.
+    """
+    rows, every, keys = _wanted(templates, threshold)
+    none = F.array().cast("array<struct<license:string,dice:double>>")
+
+    def search(grams: Column, hits: Column, own: Column) -> Column:
+        def missing(level: Column) -> Column:
+            return F.filter(own["templates"], lambda t: (F.size(t["own"]) > level) & (F.size(F.array_intersect(hits, t["own"])) >= t["low"]))
+
+        def run(left: Column) -> Column:
+            return F.when(F.size(left) > 0, _bound(_phrases(text, own, threshold), lambda p: F.when(F.size(p) > 0, _runs(p, left, own, threshold)).otherwise(none))).otherwise(none)
+
+        return _bound(_bound(_level(grams, own, threshold), missing), run)
+
+    def judged(grams: Column) -> Column:
+        hits = F.array_intersect(grams, F.array(*[F.lit(x) for x in every]))
+        return _bound(hits, lambda h: F.flatten(F.transform(rows, lambda own: search(grams, h, own))))
+
+    return _bound(_words(text), lambda w: F.when(F.arrays_overlap(w, F.array(*[F.lit(x) for x in keys])), _bound(_bigrams(w), judged)).otherwise(none))
+
+
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_matches, licenses, best_license, best_dice) per row.
 
-    ``n_matches`` counts pairs of a distinct unit of the text and a template;
+    ``n_matches`` counts pairs of a distinct unit of the text and a template: a
+    line, a block, the whole text, or a run of phrases (a template in several
+    paragraphs, or a notice within a longer line) outside those that match it;
     ``licenses`` lists names in order; the best has the highest coefficient,
     the first name among equals; none is null and an empty list.  Null and
     empty texts match nothing; rows repeat as given; no rows give none.  A row
@@ -97,6 +225,7 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
     # A unit of n bigrams has at least n + 1 words, so 2 n + 1 characters.
     likely = F.filter(units(text), lambda u: F.length(u) >= 2 * smallest + 1)
     found = F.flatten(F.transform(likely, lambda u: _bound(_words(u), lambda w: _bound(_bigrams(w), lambda g: _matches(g, templates, threshold)))))
+    found = F.concat(found, _passages(text, templates, threshold))
     best = F.element_at(F.array_sort(F.transform("found", lambda x: F.struct((-x["dice"]).alias("minus"), x["license"].alias("license")))), 1)
     scanned = docs.select(F.col(id_col).alias("doc_id"), found.alias("found"))
     return scanned.select("doc_id", F.size("found").cast("long").alias("n_matches"), F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"]))).alias("licenses"), F.when(F.size("found") > 0, best["license"]).alias("best_license"), F.when(F.size("found") > 0, -best["minus"]).alias("best_dice"))
