@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -73,6 +74,23 @@ def test_local_search_empties_a_bin():
     assert len(out) == 2 and sorted(x for b in out for x in b) == list(range(6)) and all(sizes[b].sum() <= 10 for b in out)
 
 
+def gains(src, dst, gap):
+    """Whether one or two pieces of ``src`` for none, one or two of ``dst`` fill a part of its gap."""
+    one, two = lambda b: [(x,) for x in b], lambda b: list(itertools.combinations(b, 2))
+    ways = [*itertools.product(one(src), [(), *one(dst)]), *itertools.product(two(src), one(dst)), *itertools.product(one(src), two(dst))]
+    return any(0 < sum(give) - sum(take) <= gap for give, take in ways)
+
+
+def test_local_search_ends_where_no_bin_gains():
+    for seed in range(12):
+        rng = random.Random(seed)
+        sizes = np.array([rng.randint(300, 900) for _ in range(90)])
+        out = packing.local_search(packing.best_fit(sizes, 1000), sizes, 1000)
+        held = [sizes[b].tolist() for b in out]
+        open_bins = [h for h in held if sum(h) < 1000]
+        assert len(out) == -(-int(sizes.sum()) // 1000) or not any(gains(a, b, 1000 - sum(b)) for a in open_bins for b in open_bins if a is not b and sum(a) <= sum(b))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=60))
 def test_local_search_keeps_all_and_never_adds(sizes):

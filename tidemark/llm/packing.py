@@ -145,9 +145,9 @@ def _sums(sizes: Counter) -> tuple[np.ndarray, np.ndarray]:
     return one, np.stack([one[i] + one[j], one[i], one[j]])[:, apart]
 
 
-def _exchange(src: Counter, dst: Counter, gap: int) -> tuple[int, tuple, tuple] | None:
-    """What to give and take so that ``dst`` gains most without passing its gap: one or two sizes for none, one or two."""
-    (xs, x2), (ys, y2) = _sums(src), _sums(dst)
+def _exchange(src: tuple[np.ndarray, np.ndarray], dst: tuple[np.ndarray, np.ndarray], gap: int) -> tuple[int, tuple, tuple] | None:
+    """What to give and take so that ``dst`` gains most without passing its gap: one or two sizes for none, one or two.  Both bins are given by their ``_sums``."""
+    (xs, x2), (ys, y2) = src, dst
     single = np.concatenate(([0], ys))
     best: tuple[int, tuple, tuple] | None = None
     for gives, takes, kind in ((xs, single, 0), (x2[0], ys, 1), (xs, y2[0], 2)):
@@ -168,14 +168,15 @@ def _exchange(src: Counter, dst: Counter, gap: int) -> tuple[int, tuple, tuple]
     return best
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, sources: int = 4) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty underfull bins into others by moves, one-for-one, two-for-one and one-for-two exchanges.
 
     Every exchange takes from the emptier bin to the fuller, so the sum of
     squared fills, a whole number with a bound, grows by each: the search ends.
-    The ``sources`` emptiest bins are tried in turn, each against the others
-    from the fullest down, and a bin that becomes empty goes.  It stops when no
-    fewer bins are possible or none of the sources gains.
+    The emptiest bin that was not tried since the last change is tried next,
+    against the others from the fullest down, and a bin that becomes empty
+    goes.  It stops when no fewer bins are possible or no bin gains; pairs
+    that did not gain are asked again only after one of them changed.
     """
     least = -(-int(sizes.sum()) // capacity)
     held = [Counter(sizes[b].tolist()) for b in bins]
@@ -183,31 +184,39 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, source
     for i in np.argsort(sizes, kind="stable").tolist():
         items.setdefault(int(sizes[i]), []).append(i)
     fill = [sum(n * c for n, c in h.items()) for h in held]
-    full = [h for h, f in zip(held, fill) if f == capacity]
-    held, fill = [h for h, f in zip(held, fill) if f < capacity], [f for f in fill if f < capacity]
-    gained = True
-    while gained and len(held) + len(full) > max(1, least):
-        gained = False
-        for s in sorted(range(len(held)), key=lambda i: fill[i])[:sources]:
-            for t in sorted((i for i in range(len(held)) if i != s), key=lambda i: -fill[i]):
-                while held[s] and fill[s] <= fill[t] < capacity and (x := _exchange(held[s], held[t], capacity - fill[t])):
-                    gain, give, take = x
-                    for n in give:
-                        held[s][n] -= 1
-                        held[t][n] += 1
-                    for n in take:
-                        held[t][n] -= 1
-                        held[s][n] += 1
-                    held[s], held[t] = +held[s], +held[t]
-                    fill[s], fill[t], gained = fill[s] - gain, fill[t] + gain, True
-                if not held[s]:
+    sums = [None if f == capacity else _sums(h) for h, f in zip(held, fill)]
+    version, failed = [0] * len(held), {}
+    live = {i for i, h in enumerate(held) if h}
+    tried: set[int] = set()
+    while len(live) > max(1, least):
+        s = min((i for i in live - tried if fill[i] < capacity), key=lambda i: (fill[i], i), default=None)
+        if s is None:
+            break
+        tried.add(s)
+        for t in sorted((i for i in live if i != s and fill[s] <= fill[i] < capacity), key=lambda i: (-fill[i], i)):
+            while held[s] and fill[s] <= fill[t] < capacity and failed.get((s, t)) != (version[s], version[t]):
+                x = _exchange(sums[s], sums[t], capacity - fill[t])
+                if not x:
+                    failed[s, t] = (version[s], version[t])
                     break
+                gain, give, take = x
+                for n in give:
+                    held[s][n] -= 1
+                    held[t][n] += 1
+                for n in take:
+                    held[t][n] -= 1
+                    held[s][n] += 1
+                for i in (s, t):
+                    held[i] = +held[i]
+                    sums[i] = _sums(held[i]) if held[i] else None
+                    version[i] += 1
+                fill[s], fill[t] = fill[s] - gain, fill[t] + gain
+                tried.clear()
             if not held[s]:
-                held.pop(s)
-                fill.pop(s)
+                live.discard(s)
                 break
     # Items of one size are alike: each bin takes as many as it holds.
-    return [[items[n].pop() for n, c in sorted(h.items(), reverse=True) for _ in range(c)] for h in [*full, *held]]
+    return [[items[n].pop() for n, c in sorted(h.items(), reverse=True) for _ in range(c)] for h in sorted((h for h in held if h), key=lambda h: sum(n * c for n, c in h.items()) < capacity)]
 
 
 def _block_packer(capacity: int, base: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
