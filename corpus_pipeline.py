@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
-from tidemark.llm.decontamination import clean
+from tidemark.llm.decontamination import clean_rows
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.queries import tokenizer_path
@@ -19,11 +19,6 @@ from tidemark.llm.toxicity import fitted, scored
 SIMILARITY = 80
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """The rows whose id is not listed.  The list is staged, so Spark knows its size when it picks the join."""
-    return docs.join(stage(ids.select("doc_id").distinct(), name), "doc_id", "left_anti").select(*docs.columns)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives 0.5 or more go; the others stay as they are."""
     model = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(False))
@@ -32,13 +27,29 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
-    return _without(docs, near_duplicates(docs, SIMILARITY).where("NOT kept"), "repeats")
+    """One row of each group of near-duplicates stays, that of the smallest id; a null id comes last.
+
+    Rows are told apart by a staged key, so those with null or repeated ids are
+    judged like any other.
+    """
+    key = "_row"
+    while key.lower() in (c.lower() for c in docs.columns):
+        key += "_"
+    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, SIMILARITY, id_col=key).select(F.col("doc_id").alias(key), F.col("component_id").alias("_group"))
+    # Only rows that another one is linked with are asked for their ids.
+    several = stage(groups.groupBy("_group").agg(F.count("*").alias("n")).where("n > 1").select("_group"), "several")
+    linked = stage(groups.join(several, "_group", "left_semi"), "linked").join(rows.select(key, "doc_id"), key)
+    linked = stage(linked.select("_group", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(key).alias("row")).alias("place")), "places")
+    first = linked.groupBy("_group").agg(F.min("place").alias("first"))
+    stays = stage(first.select(F.col("first.row").alias(key)), "first")
+    goes = stage(linked.select(F.col("place.row").alias(key)).join(stays, key, "left_anti"), "repeats")
+    return rows.join(goes, key, "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, in one piece or reordered, go."""
-    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,5 +63,17 @@ def test_stages_of_odd_rows(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, some, SF).count() == (6 if some is docs else 0)
 
 
+def test_stages_judge_rows_whatever_their_ids(spark, tmp_path):
+    copy, passage = "one text that stands here several times over " * 4, "how many stones lie there and why has nobody counted them so far"
+    schema = "doc_id long, text string, source string"
+    docs = spark.createDataFrame([(None, copy, "a"), (None, copy, "b"), (7, copy, "c"), (7, copy, "d"), (9, copy, "e"), (8, "another text under one id, and nothing like it", "f"), (8, "a third one that shares no five words with any", "g"), (None, "a lone text of a row without an id of its own", "h"), (None, "a text twice there under no id at all", "i"), (None, "a text twice there under no id at all", "j")], schema)
+    kept = [tuple(r) for r in corpus_pipeline.minhash_near_dedup(spark, docs, SF).collect()]
+    sources = sorted(r[2] for r in kept)
+    assert len(sources) == 5 and sources[0] in "cd" and sources[1:4] == ["f", "g", "h"] and sources[4] in "ij"
+    spark.createDataFrame([(None, passage), (1, "words that stand nowhere else in all of this")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, f"so {passage} then", "a"), (None, "clean", "b"), (3, passage, "c"), (3, "clean under the same id", "d"), (None, None, "e")], schema)
+    assert sorted(r.source for r in corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()) == ["b", "d", "e"]
+
+
 def test_run_applies_all_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0

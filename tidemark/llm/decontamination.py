@@ -94,10 +94,10 @@ def tiles(doc: np.ndarray, test: np.ndarray, min_match: int = MIN_MATCH) -> list
     return out
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """The benchmark in blocks of bounded size, streamed through the driver one partition at a time."""
     held, words = [], 0
-    for item, text in benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id IS NOT NULL").toLocalIterator():
+    for item, text in benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).toLocalIterator():
         held.append((item, text.encode("utf-8", "replace")))
         words += len(text) // 4
         if words >= block_words:
@@ -114,7 +114,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     by a search in the block's sorted runs; tests shorter than that are looked
     for as a whole.  Whole texts are read, once for each block of benchmark
     text.  Null, empty and wordless texts and tests match nothing; repeated
-    rows and tests give rows of their own.
+    rows and tests, and those with a null id, give rows of their own.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, covered long, test_words long, n_tiles long, starts array<int>, lengths array<int>"
@@ -126,35 +126,42 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _tiler(block: list[tuple[int, bytes]], min_match: int, coverage: float):
+def _searcher(block: list[tuple[int | None, bytes]], min_match: int, coverage: float):
+    """A function from a text to its matches in the block, one by one: (item_id, covered, test_words, tiles in order)."""
+    hashes = _Tokens()
+    tests = [(i, tokens(t, hashes)) for i, t in block]
+    tests = [(i, t) for i, t in tests if len(t)]
+    widths = sorted({min(min_match, len(t)) for _, t in tests})
+    seeds = {}
+    for width in widths:
+        runs = [(grams(t, width), n) for n, (_, t) in enumerate(tests) if min(min_match, len(t)) == width]
+        keys, owner = np.concatenate([g for g, _ in runs]), np.concatenate([np.full(len(g), n) for g, n in runs])
+        order = np.argsort(keys, kind="stable")
+        seeds[width] = keys[order], owner[order]
+
+    def search(text: bytes) -> Iterator[tuple[int | None, int, int, list[tuple[int, int, int]]]]:
+        doc = tokens(text, hashes)
+        near: set[int] = set()
+        for width, (keys, owner) in seeds.items():
+            g = np.unique(grams(doc, width))
+            lo, hi = np.searchsorted(keys, g), np.searchsorted(keys, g, side="right")
+            for a, b in zip(lo[lo < hi], hi[lo < hi]):
+                near.update(owner[a:b].tolist())
+        for n in sorted(near):
+            item, test = tests[n]
+            parts = tiles(doc, test, min(min_match, len(test)))
+            covered = sum(x[2] for x in parts)
+            if covered >= coverage * len(test):
+                yield item, covered, len(test), sorted(parts)
+
+    return search
+
+
+def _tiler(block: list[tuple[int | None, bytes]], min_match: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Tokens()
-        tests = [(i, tokens(t, hashes)) for i, t in block]
-        tests = [(i, t) for i, t in tests if len(t)]
-        widths = sorted({min(min_match, len(t)) for _, t in tests})
-        seeds = {}
-        for width in widths:
-            runs = [(grams(t, width), n) for n, (_, t) in enumerate(tests) if min(min_match, len(t)) == width]
-            keys, owner = np.concatenate([g for g, _ in runs]), np.concatenate([np.full(len(g), n) for g, n in runs])
-            order = np.argsort(keys, kind="stable")
-            seeds[width] = keys[order], owner[order]
+        search = _searcher(block, min_match, coverage)
         for batch in slices(batches):
-            rows: list[tuple] = []
-            for at, text in enumerate(text_rows(batch)):
-                doc = tokens(text, hashes)
-                near: set[int] = set()
-                for width, (keys, owner) in seeds.items():
-                    g = np.unique(grams(doc, width))
-                    lo, hi = np.searchsorted(keys, g), np.searchsorted(keys, g, side="right")
-                    for a, b in zip(lo[lo < hi], hi[lo < hi]):
-                        near.update(owner[a:b].tolist())
-                for n in sorted(near):
-                    item, test = tests[n]
-                    parts = tiles(doc, test, min(min_match, len(test)))
-                    covered = sum(x[2] for x in parts)
-                    if covered >= coverage * len(test):
-                        parts.sort()
-                        rows.append((at, item, covered, len(test), len(parts), [x[0] for x in parts], [x[2] for x in parts]))
+            rows = [(at, item, covered, n, len(parts), [x[0] for x in parts], [x[2] for x in parts]) for at, text in enumerate(text_rows(batch)) for item, covered, n, parts in search(text)]
             columns = list(zip(*rows)) if rows else [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *[pa.array(c, k) for c, k in zip(columns[1:], kinds)]], names=["doc_id", "item_id", "covered", "test_words", "n_tiles", "starts", "lengths"])
@@ -166,3 +173,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose texts hold no test; rows with a null id stay."""
     leaks = stage(matches(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` whose own texts hold no test, whatever their ids: each is judged where it stands, without a join."""
+    at = docs.columns.index(text_col)
+
+    def keeper(block: list[tuple[int | None, bytes]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = _searcher(block, min_match, coverage)
+            for batch in slices(batches):
+                yield batch.filter(pa.array([next(search(text), None) is None for text in text_rows(batch, at)], pa.bool_()))
+
+        return run
+
+    for block in _blocks(benchmark, block_words):
+        docs = docs.mapInArrow(frugal(keeper(block)), docs.schema)
+    return docs
