@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, kneser_ney, licenses, minhash, packing, secrets, topk, toxicity, urls, warc
+from tidemark.llm import byte_bpe, decontamination, kneser_ney, licenses, minhash, negatives, packing, secrets, topk, toxicity, urls, variants, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +61,20 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_warc, op4_toxicity, op5_exact_top_k, op6_language_model, op7_benchmark_decontamination, op8_license_scans, op9_minhash_near_dedup, op10_secret_scans)}
-SQL: dict[str, str] = {"op2_url_filters": urls.ORACLE, "op3_warc": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op8_license_scans": licenses.ORACLE}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = negatives.prepared(negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+    return negatives.hard_negatives(table, F.col("vec_id") % 100 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_warc, op4_toxicity, op5_exact_top_k, op6_language_model, op7_benchmark_decontamination, op8_license_scans, op9_minhash_near_dedup, op10_secret_scans, op11_byte_bpe, op12_hard_negatives, op13_spelling_variants)}
+SQL: dict[str, str] = {"op2_url_filters": urls.ORACLE, "op3_warc": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op8_license_scans": licenses.ORACLE, "op12_hard_negatives": negatives.ORACLE}
