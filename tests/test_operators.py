@@ -317,3 +317,24 @@ def test_renames_need_the_same_identity(spark):
     new = spark.createDataFrame([("NEW", "7"), ("OTHER", "9")], "name string, identity string")
     mapping = spark.createDataFrame([("OLD", "NEW"), ("GONE", "OTHER")], "old string, new string")
     assert rows(Z.renames(cur, new, mapping)) == [("OLD", "NEW", "7")]
+
+
+def test_setup_history_against_all_pairs(spark):
+    rng = random.Random(8)
+    rows = []
+    for e in range(3):
+        for no in range(1, 130):
+            d, s = rng.choice([None, *[-i / 50 for i in range(12)]]), rng.choice([None, *[i / 50 for i in range(9)]])
+            if (no + e) % 11:  # holes: the window counts rows, not sessions
+                rows.append((e, no, d, s, None if no > 120 else rng.choice([None, -0.02, 0.01, 0.03])))
+    df = spark.createDataFrame(rows, "entity_id int, session_no int, drawdown_60 double, distance_to_support_60 double, forward_return_5 double")
+    got = {(r.entity_id, r.session_no): (r.sample_size, r.ups, round(r.setup_median, 9)) for r in X.setup_history(df, 40, 5).collect()}
+    want = {}
+    for e in range(3):
+        own = [r for r in rows if r[0] == e]
+        for i, (_, no, d, s, _) in enumerate(own):
+            past = [p for p in own[max(0, i - 40) : max(0, i - 4)] if None not in (d, s, *p[2:])]
+            outcomes = [p[4] for p in past if abs(p[2] - d) <= 0.04 and abs(p[3] - s) <= 0.04]
+            if outcomes:
+                want[e, no] = (len(outcomes), sum(x > 0 for x in outcomes), round(statistics.median(outcomes), 9))
+    assert got == want and len(want) > 150

@@ -189,33 +189,34 @@ def setup_history(features: DataFrame, window_rows: int = 749, purge_rows: int =
 
     Similar: drawdown and distance to support both within ``radius``.  Past:
     rows ``window_rows`` back to ``purge_rows`` back, so every label used had
-    matured.  The look-back has a fixed number of rows, and it is filtered in
-    place from a sliding frame, so no pair of rows is ever shuffled.
+    matured.
+
+    The two measures make a grid of cells as wide as the radius, and rows fall
+    into blocks as long as the window.  A past row enters its cell and the eight
+    around it, a decision its own block and the one before, and they meet by an
+    equi join of entity, block and cell: the pairs that are touched follow the
+    matches, not the window, and a busy entity is spread over its cells.  Rows
+    without either measure have no setup, past rows without outcome don't count.
     """
-    w = Window.partitionBy(ENTITY).orderBy(NO).rowsBetween(-window_rows, -purge_rows)
-    past = F.collect_list(
-        F.when(
-            F.col("forward_return_5").isNotNull() & F.col("drawdown_60").isNotNull() & F.col("distance_to_support_60").isNotNull(),
-            F.struct(F.col("drawdown_60").alias("d"), F.col("distance_to_support_60").alias("s"), F.col("forward_return_5").alias("r")),
-        )
-    ).over(w)
-    similar = F.filter(
-        "_past",
-        lambda p: (F.abs(p["d"] - F.col("drawdown_60")) <= radius) & (F.abs(p["s"] - F.col("distance_to_support_60")) <= radius),
+    drawdown, support = F.col("drawdown_60"), F.col("distance_to_support_60")
+    rows = features.select(
+        ENTITY, NO, drawdown.alias("d"), support.alias("s"), F.col("forward_return_5").alias("r"),
+        F.row_number().over(Window.partitionBy(ENTITY).orderBy(NO)).alias("row"),
+    ).where("d IS NOT NULL AND s IS NOT NULL")
+    # Slightly wider than the radius, so that rounding never puts two similar rows two cells apart.
+    cell = lambda c: F.floor(F.col(c) / (radius * (1 + 1e-9)))
+    block = F.floor(F.col("row") / window_rows)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    past = rows.where("r IS NOT NULL").select(ENTITY, block.alias("block"), F.col("row").alias("past"), F.col("d").alias("pd"), F.col("s").alias("ps"), "r")
+    past = past.withColumn("dc", around("pd")).withColumn("sc", around("ps"))
+    now = rows.select(ENTITY, NO, "row", "d", "s", F.explode(F.sequence(block - 1, block)).alias("block"), cell("d").alias("dc"), cell("s").alias("sc"))
+    pairs = now.join(past, [ENTITY, "block", "dc", "sc"]).where(
+        F.col("past").between(F.col("row") - window_rows, F.col("row") - purge_rows) & (F.abs(F.col("pd") - F.col("d")) <= radius) & (F.abs(F.col("ps") - F.col("s")) <= radius)
     )
-    n = F.size("_returns")
-    middle = (F.element_at("_returns", F.floor((n + 1) / 2).cast("int")) + F.element_at("_returns", F.floor(n / 2 + 1).cast("int"))) / 2
-    return (
-        features.withColumn("_past", past)
-        .withColumn("_returns", F.when(F.col("drawdown_60").isNotNull() & F.col("distance_to_support_60").isNotNull(), F.array_sort(F.transform(similar, lambda p: p["r"]))))
-        .drop("_past")
-        .where(n > 0)
-        .withColumn("sample_size", n)
-        .withColumn("ups", F.size(F.filter("_returns", lambda r: r > 0)))
-        .withColumn("setup_median", middle)
-        .drop("_returns")
-        .withColumn("setup_up", F.col("ups") / F.col("sample_size"))
+    found = pairs.groupBy(ENTITY, NO).agg(
+        F.count("*").cast("int").alias("sample_size"), F.count_if(F.col("r") > 0).cast("int").alias("ups"), F.percentile("r", F.lit(0.5)).alias("setup_median")
     )
+    return features.join(found, [ENTITY, NO]).withColumn("setup_up", F.col("ups") / F.col("sample_size"))
 
 
 def setup_score(n: Column, ups: Column, median: Column, upside: Column) -> Column:

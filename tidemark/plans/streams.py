@@ -33,7 +33,9 @@ def _drain(t: Tables, stream: DataFrame, name: str) -> DataFrame:
     """
     out, state = new_folder(t.spark, name), new_folder(t.spark, "state")
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append")
-    q.trigger(availableNow=True).start().awaitTermination()
+    with J.stateful(t.spark):
+        q = q.trigger(availableNow=True).start()
+    q.awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(out)
 
 
@@ -56,12 +58,13 @@ def stream_rolling_counts(t: Tables) -> DataFrame:
 @query(
     "stream_run_sessions",
     "X8",
-    """WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 195 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS sid FROM m)
-SELECT event_type, min(ts) AS session_start, max(ts) + INTERVAL 195 MINUTE AS overdue_from, count(*) AS runs FROM s GROUP BY event_type, sid HAVING max(ts) + INTERVAL 195 MINUTE <= (SELECT max(ts) - INTERVAL 30 HOUR FROM events)""",
+    """WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 195 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM m)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 195 MINUTE AS overdue_from, count(*) AS runs FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 195 MINUTE <= (SELECT max(ts) - INTERVAL 30 HOUR FROM events)""",
 )
 def stream_run_sessions(t: Tables) -> DataFrame:
-    d = _drain(t, J.run_sessions(event_stream(t), ["event_type"], "ts"), "sessions")
-    return d.select("event_type", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("overdue_from").cast("timestamp_ntz").alias("overdue_from"), "runs")
+    """Each user's events stand for the runs of a pipeline; every silence of 195 minutes is reported by a timer."""
+    d = _drain(t, J.overdue_runs(event_stream(t), {"user_id": "long"}, "ts"), "sessions")
+    return d.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("overdue_from").cast("timestamp_ntz").alias("overdue_from"), "runs")
 
 
 @query(

@@ -3,23 +3,37 @@
 State is keyed, so Spark spreads it over the shuffle partitions.  Windowed and
 deduplicating jobs drop state behind the watermark, which must be longer than
 the longest lateness that still counts.  Change capture keeps one value per key
-for good: a source whose keys never come again needs a job of its own that
-drops them.  Sources bound a micro-batch (``maxFilesPerTrigger``,
-``maxOffsetsPerTrigger``), which also bounds the rows of one key in it.
+and forgets keys that were silent for longer than a bound; the overdue monitor
+keeps open sessions only and acts by timers.  Both need the state store that
+``stateful`` chooses when they are started.  Sources bound a micro-batch
+(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``), which also bounds the rows
+of one key in it.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.latest import best_row
 
 LATENESS = "30 hours"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextlib.contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """Start a stateful job inside: it takes the store that holds value, list and timer state; the session stays as it was."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
 
 
 def observations(raw: DataFrame, event_time: str, keys: list[str], lateness: str = LATENESS) -> DataFrame:
@@ -55,48 +69,122 @@ def rolling_counts(df: DataFrame, by: list[str], time: str, value: str, width: s
     )
 
 
-def run_sessions(runs: DataFrame, by: list[str], time: str, gap: str = "195 minutes", lateness: str = LATENESS) -> DataFrame:
-    """Activity sessions per pipeline; silence longer than the gap means overdue."""
-    return (
-        runs.withWatermark(time, lateness)
-        .groupBy(*by, F.session_window(time, gap))
-        .agg(F.count("*").alias("runs"), F.max(time).alias("last_started_at"))
-        .select(*by, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("overdue_from"), "runs", "last_started_at")
-    )
-
-
-def change_versions(df: DataFrame, keys: dict[str, str], state: Column, time: str, identity: str) -> DataFrame:
+def _seconds(interval: str) -> int:
+    n, unit = interval.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")]
+
+
+class _Overdue(StatefulProcessor):
+    """Open activity sessions of a key as (start, last, runs), and a timer at the end of each."""
+
+    def __init__(self, names: list[str], gap: int, by_clock: bool):
+        self._row, self._gap, self._by_clock = Row(*names, "session_start", "overdue_from", "runs", "last_started_at"), gap * 1_000_000, by_clock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getListState("open", "start long, last long, runs long, due long")
+
+    def _sessions(self) -> list[tuple[int, int, int, int]]:
+        return [tuple(x) for x in self._open.get()] if self._open.exists() else []
+
+    def _held(self, sessions: list[tuple[int, int, int, int]]) -> None:
+        self._open.put(sessions) if sessions else self._open.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        now = timerValues.getCurrentProcessingTimeInMs() if self._by_clock else None
+        before = self._sessions()
+        merged: list[tuple[int, int, int, int]] = []
+        for start, last, runs, due in sorted([*before, *((int(r.at), int(r.at), 1, -1) for r in rows)]):
+            if merged and start < merged[-1][1] + self._gap:
+                s, m, n, d = merged[-1]
+                merged[-1] = (s, max(m, last), n + runs, d if last <= m else due)
+            else:
+                merged.append((start, last, runs, due))
+        # A session that grew is due anew: the gap after its last run, or after its arrival by the clock; timers know milliseconds.
+        merged = [(s, m, n, d if (s, m, n, d) in before else -(-((1000 * now if self._by_clock else m) + self._gap) // 1000)) for s, m, n, d in merged]
+        old, new = {x[3] for x in before}, {x[3] for x in merged}
+        for due in old - new:
+            self._handle.deleteTimer(due)
+        for due in new - old:
+            self._handle.registerTimer(due)
+        self._held(merged)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        sessions = self._sessions()
+        self._held([x for x in sessions if x[3] > at])
+        for start, last, runs, due in sessions:
+            if due <= at:
+                yield self._row(*key, start, last + self._gap, runs, last)
+
+
+def overdue_runs(runs: DataFrame, by: dict[str, str], time: str, gap: str = "195 minutes", lateness: str = LATENESS, clock: bool = False) -> DataFrame:
+    """A row for each activity session that ended in silence: (*by, session_start, overdue_from, runs, last_started_at).
+
+    Runs less than ``gap`` apart are one session.  A timer at a session's last
+    run plus ``gap`` reports it, without a next row of its key: once the
+    watermark, which the rows of any key move on, has passed it, or, by
+    ``clock``, once the machine's time is ``gap`` past the arrival of that run,
+    even if no row comes at all.  A run that comes in time extends its session,
+    or joins two, and moves the timer; only open sessions are held.  A null
+    time is no run; null keys are a key.  Start it inside ``stateful``.
+    """
+    kinds = ", ".join(f"{n} {k}" for n, k in by.items())
+    found = "session_start long, overdue_from long, runs long, last_started_at long"
+    d = runs.where(F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp"))
+    d = d if clock else d.withWatermark(time, lateness)
+    d = d.select(*by, F.unix_micros(time).alias("at"), *([] if clock else [time]))
+    out = d.groupBy(*by).transformWithState(_Overdue(list(by), _seconds(gap), clock), f"{kinds}, {found}", "append", "ProcessingTime" if clock else "EventTime")
+    return out.select(*by, *[F.timestamp_micros(c).alias(c) if c != "runs" else F.col(c) for c in ("session_start", "overdue_from", "runs", "last_started_at")])
+
+
+class _Versions(StatefulProcessor):
+    """The last state of a key and when it was stated; a timer drops it when the key stays silent for ``idle`` milliseconds."""
+
+    def __init__(self, names: list[str], idle: int):
+        self._row, self._idle = Row(*names), 1000 * idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._last = handle.getValueState("last", "state string, missing boolean, at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = tuple(self._last.get()) if self._last.exists() else None
+        due = None if last is None else self._due(last[2])
+        for r in sorted(rows, key=lambda r: (r.at, r.identity)):
+            state = ("", True) if r.state is None else (r.state, False)
+            if last is None or state != last[:2] or r.at - last[2] > self._idle:
+                yield self._row(*key, r.identity, r.time, r.state)
+            last = (*state, r.at if last is None else max(last[2], r.at))
+        self._last.update(last)
+        if due != self._due(last[2]):
+            if due is not None:
+                self._handle.deleteTimer(due)
+            self._handle.registerTimer(self._due(last[2]))
+
+    def _due(self, at: int) -> int:
+        return (at + self._idle) // 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._last.clear()
+        return iter(())
+
+
+def change_versions(df: DataFrame, keys: dict[str, str], state: Column, time: str, identity: str, idle: str = "400 days", lateness: str = LATENESS) -> DataFrame:
     """Emit a row only when its state differs from the key's previous one (A, B, A keeps all three).
 
-    ``keys``: key columns and their types.  Only the last state and its time
-    are held per key, null among them; rows of one micro-batch are taken in event order.
+    ``keys``: key columns and their types.  Only the last state is held per
+    key, null among them; rows of one micro-batch are taken in event order, and
+    those behind the watermark or without a time come too late.  A key without
+    a row for more than ``idle`` of event time is forgotten, by a timer where
+    no next row comes: the next row is a first version.  Start it inside ``stateful``.
     """
-    names = list(keys)
     key_schema = ", ".join(f"{n} {k}" for n, k in keys.items())
-    out_schema = f"{key_schema}, {identity} long, {time} timestamp, state string"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        parts = [f for f in frames if len(f)]
-        if not parts:
-            return
-        rows = pd.concat(parts).sort_values([time, identity])
-        states = [None if x is None or x != x else x for x in rows["state"]]
-        first = not held.exists
-        last = None if first or held.get[1] else held.get[0]
-        keep = []
-        for x in states:
-            keep.append(first or x != last)
-            first, last = False, x
-        held.update((last or "", last is None))
-        out = rows.loc[keep, [identity, time]].copy()
-        out["state"] = [x for x, k in zip(states, keep) if k]
-        for i, n in enumerate(names):
-            out.insert(i, n, key[i])
-        yield out
-
-    # States travel as text: a long beside nulls would pass through a double.
-    d = df.select(*names, identity, F.col(time).cast("timestamp").alias(time), state.cast("long").cast("string").alias("state"))
-    out = d.groupBy(*names).applyInPandasWithState(step, out_schema, "last string, missing boolean", "append", GroupStateTimeout.NoTimeout)
+    d = df.where(F.col(time).isNotNull()).withColumn("time", F.col(time).cast("timestamp")).withWatermark("time", lateness)
+    # States travel as text, so that each kind has one form.
+    d = d.select(*keys, F.col(identity).alias("identity"), "time", F.unix_micros("time").alias("at"), state.cast("long").cast("string").alias("state"))
+    out = d.groupBy(*keys).transformWithState(_Versions([*keys, identity, time, "state"], 1000 * _seconds(idle)), f"{key_schema}, {identity} long, {time} timestamp, state string", "append", "EventTime")
     return out.withColumn("state", F.col("state").cast("long"))
 
 
@@ -146,6 +234,7 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: s
     w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
-    q = w.start()
+    with stateful(stream.sparkSession):
+        q = w.start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
