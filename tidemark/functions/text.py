@@ -104,7 +104,3 @@ def normalize_ticker(c: Column) -> Column:
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
-
-def fingerprint(*columns: str) -> Column:
-    """Digest of named values, independent of the order they are given in."""
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
