@@ -205,25 +205,31 @@ def non_overlapping(curve: DataFrame, by: list[str], order: str, n: int = 5) ->
     return d.where((F.col("_n") % n == 1 % n) | F.col("_last")).drop("_n", "_last")
 
 
-def cohort_paths(picks: DataFrame, calendar: DataFrame, closes: DataFrame, benchmark: DataFrame, scenarios: dict[str, float], by: list[str]) -> DataFrame:
+def cohort_paths(picks: DataFrame, calendar: DataFrame, closes: DataFrame, benchmark: DataFrame, scenarios: dict[str, float], by: list[str], bases: tuple[str, ...] = ()) -> DataFrame:
     """Mark-to-market value of each cohort bought at entry and sold at exit, under each cost scenario.
 
     ``picks``: keys, entity, weight, entry_no, exit_no.  Half of the round-trip
     cost is paid on each side, uninvested weight stays cash, and the curve ends
-    before the first session on which a held price is missing.
+    before the first session on which a held price is missing.  With ``bases``,
+    the values of the column ``basis`` of closes and benchmark, each cohort is
+    valued on every basis by itself: a price missing on one is never taken from another.
     """
+    also = ["basis"] if bases else []
+    if bases:
+        picks = picks.withColumn("basis", F.explode(F.array(*[F.lit(b) for b in bases])))
+    by = [*by, *also]
     days = calendar.select(F.col("session_no").alias("_no"), "session_date")
-    entry = closes.select("entity_id", F.col("session_no").alias("entry_no"), positive("close").alias("_entry"))
-    held = picks.join(entry, ["entity_id", "entry_no"], "left").withColumn("_no", F.explode(F.sequence("entry_no", "exit_no")))
-    marks = held.join(closes.select("entity_id", F.col("session_no").alias("_no"), positive("close").alias("_px")), ["entity_id", "_no"], "left")
+    entry = closes.select("entity_id", *also, F.col("session_no").alias("entry_no"), positive("close").alias("_entry"))
+    held = picks.join(entry, ["entity_id", *also, "entry_no"], "left").withColumn("_no", F.explode(F.sequence("entry_no", "exit_no")))
+    marks = held.join(closes.select("entity_id", *also, F.col("session_no").alias("_no"), positive("close").alias("_px")), ["entity_id", *also, "_no"], "left")
     by_day = marks.groupBy(*by, "entry_no", "exit_no", "_no").agg(
         F.sum(F.col("weight") * F.col("_px") / F.col("_entry")).alias("_gross"), F.sum("weight").alias("_invested"), F.count_if(F.col("_px").isNull() | F.col("_entry").isNull()).alias("_missing")
     )
     stop = Window.partitionBy(*by).orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
     live = by_day.withColumn("_bad", F.sum("_missing").over(stop)).where("_bad = 0").join(F.broadcast(days), "_no")
-    b = benchmark.select(F.col("session_no").alias("_no"), F.col("close").alias("_b"))
-    b0 = b.select(F.col("_no").alias("entry_no"), F.col("_b").alias("_b0"))
-    live = live.join(F.broadcast(b), "_no").join(F.broadcast(b0), "entry_no")
+    b = benchmark.select(*also, F.col("session_no").alias("_no"), F.col("close").alias("_b"))
+    b0 = b.select(*also, F.col("_no").alias("entry_no"), F.col("_b").alias("_b0"))
+    live = live.join(F.broadcast(b), ["_no", *also]).join(F.broadcast(b0), ["entry_no", *also])
     listed = [F.struct(F.lit(k).alias("scenario"), F.lit(c).alias("cost")) for k, c in scenarios.items()]
     each = live.withColumn("_sc", F.explode(F.array(*listed))).select("*", "_sc.*")
     half = F.col("cost") / 2

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import r4, r6
 from tidemark.operators import evaluate as E
 from tidemark.operators import rank as K
+from tidemark.operators import returns as R
 from tidemark.operators.ranks import quantiles
 from tidemark.plans.ctes import cte, rnd
 from tidemark.plans.registry import query
@@ -240,11 +241,18 @@ def selection_coverage(t: Tables) -> DataFrame:
     )
 
 
-def paths(t: Tables) -> DataFrame:
+SCENARIOS = {"base": 0.002, "stress": 0.005}
+
+
+def picks(t: Tables) -> DataFrame:
+    """Equal weights, held from the session after the signal for ten sessions; cohorts that end later are left out."""
     s = selections(t).withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy(*SIGNAL)))
     last = t.calendar.agg(F.max("session_no")).scalar()
-    s = s.select("model_version", F.col("session_no").alias("signal_no"), "entity_id", "weight", (F.col("session_no") + 1).alias("entry_no"), (F.col("session_no") + 11).alias("exit_no")).where(F.col("exit_no") <= last)
-    return t.shared("paths", E.cohort_paths(s, t.calendar, t.panel, t.benchmark_panel, {"base": 0.002, "stress": 0.005}, ["model_version", "signal_no"]))
+    return s.select("model_version", F.col("session_no").alias("signal_no"), "entity_id", "weight", (F.col("session_no") + 1).alias("entry_no"), (F.col("session_no") + 11).alias("exit_no")).where(F.col("exit_no") <= last)
+
+
+def paths(t: Tables) -> DataFrame:
+    return t.shared("paths", E.cohort_paths(picks(t), t.calendar, t.panel, t.benchmark_panel, SCENARIOS, ["model_version", "signal_no"]))
 
 
 cte(
@@ -270,6 +278,63 @@ def cohort_value_paths(t: Tables) -> DataFrame:
     return paths(t).select("model_version", "signal_no", "scenario", "session_date", r4("equity").alias("equity"), r4("benchmark_equity").alias("benchmark_equity"))
 
 
+def actions(t: Tables) -> DataFrame:
+    """A quarter of the earnings per share of each reported quarter is paid out when it is filed; a sixth of the entities split in two, and one dividend has no amount."""
+    q = t.quarter_statements
+    unknown = (F.col("entity_id") % 8 == 5) & (F.col("period_end") == F.lit("1996-06-30").cast("date"))
+    paid = q.select("entity_id", F.lit("dividend").alias("kind"), F.col("filed_date").alias("event_date"), F.when(~unknown, F.floor(F.col("eps_diluted") * 25 + 0.5) / 100).alias("amount"))
+    cut = q.where((F.col("entity_id") % 6 == 1) & (F.col("period_end") == F.lit("1994-09-30").cast("date")))
+    return paid.unionByName(cut.select("entity_id", F.lit("split").alias("kind"), F.col("period_end").alias("event_date"), F.lit(2.0).alias("amount")))
+
+
+def based_panel(t: Tables) -> DataFrame:
+    return t.shared("based_panel", R.return_bases(t.panel, actions(t)))
+
+
+def based_benchmark(t: Tables) -> DataFrame:
+    """The benchmark pays nothing out, so its bases are alike."""
+    return t.benchmark_panel.withColumn("basis", F.explode(F.array(*[F.lit(b) for b in R.BASES])))
+
+
+cte(
+    "based_panel",
+    """WITH a AS (SELECT entity_id, 'dividend' AS kind, filed_date AS event_date, CASE WHEN entity_id % 8 <> 5 OR period_end <> DATE '1996-06-30' THEN floor(eps_diluted * 25 + 0.5) / 100 END AS amount FROM quarter_statements
+  UNION ALL SELECT entity_id, 'split', period_end, 2.0 FROM quarter_statements WHERE entity_id % 6 = 1 AND period_end = DATE '1994-09-30'),
+due AS (SELECT a.*, (SELECT min(p.session_no) FROM panel p WHERE p.entity_id = a.entity_id AND p.session_date >= a.event_date) AS session_no FROM a),
+f AS (SELECT entity_id, session_no, coalesce(product(CASE WHEN kind = 'split' THEN amount END), 1) AS split, coalesce(sum(CASE WHEN kind = 'dividend' AND amount >= 0 THEN amount END), 0) AS cash,
+  count(*) FILTER (WHERE NOT coalesce(amount >= 0, false)) AS unknown FROM due WHERE session_no IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT p.*, product(coalesce(split, 1)) OVER w AS split, product(coalesce(split, 1) * (1 + coalesce(cash, 0) / close)) OVER w AS total, sum(coalesce(unknown, 0)) OVER w AS unknown
+  FROM panel p LEFT JOIN f USING (entity_id, session_no) WHERE p.entity_id >= 0 WINDOW w AS (PARTITION BY p.entity_id ORDER BY p.session_no))
+SELECT entity_id, session_date, session_no, 'price' AS basis, close * split AS close FROM r UNION ALL SELECT entity_id, session_date, session_no, 'total', CASE WHEN unknown = 0 THEN close * total END FROM r""",
+)
+
+
+@query("return_bases", "V8 S21", f"SELECT entity_id, session_date, basis, {rnd('close', 4)} AS close FROM based_panel")
+def return_bases(t: Tables) -> DataFrame:
+    return based_panel(t).select("entity_id", "session_date", "basis", r4("close").alias("close"))
+
+
+@query("series_gaps", "V8", "SELECT entity_id, basis, count(*) AS missing FROM based_panel WHERE close IS NULL GROUP BY 1, 2")
+def series_gaps(t: Tables) -> DataFrame:
+    return R.missing_required(based_panel(t), t.panel)
+
+
+@query(
+    "cohort_value_by_basis",
+    "V8 V1",
+    f"""WITH p AS (SELECT model_version, session_no AS signal_no, entity_id, 1.0 / count(*) OVER (PARTITION BY model_version, session_no) AS weight FROM selections WHERE session_no + 11 <= (SELECT max(session_no) FROM calendar)),
+held AS (SELECT p.*, b.basis, c.session_no, c.session_date, m.close AS px, e.close AS entry FROM p JOIN calendar c ON c.session_no BETWEEN p.signal_no + 1 AND p.signal_no + 11 CROSS JOIN (VALUES ('price'), ('total')) b(basis)
+  LEFT JOIN based_panel m ON m.entity_id = p.entity_id AND m.session_no = c.session_no AND m.basis = b.basis LEFT JOIN based_panel e ON e.entity_id = p.entity_id AND e.session_no = p.signal_no + 1 AND e.basis = b.basis),
+daily AS (SELECT model_version, signal_no, basis, session_no, session_date, sum(weight * px / entry) AS gross, sum(weight) AS invested, count(*) FILTER (WHERE px IS NULL OR entry IS NULL) AS missing FROM held GROUP BY ALL),
+live AS (SELECT * FROM (SELECT *, sum(missing) OVER (PARTITION BY model_version, signal_no, basis ORDER BY session_no) AS bad FROM daily) WHERE bad = 0)
+SELECT model_version, signal_no, basis, s.scenario, session_date, {rnd("(gross / (1 + s.cost / 2) * CASE WHEN session_no = signal_no + 11 THEN 1 - s.cost / 2 ELSE 1 END + 1 - invested) * 10000", 4)} AS equity
+FROM live, (VALUES ('base', CAST(0.002 AS DOUBLE)), ('stress', CAST(0.005 AS DOUBLE))) s(scenario, cost)""",
+)
+def cohort_value_by_basis(t: Tables) -> DataFrame:
+    curves = E.cohort_paths(picks(t), t.calendar, based_panel(t), based_benchmark(t), SCENARIOS, ["model_version", "signal_no"], bases=R.BASES)
+    return curves.select("model_version", "signal_no", "basis", "scenario", "session_date", r4("equity").alias("equity"))
+
+
 @query(
     "curve_metrics",
     "A26 W15 W16 Q9",
