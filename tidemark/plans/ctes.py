@@ -32,6 +32,8 @@ def with_clause(sql: str) -> str:
     if not order:
         return body
     head = ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in order)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

@@ -10,8 +10,9 @@ from tidemark.operators import earnings as R
 from tidemark.operators import fundamentals as S
 from tidemark.operators import opinions as O
 from tidemark.operators import rank as K
+from tidemark.operators import screen as SC
 from tidemark.operators.ranks import medians
-from tidemark.plans.ctes import rnd
+from tidemark.plans.ctes import cte, rnd
 from tidemark.plans.earnings_plan import CONSENSUS_SQL, RECENT_SQL, UPCOMING_SQL
 from tidemark.plans.registry import query
 from tidemark.plans.statements import QUARTER_FACTORS_SQL, factor_rows
@@ -220,6 +221,48 @@ def sector_capped_top(t: Tables) -> DataFrame:
     return K.sector_capped(df, "setup_v2", 2, 8, ["session_date"]).select("session_date", "entity_id", "sector", "rank")
 
 
+#: Decisions of the screened choice, and its limits; weekly averages of a nation's prices move less together than stocks, so the limit is lower.
+_EVERY, _SCREEN = 20, {"limit": 0.3, "per_sector": 2, "most": 6}
+cte(
+    "pair_correlations",
+    f"""WITH r AS (SELECT entity_id, session_no, return_1 FROM features WHERE return_1 IS NOT NULL), d AS (SELECT session_no AS as_of FROM calendar WHERE session_no % {_EVERY} = 0),
+c AS (SELECT d.as_of, a.entity_id AS left_id, b.entity_id AS right_id, a.return_1 AS x, b.return_1 AS y, row_number() OVER (PARTITION BY d.as_of, a.entity_id, b.entity_id ORDER BY a.session_no DESC) AS k
+  FROM d JOIN r a ON a.session_no <= d.as_of JOIN r b ON a.session_no = b.session_no AND a.entity_id < b.entity_id)
+SELECT as_of, left_id, right_id, count(*) AS n, CASE WHEN count(*) >= 40 THEN corr(x, y) END AS correlation FROM c WHERE k <= 60 GROUP BY 1, 2, 3""",
+)
+
+
+def correlations(t: Tables) -> DataFrame:
+    as_of = [r[0] for r in t.calendar.where(F.col("session_no") % _EVERY == 0).select("session_no").collect()]  # a few decision dates a year
+    return t.shared("correlations", SC.pair_correlations(t.features, as_of))
+
+
+@query("correlation_matrix", "J35 U6", f"SELECT as_of, left_id, right_id, n, {rnd('correlation')} AS correlation FROM pair_correlations")
+def correlation_matrix(t: Tables) -> DataFrame:
+    return correlations(t).select("as_of", "left_id", "right_id", "n", r6("correlation").alias("correlation"))
+
+
+@query(
+    "screened_choice",
+    "T10 J35",
+    f"""WITH RECURSIVE {V2_SQL}, k AS (SELECT session_no, entity_id, sector, row_number() OVER (PARTITION BY session_no ORDER BY {rnd('setup_v2', 4)} DESC, CAST(entity_id AS VARCHAR)) AS rk FROM v2 WHERE session_no % {_EVERY} = 0 AND setup_v2 IS NOT NULL),
+no AS (SELECT as_of, left_id AS a, right_id AS b FROM pair_correlations WHERE correlation IS NULL OR floor(correlation * 1e6 + 0.5) / 1e6 >= {_SCREEN['limit']} UNION ALL SELECT as_of, right_id, left_id FROM pair_correlations WHERE correlation IS NULL OR floor(correlation * 1e6 + 0.5) / 1e6 >= {_SCREEN['limit']}),
+c AS (SELECT k.*, coalesce((SELECT list(b) FROM no WHERE no.as_of = k.session_no AND no.a = k.entity_id), []) AS foes FROM k),
+g AS (SELECT session_no, CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS ids, CAST([] AS VARCHAR[]) AS sectors FROM c GROUP BY 1
+  UNION ALL SELECT g.session_no, c.rk, CASE WHEN ok THEN list_append(g.ids, c.entity_id) ELSE g.ids END, CASE WHEN ok THEN list_append(g.sectors, c.sector) ELSE g.sectors END
+  FROM g JOIN c ON c.session_no = g.session_no AND c.rk = g.rk + 1, LATERAL (SELECT len(g.ids) < {_SCREEN['most']} AND NOT list_has_any(g.ids, c.foes) AND len(list_filter(g.sectors, lambda s: s = c.sector)) < {_SCREEN['per_sector']} AS ok)),
+done AS (SELECT session_no, arg_max(ids, rk) AS ids FROM g GROUP BY 1)
+SELECT session_no, CAST(i AS INTEGER) AS rank, ids[i] AS entity_id FROM done, LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS i)""",
+)
+def screened_choice(t: Tables) -> DataFrame:
+    """At every twentieth session the best setups that are not alike, two of a sector and six in all at most."""
+    df = _v2(t).where((F.col("session_no") % _EVERY == 0) & F.col("setup_v2").isNotNull()).select("session_no", "entity_id", "sector", r4("setup_v2").alias("setup_v2"))
+    alike = SC.conflicts(correlations(t).withColumn("correlation", r6("correlation")), _SCREEN["limit"]).withColumnRenamed("as_of", "session_no")
+    order = [F.col("setup_v2").desc(), F.col("entity_id").cast("string")]
+    taken = SC.greedy_choice(df, alike, ["session_no"], order, per_sector=_SCREEN["per_sector"], most=_SCREEN["most"])
+    return taken.select("session_no", "rank", "entity_id")
+
+
 @query(
     "current_candidates",
     "P21 T9",
