@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
-from unicodedata import is_normalized
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,14 +37,17 @@ class _WordIds(dict):
 
     The tokenizer drops white space and never merges across it, so a text's ids
     are those of its words in order.  A word of Latin letters is one unit to it:
-    such words skip the pattern search and go to the merges at once, and a
-    final ``,`` or the like, a unit of its own after a letter, is looked up apart.
+    such words skip the pattern search and go to the merges at once.  Other
+    ASCII words without an apostrophe are runs of letters, single digits and runs
+    of the rest, and a final ``,`` or the like after a letter is one by itself:
+    these are looked up apart.
     """
 
     _LETTERS = _byte_letters()
     _MARKS = frozenset(b",.;:!?")
+    _UNITS = staticmethod(re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+").findall)
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -67,10 +71,12 @@ class _WordIds(dict):
     def _ids(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters
             return array("I", [x.id for x in self._merge(word.decode().lower())]).tobytes()
+        if word.isascii() and b"'" not in word and b"<|" not in word and len(units := self._UNITS(word)) > 1:
+            return b"".join(map(self.__getitem__, units))
         text = word.decode("utf-8", "replace")
         if len(word) > 1 and word[-1] in self._MARKS and text[-2].isalpha() and text[-2] < "\u0180" and text[-2] != "\u0130":
             return self[word[:-1]] + self[word[-1:]]
-        if text.isalpha() and max(text) < "\u0180" and "\u0130" not in text and is_normalized("NFC", text):
+        if text.isalpha() and max(text) < "\u0180" and "\u0130" not in text:  # such letters are in normal form
             return array("I", [x.id for x in self._merge(text.lower().encode().decode("latin-1").translate(self._LETTERS))]).tobytes()
         return array("I", self._encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -79,6 +85,12 @@ class _WordIds(dict):
         return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
+@lru_cache(maxsize=1)
+def _words(path: str) -> _WordIds:
+    """A worker's words, which its next task goes on with."""
+    return _WordIds(path)
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: (id, piece, start, length, ids_crc32[, ids]).
 
@@ -91,7 +103,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordIds(tokenizer_path)
+        known = _words(tokenizer_path)
         for batch in slices(batches):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(text_rows(batch)):
