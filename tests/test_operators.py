@@ -238,6 +238,37 @@ def test_interval_identity_and_conflict(spark):
     assert [r[1] for r in rows(S.interval_totals(long, far), "start", "total", "entity_id")] == [None, 40.0, None, -1.0]
 
 
+def test_interval_totals_of_random_groups(spark):
+    rng = random.Random(5)
+    day = lambda i: D(2000, 1, 1) + dt.timedelta(days=i)
+    edges, asks = [], []
+    for e in range(6):
+        at = [rng.randint(-50, 50) for _ in range(30)]
+        for _ in range(26):
+            a, b = rng.sample(range(30), 2)
+            edges.append((e, a, b, float(at[b] - at[a])))
+        if e % 2:  # one interval that says otherwise
+            a, b = rng.sample(range(30), 2)
+            edges.append((e, a, b, float(at[b] - at[a] + 7)))
+        asks += [(e, *rng.sample(range(31), 2)) for _ in range(40)]
+    frame = lambda rows, kind: spark.createDataFrame([(r[0], day(r[1]), day(r[2]), *r[3:]) for r in rows], kind)
+    got = {(r.entity_id, r.start, r.end): r.total for r in S.interval_totals(frame(edges, "entity_id int, left date, right date, value double"), frame(asks, "entity_id int, start date, end date")).collect()}
+    links = {}
+    for e, a, b, w in edges:
+        links.setdefault((e, a), []).append((b, w))
+        links.setdefault((e, b), []).append((a, -w))
+    for e, a, b in asks:
+        total, todo, torn = {a: 0.0}, [a], False
+        while todo:
+            x = todo.pop()
+            for y, w in links.get((e, x), []):
+                if y not in total:
+                    total[y] = total[x] + w
+                    todo.append(y)
+                torn = torn or total[y] != total[x] + w
+        assert got[e, day(a), day(b)] == (None if torn or (e, a) not in links else total.get(b))
+
+
 def test_macro_vintage_counts_from_the_next_day(spark):
     o = spark.createDataFrame([("X", D(2024, 1, 1), 1.0, "u", D(2024, 2, 10), TS(2024, 6, 1))], "series_id string, observation_date date, value double, units string, vintage_date date, observed_at timestamp_ntz")
     a = spark.createDataFrame([("X", TS(2024, 2, 10, 21)), ("X", TS(2024, 2, 11, 21))], "series_id string, at timestamp_ntz")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import finite, growth, ratio, relative_change
 from tidemark.operators.asof import asof_best, window_join
+from tidemark.session import stage
 
 ENTITY, PERIOD = "entity_id", "period_end"
 FLOW_FIELDS = ("revenue", "operating_income", "net_income", "eps_diluted", "free_cash_flow", "capex")
@@ -333,51 +334,54 @@ def shares_asof(statements: DataFrame, shares: DataFrame, days: int = 180) -> Da
     return statements.join(best, key, "left")
 
 
+def day_totals(edges: DataFrame) -> DataFrame:
+    """(entity, day, head, total): days joined by intervals, with the amount from their group's first day to each.
+
+    ``edges``: entity, left, right, value, one fixed distance between two days
+    each.  Large-star and small-star rounds, every link carrying its signed
+    amount: a link that is moved to a nearer day gets the sum of the two that it
+    replaces.  A round is a few joins on (entity, day), so an entity's intervals
+    are spread like any others, and the rounds grow with the logarithm of the
+    longest path.  Where paths disagree, one of them is kept.
+    """
+    left, right, value = F.col("left"), F.col("right"), F.col("value").cast("double")
+    known = edges.where(F.col(ENTITY).isNotNull() & left.isNotNull() & right.isNotNull() & value.isNotNull() & (left != right))
+    nearest = lambda d: d.groupBy(ENTITY, "a", "b").agg(F.min("w").alias("w"))
+    e = stage(nearest(known.select(ENTITY, F.greatest(left, right).alias("a"), F.least(left, right).alias("b"), F.when(left < right, value).otherwise(-value).alias("w"))), "links")
+    seen = None
+    while not e.isEmpty():
+        both = e.unionByName(e.select(ENTITY, F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("w")).alias("w")))
+        low = both.groupBy(ENTITY, "a").agg(F.min(F.struct("b", "w")).alias("m"))
+        low = low.select(ENTITY, "a", F.when(F.col("m.b") < F.col("a"), F.col("m")).otherwise(F.struct(F.col("a").alias("b"), F.lit(0.0).alias("w"))).alias("m"))
+        far = both.join(low, [ENTITY, "a"]).where("b > a").select(ENTITY, F.col("b").alias("a"), F.col("m.b").alias("b"), (F.col("m.w") - F.col("w")).alias("w"))
+        large = stage(nearest(far.where("a <> b")), "large")
+        low = large.groupBy(ENTITY, "a").agg(F.min(F.struct("b", "w")).alias("m"))
+        moved = F.array(F.struct(F.col("b").alias("a"), F.col("m.b").alias("b"), (F.col("m.w") - F.col("w")).alias("w")), F.struct("a", "m.b", "m.w"))
+        near = large.join(low, [ENTITY, "a"]).select(ENTITY, F.explode(moved).alias("x")).select(ENTITY, "x.*")
+        e = stage(nearest(near.where("a <> b")), "small")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64(ENTITY, "a", "b").cast("decimal(38,0)"))).first())
+        if now == seen:
+            break
+        seen = now
+    heads = e.select(ENTITY, F.col("b").alias("day"), F.col("b").alias("head"), F.lit(0.0).alias("total")).distinct()
+    return e.select(ENTITY, F.col("a").alias("day"), F.col("b").alias("head"), F.col("w").alias("total")).unionByName(heads)
+
+
 def interval_totals(edges: DataFrame, asks: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Amount between two days as a signed path, of any length, over reported intervals.
 
-    ``edges``: entity, left, right, value; ``asks``: entity, start, end.  An
-    interval fixes how far apart its two days lie, so days joined by intervals
-    form groups with one running total each, and an ask is the difference of two
-    totals.  A group in which two paths disagree answers nothing.  The intervals
-    of one entity, as many as it has filed, are settled together.
+    ``edges``: entity, left, right, value; ``asks``: entity, start, end.  Days
+    joined by intervals form groups with one running total each, and an ask is
+    the difference of two totals, null between groups and for days that no
+    interval names.  Every interval is held against the totals of its two days:
+    a group with one that differs by more than ``tolerance`` answers nothing.
     """
-    import pandas as pd
-
-    def settle(known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        up: dict = {}  # day -> (day nearer to its group's head, amount from there to here)
-
-        def head(day):
-            path = []
-            while (step := up.setdefault(day, (day, 0.0)))[0] != day:
-                path.append(day)
-                day = step[0]
-            total = 0.0
-            for d in reversed(path):
-                total += up[d][1]
-                up[d] = (day, total)
-            return day, total
-
-        torn = set()
-        for left, right, value in known.dropna()[["left", "right", "value"]].sort_values(["left", "right", "value"]).itertuples(index=False):
-            (a, to_left), (b, to_right) = head(left), head(right)
-            if a != b:
-                up[b] = (a, to_left + value - to_right)
-                if b in torn:
-                    torn.add(a)
-            elif abs(to_left + value - to_right) > tolerance:
-                torn.add(a)
-        totals = []
-        for start, end in wanted[["start", "end"]].itertuples(index=False):
-            (a, x), (b, y) = head(start), head(end)
-            totals.append(y - x if a == b and a not in torn else None)
-        return wanted[[ENTITY, "start", "end"]].assign(total=pd.Series(totals, index=wanted.index, dtype="float64"))
-
-    key = [ENTITY, "start", "end"]
-    kind = {f.name: f.dataType.simpleString() for f in asks.schema.fields}
-    found = (
-        edges.select(ENTITY, "left", "right", "value").groupBy(ENTITY)
-        .cogroup(asks.select(*key).distinct().groupBy(ENTITY))
-        .applyInPandas(settle, ", ".join(f"{k} {kind[k]}" for k in key) + ", total double")
-    )
-    return asks.join(found.withColumn("total", F.when(~F.isnan("total"), F.col("total"))), key, "left")
+    totals = stage(day_totals(edges), "day_totals")
+    at = lambda day, name: totals.select(ENTITY, F.col("day").alias(day), F.col("head").alias(f"_{name}"), F.col("total").alias(f"_{name}_total"))
+    value = edges.select(ENTITY, "left", "right", F.col("value").cast("double").alias("value")).where(F.col("value").isNotNull())
+    held = value.join(at("left", "a"), [ENTITY, "left"]).join(at("right", "b"), [ENTITY, "right"])
+    torn = held.where(F.abs(F.col("_b_total") - F.col("_a_total") - F.col("value")) > tolerance).select(ENTITY, F.col("_a").alias("_torn")).distinct()
+    out = asks.join(at("start", "s"), [ENTITY, "start"], "left").join(at("end", "e"), [ENTITY, "end"], "left")
+    out = out.join(torn.withColumn("_bad", F.lit(True)), (out[ENTITY] == torn[ENTITY]) & (out["_s"] == torn["_torn"]), "left").drop(torn[ENTITY])
+    total = F.when((F.col("_s") == F.col("_e")) & F.col("_bad").isNull(), F.col("_e_total") - F.col("_s_total"))
+    return out.select(*[c for c in asks.columns], total.alias("total"))
