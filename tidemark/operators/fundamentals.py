@@ -380,8 +380,8 @@ def interval_totals(edges: DataFrame, asks: DataFrame, tolerance: float = 0.01)
     at = lambda day, name: totals.select(ENTITY, F.col("day").alias(day), F.col("head").alias(f"_{name}"), F.col("total").alias(f"_{name}_total"))
     value = edges.select(ENTITY, "left", "right", F.col("value").cast("double").alias("value")).where(F.col("value").isNotNull())
     held = value.join(at("left", "a"), [ENTITY, "left"]).join(at("right", "b"), [ENTITY, "right"])
-    torn = held.where(F.abs(F.col("_b_total") - F.col("_a_total") - F.col("value")) > tolerance).select(ENTITY, F.col("_a").alias("_torn")).distinct()
+    torn = held.where(F.abs(F.col("_b_total") - F.col("_a_total") - F.col("value")) > tolerance).select(ENTITY, F.col("_a").alias("_s")).distinct()
     out = asks.join(at("start", "s"), [ENTITY, "start"], "left").join(at("end", "e"), [ENTITY, "end"], "left")
-    out = out.join(torn.withColumn("_bad", F.lit(True)), (out[ENTITY] == torn[ENTITY]) & (out["_s"] == torn["_torn"]), "left").drop(torn[ENTITY])
+    out = out.join(torn.withColumn("_bad", F.lit(True)), [ENTITY, "_s"], "left")
     total = F.when((F.col("_s") == F.col("_e")) & F.col("_bad").isNull(), F.col("_e_total") - F.col("_s_total"))
     return out.select(*[c for c in asks.columns], total.alias("total"))

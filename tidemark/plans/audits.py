@@ -11,6 +11,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import calendar as C
 from tidemark.operators import features as X
 from tidemark.operators import fundamentals as S
+from tidemark.operators import inventory as IV
 from tidemark.operators.latest import latest_row
 from tidemark.plans.ctes import cte, rnd
 from tidemark.plans.registry import query
@@ -280,6 +281,28 @@ def readiness_metrics(t: Tables) -> DataFrame:
     return out
 
 
+_SKETCHED = (["event_type"], ["user_id", "event_id"], ["value"])
+
+
+@query(
+    "inventory_by_day",
+    "A6 A32 A35 A43",
+    """WITH d AS (SELECT event_type, count(*) AS rows, count(DISTINCT CAST(ts AS DATE)) AS days, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day, count(DISTINCT user_id) AS users, count(DISTINCT event_id) AS events, median(value) AS middle FROM events GROUP BY 1)
+SELECT event_type, rows, days, first_day, last_day, users, events, true AS users_agree, true AS events_agree, true AS middle_agrees FROM d""",
+)
+def inventory_by_day(t: Tables) -> DataFrame:
+    """Counts of observed days, entities and rows: exact, and whether the merged sketches of the days agree within four errors."""
+    e = t.raw("events")
+    merged = IV.estimates(IV.merged(IV.day_sketches(e, "ts", *_SKETCHED), *_SKETCHED), *_SKETCHED[1:])
+    whole = IV.exact(e, "ts", *_SKETCHED)
+    near = lambda c: F.abs(F.col(f"s.{c}_distinct") - F.col(f"x.{c}_distinct")) <= 4 * 1.04 / 2 ** (IV.LG_K / 2) * F.col(f"x.{c}_distinct") + 1
+    # A quantile sketch errs by rank: its value lies where the exact share of smaller ones is near a half.
+    rank = e.join(F.broadcast(merged.select("event_type", "value_quantile")), "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("value_quantile")).cast("double")).alias("share"))
+    both = whole.alias("x").join(merged.alias("s"), F.col("x.event_type") == F.col("s.event_type")).join(rank.alias("r"), F.col("x.event_type") == F.col("r.event_type"))
+    shown = [F.col(f"x.{c}").alias(c) for c in ("event_type", "rows", "days", "first_day", "last_day")]
+    return both.select(*shown, F.col("x.user_id_distinct").alias("users"), F.col("x.event_id_distinct").alias("events"), near("user_id").alias("users_agree"), near("event_id").alias("events_agree"), (F.abs(F.col("share") - 0.5) < 0.04).alias("middle_agrees"))
+
+
 @query(
     "feature_correlation",
     "A24",

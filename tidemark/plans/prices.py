@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import r2, r6
+from tidemark.functions import tables as TF
 from tidemark.operators import bars as B
 from tidemark.operators import calendar as C
 from tidemark.operators import features as X
@@ -180,6 +181,19 @@ def setup_match(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "session_labels_in_sql",
+    "D2 W10",
+    f"""SELECT b.entity_id, b.session_date, CAST(h.horizon AS INTEGER) AS horizon, e.session_date AS target_date, {rnd('CASE WHEN e.close > 0 AND b.close > 0 THEN e.close / b.close - 1 END')} AS expected
+FROM panel b CROSS JOIN (VALUES (5), (10), (20)) h(horizon) LEFT JOIN panel e ON e.entity_id = b.entity_id AND e.session_no = b.session_no + h.horizon WHERE b.entity_id >= 0""",
+)
+def session_labels_in_sql(t: Tables) -> DataFrame:
+    """Labels by the table function, as SQL calls it."""
+    TF.register(t.spark)
+    out = t.spark.sql("SELECT * FROM session_labels(TABLE(SELECT entity_id, session_date, session_no, close FROM {bars}) PARTITION BY entity_id ORDER BY session_no)", bars=t.panel)
+    return out.withColumn("expected", r6("expected"))
+
+
 @query("week_anchors", "W19", "SELECT CAST(date_part('isoyear', session_date) AS INTEGER) AS iso_year, CAST(date_part('week', session_date) AS INTEGER) AS iso_week, max(session_date) AS session_date FROM daily_calendar GROUP BY 1, 2")
 def week_anchors(t: Tables) -> DataFrame:
     return C.last_session_of_weeks(t.daily_calendar)
