@@ -1,6 +1,7 @@
 """Invariants of the operators on small frames, most of them against brute force."""
 
 import datetime as dt
+import hashlib
 import random
 import statistics
 
@@ -369,3 +370,32 @@ def test_setup_history_against_all_pairs(spark):
             if outcomes:
                 want[e, no] = (len(outcomes), sum(x > 0 for x in outcomes), round(statistics.median(outcomes), 9))
     assert got == want and len(want) > 150
+
+
+def test_gate_needs_every_figure_and_choice_looks_at_the_middle_only(spark):
+    good = {"cohorts": 30, "evaluation_coverage": 0.96, "worst_fifth_mean": -0.01, "screen_worst_fifth_mean": -0.02, "breach_rate": 0.1} | {
+        c: 0.01 for c in ("mean_net_return", "mean_excess", "mean_improvement_vs_screen", "stress_mean_excess", "lower_bound_vs_benchmark", "lower_bound_vs_screen")
+    }
+    bad = [good | {c: v} for c in good for v in (None, -1.0 if c != "screen_worst_fifth_mean" else 0.5)] + [good | {"breach_rate": 0.21}, good | {"cohorts": 25}]
+    kind = ", ".join(f"{c} double" for c in good)
+    df = spark.createDataFrame([(i, *[None if r[c] is None else float(r[c]) for c in good]) for i, r in enumerate([good, *bad])], f"i int, {kind}")
+    assert [r.i for r in df.where(E.period_passes()).collect()] == [0]
+    report = spark.createDataFrame([("a", "selection", False, 0.9), ("a", "holdout", True, 0.9), ("b", "selection", True, 0.1), ("b", "holdout", False, 0.2), ("c", "selection", True, None), ("c", "holdout", True, 0.5)], "model_version string, period string, passes boolean, mean_improvement_vs_screen double")
+    assert tuple(E.selected_variant(report).first()) == ("b", True, False, False, 0.2)
+    assert tuple(E.selected_variant(report.where("model_version <> 'b'")).first()) == ("c", True, True, True, 0.5)
+
+
+def test_bounds_of_groups_share_their_draws(spark):
+    rng = random.Random(9)
+    xs = {g: [rng.gauss(0.1 * i, 1) for _ in range(n)] for i, (g, n) in enumerate({"a": 30, "b": 30, "c": 7}.items())}
+    df = spark.createDataFrame([(g, i, x, 2 * x) for g, v in xs.items() for i, x in enumerate(v)], "g string, pos long, x double, y double")
+    got = {r.g: (r.low, r.twice) for r in E.lower_bounds(df, ["g"], {"low": "x", "twice": "y"}, "pos", repeats=200).collect()}
+    for g, v in xs.items():
+        means = []
+        for rep in range(200):
+            drawn = []
+            for k in range(-(-len(v) // 4)):
+                s = int(hashlib.md5(f"{rep}|{k}".encode()).hexdigest()[:8], 16) % len(v)
+                drawn += [v[(s + i) % len(v)] for i in range(4) if k * 4 + i < len(v)]
+            means.append(statistics.mean(drawn))
+        assert abs(got[g][0] - sorted(means)[10]) < 1e-12 and abs(got[g][1] - 2 * got[g][0]) < 1e-12

@@ -134,7 +134,7 @@ def summarize_cohorts(c: DataFrame, by: list[str]) -> DataFrame:
 
 
 def period_passes(min_weeks: int = 26) -> Column:
-    """Gate over a one-row summary: every required figure present and good enough."""
+    """Gate over the summary of a period: every required figure present and good enough."""
     above = ("mean_net_return", "mean_excess", "mean_improvement_vs_screen", "stress_mean_excess", "lower_bound_vs_benchmark", "lower_bound_vs_screen")
     ok = (F.col("cohorts") >= min_weeks) & (F.col("evaluation_coverage") >= 0.95)
     for c in above:
@@ -143,24 +143,58 @@ def period_passes(min_weeks: int = 26) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def block_lower_bound(values: DataFrame, value: str, position: str, block: int = 4, repeats: int = 1000, level: float = 0.05) -> DataFrame:
-    """Lower bound of a mean by circular block resampling; neighbouring weeks stay together.
+def lower_bounds(values: DataFrame, by: list[str], columns: dict[str, str], position: str, block: int = 4, repeats: int = 1000, level: float = 0.05) -> DataFrame:
+    """Lower bounds of the means of several columns in every group, by circular block resampling; neighbouring weeks stay together.
 
-    ``position`` numbers the values 0 … n-1.  Block starts come from a hash of
-    (repeat, block number), so any engine can repeat the draw.  The work is
-    ``repeats`` times the number of weeks, spread by repeat.
+    ``columns``: result name and column; ``position`` numbers a group's values
+    0 … n-1.  Block starts come from a hash of (repeat, block number), so any
+    engine can repeat the draw, and groups of equal length and all columns share
+    every draw: differences between them are paired.  One job does all groups;
+    its work is ``repeats`` times the number of weeks, spread by repeat.  A null
+    takes no part in its column's means.
     """
-    n = values.count()
-    if n == 0:
-        return values.sparkSession.createDataFrame([], "lower_bound double")
-    blocks = math.ceil(n / block)
-    draws = values.sparkSession.range(repeats).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
-    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col("k").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n
-    steps = draws.withColumn("_s", start).select("rep", "k", "_s", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("i"))
-    steps = steps.where(F.col("k") * block + F.col("i") < n).select("rep", ((F.col("_s") + F.col("i")) % n).alias(position))
-    means = steps.join(F.broadcast(values.select(position, value)), position).groupBy("rep").agg(F.avg(value).alias("m"))
+    n = values.groupBy(*by).agg(F.count("*").alias("_n"))
+    draws = n.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).repartition("_rep")
+    draws = draws.withColumn("_k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / block).cast("int") - 1)))
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("_rep").cast("string"), F.col("_k").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % F.col("_n")
+    steps = draws.withColumn("_s", start).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("_k") * block + F.col("_i") < F.col("_n"))
+    steps = steps.select(*by, "_rep", ((F.col("_s") + F.col("_i")) % F.col("_n")).alias(position))
+    means = steps.join(values.select(*by, position, *[F.col(c).alias(f"_v_{name}") for name, c in columns.items()]), [*by, position])
+    means = means.groupBy(*by, "_rep").agg(*[F.avg(f"_v_{name}").alias(name) for name in columns])
     # One mean per repeat: a short, fixed-length list.
-    return means.agg(F.element_at(F.sort_array(F.collect_list("m")), int(level * repeats) + 1).alias("lower_bound"))
+    return means.groupBy(*by).agg(*[F.get(F.sort_array(F.collect_list(name)), F.lit(int(level * repeats))).alias(name) for name in columns])
+
+
+def period_report(cohorts: DataFrame, attempted: DataFrame, breaches: DataFrame, by: list[str], order: str = "session_no", min_weeks: int = 26) -> DataFrame:
+    """Everything that the gate of a period asks for, and ``passes``, per group of weekly cohorts.
+
+    ``attempted``: the groups' numbers of cohorts that were tried, ``breaches``:
+    the share of picks that fell below their forecast of the worst tenth.  A
+    figure that is missing fails the gate.
+    """
+    paid = F.when(F.col("picks") > 0, F.lit(ROUND_TRIP_COST)).otherwise(0.0)
+    net = F.col("model_return") - paid
+    numbered = cohorts.select(
+        *by, (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long").alias("_pos"),
+        (net - F.col("benchmark_return")).alias("_b"), (net - (F.col("screen_return") - ROUND_TRIP_COST)).alias("_s"),
+    )
+    bounds = lower_bounds(numbered, by, {"lower_bound_vs_benchmark": "_b", "lower_bound_vs_screen": "_s"}, "_pos")
+    out = summarize_cohorts(cohorts, by).join(bounds, by, "left").join(attempted, by, "left").join(breaches, by, "left")
+    out = out.withColumn("evaluation_coverage", F.col("cohorts") / F.col("attempted"))
+    return out.withColumn("passes", period_passes(min_weeks))
+
+
+def selected_variant(report: DataFrame, variant: str = "model_version", period: str = "period") -> DataFrame:
+    """The variant chosen on the selection period alone, and whether it passes there and on the holdout: one row.
+
+    First come variants that pass, then the larger improvement on the screen,
+    unknown last, then the name.
+    """
+    better = F.struct(F.col("passes"), F.coalesce("mean_improvement_vs_screen", F.lit(float("-inf"))))
+    best = report.where(F.col(period) == "selection").orderBy(better.desc(), variant).limit(1).select(variant, F.col("passes").alias("selection_passes"))
+    held = report.where(F.col(period) == "holdout").select(variant, F.col("passes").alias("_held"), F.col("mean_improvement_vs_screen").alias("holdout_improvement"))
+    out = best.join(held, variant, "left")
+    return out.select(variant, "selection_passes", F.coalesce("_held", F.lit(False)).alias("holdout_passes"), (F.col("selection_passes") & F.coalesce("_held", F.lit(False))).alias("validated"), "holdout_improvement")
 
 
 def curve_metrics(curve: DataFrame, by: list[str], order: str, equity: str, benchmark: str, day: str, initial: float = INITIAL_CAPITAL) -> DataFrame:
