@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,6 +210,30 @@ def _passages(text: Column, templates: dict[str, tuple[str, ...]], threshold: fl
     return _bound(_words(text), lambda w: F.when(F.arrays_overlap(w, F.array(*[F.lit(x) for x in keys])), _bound(_bigrams(w), judged)).otherwise(none))
 
 
+def _needed(templates: dict[str, tuple[str, ...]], threshold: float) -> list[tuple[str, ...]]:
+    """Words of which every text that holds a template has those of at least one row.
+
+    What reaches the threshold shares as many bigrams with a template as the
+    lower size bound, so it holds at least one of any that number less one
+    leaves out: those of the longest words are asked for, and of a bigram
+    with a long word that word alone.
+    """
+    rows = set()
+    for texts in templates.values():
+        for text in texts:
+            own = sorted((x.split() for x in template_bigrams(text)), key=lambda x: (-len(x[0]) - len(x[1]), x))
+            for pair in own[: len(own) - bounds(len(own), threshold)[0] + 1]:
+                long, short = sorted(pair, key=lambda w: (-len(w), w))
+                rows.add((long,) if len(long) > 8 else (long, short))
+    return sorted(row for row in rows if len(row) == 1 or (row[0],) not in rows)
+
+
+def _could_hold(lowered: Column, needed: list[tuple[str, ...]]) -> Column:
+    """Whether a lower-cased text has the words of one row, be they parts of longer ones."""
+    found = [reduce(lambda a, b: a & b, [F.contains(lowered, F.lit(w)) for w in row]) for row in needed]
+    return reduce(lambda a, b: a | b, found)
+
+
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_matches, licenses, best_license, best_dice) per row.
 
@@ -223,9 +248,12 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     smallest = min(bounds(len(template_bigrams(t)), threshold)[0] for texts in templates.values() for t in texts)
     # A unit of n bigrams has at least n + 1 words, so 2 n + 1 characters.
-    likely = F.filter(units(text), lambda u: F.length(u) >= 2 * smallest + 1)
+    needed = _needed(templates, threshold)
+    likely = F.filter(units(text), lambda u: (F.length(u) >= 2 * smallest + 1) & _bound(F.lower(u), lambda low: _could_hold(low, needed)))
     found = F.flatten(F.transform(likely, lambda u: _bound(_words(u), lambda w: _bound(_bigrams(w), lambda g: _matches(g, templates, threshold)))))
     found = F.concat(found, _passages(text, templates, threshold))
+    # Most texts have none of the words and are not cut into units at all.
+    found = F.when(_bound(F.lower(text), lambda low: _could_hold(low, needed)), found).otherwise(F.array().cast("array<struct<license:string,dice:double>>"))
     best = F.element_at(F.array_sort(F.transform("found", lambda x: F.struct((-x["dice"]).alias("minus"), x["license"].alias("license")))), 1)
     scanned = docs.select(F.col(id_col).alias("doc_id"), found.alias("found"))
     return scanned.select("doc_id", F.size("found").cast("long").alias("n_matches"), F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"]))).alias("licenses"), F.when(F.size("found") > 0, best["license"]).alias("best_license"), F.when(F.size("found") > 0, -best["minus"]).alias("best_dice"))
