@@ -134,6 +134,25 @@ def interval_join(left: DataFrame, right: DataFrame, on: Names, day: str, start:
     return rows.join(spans, [*on, "_bucket"]).where(inside).drop("_bucket")
 
 
+def active_by_month(members: DataFrame, by: Names, months: DataFrame, month: str, start: str, end: str) -> DataFrame:
+    """(*by, month, active): how many intervals ``start <= first of the month < end`` each group has; a null end is open.
+
+    An interval counts one up on the first month that it covers and one down on
+    the first that it does not, and a running sum over a group's months does the
+    rest: members and months are never paired.  ``months``: a column of firsts
+    of months, bounded by the calendar.  Empty intervals count nothing.
+    """
+    first = lambda d: F.when(F.trunc(d, "month") == F.col(d), F.col(d)).otherwise(F.add_months(F.trunc(d, "month"), 1))
+    held = members.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) < F.col(end))))
+    steps = F.array(F.struct(first(start).alias("d"), F.lit(1).alias("n")), F.struct(first(end).alias("d"), F.lit(-1).alias("n")))
+    changes = held.select(*by, F.inline(steps)).where("d IS NOT NULL").groupBy(*by, "d").agg(F.sum("n").alias("n"))
+    every = months.agg(F.collect_set(month).alias("m")).scalar()
+    asked = held.select(*by).distinct().select(*by, F.explode(every).alias("d")).withColumns({"n": F.lit(0).cast("long"), "_asked": F.lit(True)})
+    rows = asked.unionByName(changes.withColumn("_asked", F.lit(False)))
+    upto = Window.partitionBy(*by).orderBy("d").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("active", F.sum("n").over(upto)).where("_asked").select(*by, F.col("d").alias(month), "active")
+
+
 def window_join(left: DataFrame, right: DataFrame, on: Names, left_day: str, right_day: str, lo: int, hi: int) -> DataFrame:
     """Pairs with ``left_day + lo <= right_day <= left_day + hi`` in days.
 

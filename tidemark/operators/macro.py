@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,20 @@ def change_against(latest: DataFrame, observations: DataFrame, lag_days: int, to
     ok = (F.col("prior_units") == F.col("units")) & (F.col("prior_value") != 0)
     change = F.col("value") - F.col("prior_value") if kind == "difference" else F.col("value") / F.col("prior_value") - 1
     return n.withColumn("change", F.when(ok, change))
+
+
+def macro_vector(asks: DataFrame, observations: DataFrame, cutoff: str, ages: dict[str, int] = MAX_AGES, changes: tuple = CHANGES) -> DataFrame:
+    """Per ask (series_id, cutoff and more): observation_date, age_days, value, units and change of the newest observation known by then.
+
+    Observations older than the series' greatest age, and series without one,
+    have no row.  The change follows the series' own rule, null without one,
+    against the observation closest to its lag in the newest version of each day.
+    """
+    allowed = F.create_map(*[F.lit(x) for kv in ages.items() for x in kv])
+    latest = latest_observation(asks, observations, cutoff).withColumn("age_days", F.datediff(F.to_date(cutoff), "observation_date"))
+    latest = latest.where(F.col("age_days") <= F.element_at(allowed, F.col("series_id")))
+    parts = [latest.where(~F.col("series_id").isin([c[0] for c in changes])).withColumn("change", F.lit(None).cast("double"))]
+    for series, lag, tolerance, kind in changes:
+        own = latest.where(F.col("series_id") == series)
+        parts.append(change_against(own, observations.where(F.col("series_id") == series), lag, tolerance, kind).drop("prior_value", "prior_units", "distance"))
+    return reduce(lambda a, b: a.unionByName(b), parts)

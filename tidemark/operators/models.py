@@ -111,7 +111,8 @@ def calibrated(model: PipelineModel, df: DataFrame, out: str = "probability_up")
 
 def downside_by_score(train: DataFrame, score: str, outcome: str, buckets: int = 10, level: float = 0.1) -> tuple[DataFrame, list[float]]:
     """Empirical low quantile of the outcome per score bucket of the training rows."""
-    edges = train.approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.001)
+    cuts = quantiles(train.where(F.col(score).isNotNull()).withColumn("_all", F.lit(1)), ["_all"], score, {f"q{i}": i / buckets for i in range(1, buckets)}).first()
+    edges = [cuts[f"q{i}"] for i in range(1, buckets)] if cuts else []
     b = train.withColumn("bucket", score_bucket(F.col(score), edges))
     return quantiles(b, ["bucket"], outcome, {"downside_p10": level}).select("bucket", "downside_p10"), edges
 

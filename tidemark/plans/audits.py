@@ -306,11 +306,11 @@ def inventory_by_day(t: Tables) -> DataFrame:
 @query(
     "feature_correlation",
     "A24",
-    f"""WITH f AS (SELECT entity_id, CASE WHEN session_date < DATE '1999-01-01' THEN 'train' ELSE 'test' END AS split, unnest(['momentum_20', 'close_vs_sma20', 'range_pct']) AS feature, unnest([momentum_20, close_vs_sma20, range_pct]) AS x, forward_return_5 AS y FROM features)
+    f"""WITH f AS (SELECT entity_id, CASE WHEN session_date < DATE '1999-01-01' THEN 'train' ELSE 'test' END AS split, unnest([{', '.join(repr(n) for n in X.BASE_FEATURES)}]) AS feature, unnest([{', '.join(X.BASE_FEATURES)}]) AS x, forward_return_5 AS y FROM features)
 SELECT entity_id, split, feature, count(*) AS n, {rnd('corr(x, y)')} AS correlation FROM f WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 10""",
 )
 def feature_correlation(t: Tables) -> DataFrame:
-    names = ["momentum_20", "close_vs_sma20", "range_pct"]
+    names = X.BASE_FEATURES
     split = F.when(F.col("session_date") < "1999-01-01", "train").otherwise("test")
     long = t.features.select("entity_id", split.alias("split"), F.col("forward_return_5").alias("y"), F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in names])))
     g = long.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("entity_id", "split", "feature")

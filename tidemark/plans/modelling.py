@@ -176,7 +176,7 @@ _VAL_SQL = """horizon_scores AS (SELECT horizon, CASE WHEN session_no < 250 THEN
   SELECT session_no, momentum_20, unnest([5, 10, 20]) AS horizon, unnest([forward_up_5, forward_up_10, forward_up_20]) AS y FROM features) WHERE y IS NOT NULL AND momentum_20 IS NOT NULL),
 scores AS (SELECT horizon, avg((p - y) * (p - y)) FILTER (WHERE part = 'selection') AS selection_brier, avg((0.5 - y) * (0.5 - y)) FILTER (WHERE part = 'selection') AS selection_baseline_brier, avg((p - y) * (p - y)) FILTER (WHERE part = 'holdout') AS brier,
   avg((0.5 - y) * (0.5 - y)) FILTER (WHERE part = 'holdout') AS baseline_brier, count(*) FILTER (WHERE part = 'holdout') AS oof_rows FROM horizon_scores GROUP BY 1),
-good AS (SELECT * FROM scores WHERE selection_brier < selection_baseline_brier AND brier < baseline_brier AND oof_rows >= 500)"""
+good AS (SELECT * FROM scores WHERE selection_brier < selection_baseline_brier AND brier < baseline_brier AND oof_rows >= 1000)"""
 
 
 def horizon_scores(t: Tables) -> DataFrame:
@@ -192,7 +192,7 @@ def horizon_scores(t: Tables) -> DataFrame:
 @query("validated_horizons", "P17", f"WITH {_VAL_SQL} SELECT CAST(s.horizon AS INTEGER) AS horizon, {rnd('brier')} AS brier, {rnd('baseline_brier')} AS baseline_brier, oof_rows, s.horizon IN (SELECT horizon FROM good) AND (SELECT count(*) FROM good) >= 2 AS validated FROM scores s")
 def validated_horizons(t: Tables) -> DataFrame:
     s = horizon_scores(t)
-    ok = U.validated_horizons(s, ["model"], 500).select("horizon", F.lit(True).alias("v"))
+    ok = U.validated_horizons(s, ["model"]).select("horizon", F.lit(True).alias("v"))
     return s.join(ok, "horizon", "left").select("horizon", r6("brier").alias("brier"), r6("baseline_brier").alias("baseline_brier"), "oof_rows", F.coalesce("v", F.lit(False)).alias("validated"))
 
 

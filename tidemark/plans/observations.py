@@ -31,9 +31,9 @@ def members(t: Tables) -> DataFrame:
 )
 def membership_interval_join(t: Tables) -> DataFrame:
     months = t.raw("orders").select(F.trunc("o_orderdate", "month").alias("d")).distinct()
-    j = A.interval_join(months, members(t), [], "d", "effective_from", "effective_to")
     s = t.raw("supplier").select(F.col("s_suppkey").alias("supplier"), "s_nationkey")
-    return j.join(s, "supplier").groupBy("s_nationkey", F.year("d").alias("year")).agg(F.count("*").alias("member_days"))
+    active = A.active_by_month(members(t).join(s, "supplier"), ["s_nationkey"], months, "d", "effective_from", "effective_to")
+    return active.groupBy("s_nationkey", F.year("d").alias("year")).agg(F.sum("active").alias("member_days")).where("member_days > 0")
 
 
 @query(
@@ -142,6 +142,38 @@ def macro_change(t: Tables) -> DataFrame:
     return d.join(n.select("series_id", "session_date", "prior_date"), ["series_id", "session_date"]).select("series_id", "session_date", "prior_date", r6("change").alias("change"))
 
 
+#: The tables' series stand for those that have a greatest age and a change of their own.
+_SERIES = {"1-URGENT": "CPIAUCSL", "2-HIGH": "PAYEMS", "3-MEDIUM": "GDPC1", "4-NOT SPECIFIED": "DTWEXBGS", "5-LOW": "DFF"}
+
+
+def named_macro(t: Tables) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for kv in _SERIES.items() for x in kv])
+    return macro_obs(t).withColumn("series_id", F.element_at(names, F.col("series_id")))
+
+
+def _macro_vector_sql() -> str:
+    ages = " ".join(f"WHEN '{_SERIES[k]}' THEN {M.MAX_AGES[_SERIES[k]]}" for k in _SERIES)
+    rules = ", ".join(f"('{s}', {lag}, {tol}, '{kind}')" for s, lag, tol, kind in M.CHANGES)
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SERIES.items())
+    return f"""WITH o AS (SELECT * REPLACE (CASE series_id {names} END AS series_id) FROM macro_obs), asks AS (SELECT s.series_id, c.session_date, CAST(c.session_date AS TIMESTAMP) + INTERVAL 21 HOUR AS cutoff FROM calendar c, (SELECT DISTINCT series_id FROM o) s),
+usable AS (SELECT *, CASE WHEN vintage_date IS NOT NULL THEN CAST(vintage_date + 1 AS TIMESTAMP) ELSE observed_at END AS usable_at FROM o),
+l AS (SELECT a.*, m.observation_date, m.value FROM asks a JOIN LATERAL (SELECT * FROM usable u WHERE u.series_id = a.series_id AND u.usable_at <= a.cutoff ORDER BY observation_date DESC, usable_at DESC LIMIT 1) m ON true
+  WHERE a.session_date - m.observation_date <= CASE a.series_id {ages} END),
+r AS (SELECT * FROM (VALUES {rules}) r(series_id, lag, tol, kind))
+SELECT l.series_id, l.session_date, l.session_date - l.observation_date AS age_days, {rnd('l.value', 4)} AS value, CASE r.kind WHEN 'ratio' THEN {rnd('l.value / p.value - 1')} WHEN 'difference' THEN {rnd('l.value - p.value')} END AS change
+FROM l LEFT JOIN r USING (series_id) LEFT JOIN LATERAL (SELECT * FROM usable u WHERE u.series_id = l.series_id AND abs(u.observation_date - (l.observation_date - r.lag)) <= r.tol ORDER BY abs(u.observation_date - (l.observation_date - r.lag)), u.observation_date LIMIT 1) p ON true"""
+
+
+@query("macro_vector", "J12 J13 Q12", _macro_vector_sql())
+def macro_vector(t: Tables) -> DataFrame:
+    """Each session's newest value of every series no older than the series allows, and its change by the series' own rule."""
+    o = named_macro(t)
+    asks = t.calendar.select("session_date", F.explode(F.array(*[F.lit(s) for s in _SERIES.values()])).alias("series_id"))
+    asks = asks.withColumn("cutoff", F.col("session_date").cast("timestamp_ntz") + F.expr("interval 21 hours"))
+    v = M.macro_vector(asks, o, "cutoff")
+    return v.select("series_id", "session_date", "age_days", r4("value").alias("value"), r6("change").alias("change"))
+
+
 cte(
     "raw_estimates",
     """SELECT CAST(c_nationkey AS BIGINT) AS entity_id, CAST(date_trunc('week', o_orderdate) AS DATE) AS capture_day, avg(round(o_totalprice * 100)) / 1e6 AS eps_consensus, min(o_totalprice) / 1e4 + CASE WHEN c_nationkey % 5 = 0 THEN 20 ELSE 0 END AS eps_low, max(o_totalprice) / 1e4 AS eps_high,
@@ -187,19 +219,31 @@ def normalized_estimates(t: Tables) -> DataFrame:
     return e.select("entity_id", "captured_at", "fiscal_period_end", "eps_basis", *[r6(c).alias(c) for c in ("eps_consensus", "eps_low", "eps_high")], F.array_contains("issues", "eps_consensus_outside_interval").alias("eps_outside"), F.col("eps_analyst_count").alias("analysts"))
 
 
+LAGS = (7, 30, 90)
+
+
+def _revision_sql(n: int) -> str:
+    fresh = f"p.captured_at >= p.decision_at - INTERVAL 7 DAY AND at_{n} >= p.decision_at - INTERVAL {n + 7} DAY"
+    change = lambda now, old: rnd(f"greatest(-2, least(2, ({now} - {old}) / nullif(abs({old}), 0)))")
+    return f"""CASE WHEN {fresh} AND NOT eps_outside AND NOT out_{n} AND eps_basis <> 'unknown' THEN {change('eps_consensus', f'eps_{n}')} END AS eps_revision_{n}d,
+  CASE WHEN {fresh} THEN {change('revenue_consensus', f'rev_{n}')} END AS revenue_revision_{n}d"""
+
+
+def _prior_sql(n: int) -> str:
+    return f"""LEFT JOIN LATERAL (SELECT captured_at AS at_{n}, eps_consensus AS eps_{n}, revenue_consensus AS rev_{n}, eps_outside AS out_{n} FROM estimates e WHERE e.entity_id = c.entity_id AND e.fiscal_period_end = c.fiscal_period_end
+  AND e.captured_at <= c.decision_at - INTERVAL {n} DAY ORDER BY captured_at DESC LIMIT 1) o{n} ON true"""
+
+
 @query(
     "estimate_revisions",
     "J15 W28 F6",
     f"""WITH d AS (SELECT * FROM decisions), cur AS (SELECT d.entity_id, d.session_date, d.decision_at, e.* EXCLUDE (entity_id) FROM d JOIN LATERAL (SELECT * FROM estimates e WHERE e.entity_id = d.entity_id AND e.captured_at <= d.decision_at ORDER BY captured_at DESC LIMIT 1) e ON true),
-p AS (SELECT c.*, o.captured_at AS p_at, o.eps_consensus AS p_eps, o.revenue_consensus AS p_rev, o.eps_outside AS p_outside FROM cur c LEFT JOIN LATERAL (SELECT * FROM estimates e WHERE e.entity_id = c.entity_id AND e.fiscal_period_end = c.fiscal_period_end AND e.captured_at <= c.decision_at - INTERVAL 30 DAY ORDER BY captured_at DESC LIMIT 1) o ON true)
-SELECT d.entity_id, d.session_date, p.fiscal_period_end,
-  CASE WHEN p.captured_at >= p.decision_at - INTERVAL 7 DAY AND p_at >= p.decision_at - INTERVAL 37 DAY AND NOT eps_outside AND NOT p_outside AND eps_basis <> 'unknown' THEN {rnd('greatest(-2, least(2, (eps_consensus - p_eps) / nullif(abs(p_eps), 0)))')} END AS eps_revision_30d,
-  CASE WHEN p.captured_at >= p.decision_at - INTERVAL 7 DAY AND p_at >= p.decision_at - INTERVAL 37 DAY THEN {rnd('greatest(-2, least(2, (revenue_consensus - p_rev) / nullif(abs(p_rev), 0)))')} END AS revenue_revision_30d
-FROM d LEFT JOIN p USING (entity_id, session_date)""",
+p AS (SELECT * FROM cur c {" ".join(_prior_sql(n) for n in LAGS)})
+SELECT d.entity_id, d.session_date, p.fiscal_period_end, {", ".join(_revision_sql(n) for n in LAGS)} FROM d LEFT JOIN p USING (entity_id, session_date)""",
 )
 def estimate_revisions(t: Tables) -> DataFrame:
-    d = O.estimate_revisions(t.decisions, estimates(t), "decision_at")
-    return d.select("entity_id", "session_date", "fiscal_period_end", r6("estimate_eps_revision_30d").alias("eps_revision_30d"), r6("estimate_revenue_revision_30d").alias("revenue_revision_30d"))
+    d = O.estimate_revisions(t.decisions, estimates(t), "decision_at", LAGS)
+    return d.select("entity_id", "session_date", "fiscal_period_end", *[r6(f"estimate_{m}_revision_{n}d").alias(f"{m}_revision_{n}d") for n in LAGS for m in ("eps", "revenue")])
 
 
 cte(
