@@ -12,6 +12,8 @@ from tidemark.operators import releases as L
 from tidemark.plans.ctes import cte, rnd
 from tidemark.plans.registry import query
 from tidemark.plans.tables import Tables
+from tidemark.session import new_folder
+from tidemark.sources import files as SF
 from tidemark.sources import payloads as P
 
 
@@ -244,6 +246,12 @@ def instance_facts(t: Tables) -> DataFrame:
 
 @query("ownership_transactions", "S8 F40", f"SELECT entity_id, period_end, 'P' AS code, {rnd('shares_outstanding * eps_diluted', 2)} AS reported_value FROM quarter_statements WHERE entity_id % 3 <> 0 AND eps_diluted IS NOT NULL")
 def ownership_transactions(t: Tables) -> DataFrame:
+    o = P.ownership_transactions(ownership_filings(t), ["entity_id"], "xml", "entity_id")
+    return o.select("entity_id", F.col("event_date").alias("period_end"), "code", r2("reported_value").alias("reported_value"))
+
+
+def ownership_filings(t: Tables) -> DataFrame:
+    """A filing per quarter; every third entity's names another issuer."""
     q = t.quarter_statements.where(F.col("eps_diluted").isNotNull())
     issuer = F.when(F.col("entity_id") % 3 == 0, F.lit("999")).otherwise(F.concat(F.lit("00"), F.col("entity_id")))
     v = lambda tag, c: F.concat(F.lit(f"<{tag}><value>"), c.cast("string"), F.lit(f"</value></{tag}>"))
@@ -252,9 +260,42 @@ def ownership_transactions(t: Tables) -> DataFrame:
         F.lit("<transactionCoding><transactionCode>P</transactionCode></transactionCoding><transactionAmounts>"), v("transactionShares", F.col("shares_outstanding")), v("transactionPricePerShare", F.col("eps_diluted")),
         F.lit("</transactionAmounts></nonDerivativeTransaction></nonDerivativeTable></ownershipDocument>"),
     )
-    d = q.select("entity_id", xml.alias("xml"))
-    o = P.ownership_transactions(d, ["entity_id"], "xml", "entity_id")
-    return o.select("entity_id", F.col("event_date").alias("period_end"), "code", r2("reported_value").alias("reported_value"))
+    return q.select("entity_id", "period_end", xml.alias("xml"))
+
+
+@query(
+    "ownership_files",
+    "S8 S7 F40",
+    f"""WITH q AS (SELECT *, month(period_end) = 3 AND entity_id % 4 = 1 AS bad FROM quarter_statements WHERE eps_diluted IS NOT NULL)
+SELECT CAST(year(period_end) AS INTEGER) AS year, count(*) AS records, count(*) FILTER (WHERE bad) AS malformed, count(*) FILTER (WHERE NOT bad) AS transactions, {rnd('sum(floor(shares_outstanding * eps_diluted * 100 + 0.5)) FILTER (WHERE NOT bad) / 100', 2)} AS reported_value FROM q GROUP BY 1""",
+)
+def ownership_files(t: Tables) -> DataFrame:
+    """Filings written to files by year and read back record by record; some close another element than they opened."""
+    path = new_folder(t.spark, "filings")
+    bad = (F.month("period_end") == 3) & (F.col("entity_id") % 4 == 1)
+    torn = F.when(bad, F.replace("xml", F.lit("</transactionShares>"), F.lit("</transactionShare>"))).otherwise(F.col("xml"))
+    ownership_filings(t).select(F.year("period_end").alias("year"), torn.alias("value")).write.partitionBy("year").text(path)
+    rows = SF.xml_records(t.spark, path, "ownershipDocument", P.OWNERSHIP)
+    paid = P.transactions(SF.sound(rows), ["year"]).groupBy("year").agg(F.count("*").alias("transactions"), (F.sum(F.floor(F.col("reported_value") * 100 + 0.5)) / 100).alias("v"))
+    return SF.quarantine(rows, ["year"]).join(paid, "year").select("year", "records", "malformed", "transactions", r2("v").alias("reported_value"))
+
+
+@query(
+    "calendar_files",
+    "S23",
+    "SELECT CAST(ts AS DATE) AS day, 1 AS records, CASE WHEN day(ts) = 13 THEN 1 ELSE 0 END AS malformed, CASE WHEN day(ts) = 13 THEN 0 ELSE count(*) END AS events FROM events GROUP BY 1, day(ts)",
+)
+def calendar_files(t: Tables) -> DataFrame:
+    """A calendar file per day, read whole; that of the thirteenth ends inside an event and is set aside."""
+    path = new_folder(t.spark, "calendars")
+    e = t.raw("events").withColumn("day", F.to_date("ts"))
+    event = F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), F.col("event_id"), F.lit("\r\nDTSTART:"), F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("Z\r\nSUMMARY:"), F.col("event_type"), F.lit("\r\nEND:VEVENT\r"))
+    torn = e.where(F.dayofmonth("day") == 13).select("day").distinct().select("day", F.lit("BEGIN:VEVENT\r\nUID:x\r").alias("value"))
+    e.select("day", event.alias("value")).unionByName(torn).repartition("day").write.partitionBy("day").text(path)
+    rows = SF.whole_texts(t.spark, path, "BEGIN:VEVENT", "END:VEVENT").withColumn("day", F.regexp_extract("file", "day=([0-9-]+)", 1).cast("date"))
+    found = P.calendar_events(SF.sound(rows), ["day"], "body").groupBy("day").agg(F.count("*").alias("events"))
+    counts = SF.quarantine(rows, ["day"]).join(found, "day", "left")
+    return counts.select("day", F.col("records").cast("int").alias("records"), F.col("malformed").cast("int").alias("malformed"), F.coalesce("events", F.lit(0)).alias("events"))
 
 
 @query("calendar_text", "S23", "SELECT event_id, 'Release, ' || event_type AS title, date_trunc('second', ts) AS event_at FROM events")

@@ -63,15 +63,23 @@ def instance_facts(df: DataFrame, keys: list[str], payload: str, concepts: list[
     return d.where(keep).select(*keys, "tag", "unit", F.col("ctx.period.startDate").cast("date").alias("start"), end.alias("end"), "val")
 
 
+# Element names of ownership filings.
+_V = "struct<value:string>"
+_AMOUNTS = f"struct<transactionShares:{_V},transactionPricePerShare:{_V},transactionAcquiredDisposedCode:{_V}>"
+_TRANSACTION = f"struct<securityTitle:{_V},transactionDate:{_V},transactionCoding:struct<transactionCode:string>,transactionAmounts:{_AMOUNTS}>"
+OWNERSHIP = f"issuer struct<issuerCik:string>, nonDerivativeTable struct<nonDerivativeTransaction:array<{_TRANSACTION}>>"
+
+
 def ownership_transactions(df: DataFrame, keys: list[str], payload: str, issuer: str) -> DataFrame:
     """Transactions of ownership filings whose issuer matches; joint owners stay one transaction."""
-    v = "struct<value:string>"
-    amounts = f"struct<transactionShares:{v},transactionPricePerShare:{v},transactionAcquiredDisposedCode:{v}>"
-    txn = f"struct<securityTitle:{v},transactionDate:{v},transactionCoding:struct<transactionCode:string>,transactionAmounts:{amounts}>"
-    schema = f"struct<issuer:struct<issuerCik:string>,nonDerivativeTable:struct<nonDerivativeTransaction:array<{txn}>>>"
-    d = df.select(*keys, F.col(issuer).cast("string").alias("_want"), F.from_xml(payload, schema).alias("x"))
+    d = df.select(*keys, F.col(issuer).cast("string").alias("_want"), F.from_xml(payload, OWNERSHIP).alias("x"))
     d = d.where(F.ltrim("x.issuer.issuerCik", F.lit("0")) == F.col("_want"))
-    d = d.select(*keys, F.posexplode("x.nonDerivativeTable.nonDerivativeTransaction").alias("position", "t"))
+    return transactions(d.select(*keys, F.col("x.nonDerivativeTable").alias("nonDerivativeTable")), keys)
+
+
+def transactions(filings: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per transaction of parsed ownership filings."""
+    d = filings.select(*keys, F.posexplode("nonDerivativeTable.nonDerivativeTransaction").alias("position", "t"))
     shares, price = finite("t.transactionAmounts.transactionShares.value"), finite("t.transactionAmounts.transactionPricePerShare.value")
     code = F.col("t.transactionCoding.transactionCode")
     return d.select(
