@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import audit as U
 from tidemark.operators import calendar as C
 from tidemark.operators import scores as S
 
@@ -36,3 +37,22 @@ def test_latest_completed_session_waits_for_the_close(spark):
     cal = C.exchange_sessions(spark, "2024-07-01", "2024-07-10")
     at = lambda ts: C.latest_completed_session(cal, F.lit(ts).cast("timestamp_ntz")).first()["session_date"]
     assert at("2024-07-03 16:59:00") == D(2024, 7, 2) and at("2024-07-03 17:00:00") == D(2024, 7, 3) and at("2024-07-05 10:00:00") == D(2024, 7, 3)
+
+
+def test_coverage_of_all_families_from_little_knowledge(spark):
+    day, clock = D(2024, 5, 3), F.lit("2024-05-03 21:00:00").cast("timestamp_ntz")
+    nothing = U.entity_coverage(spark.createDataFrame([(1,)], "entity_id int"), clock, F.lit(day))
+    assert {r.family: r.status for r in nothing.collect()} == dict.fromkeys(U.FAMILIES, "missing") | dict.fromkeys(("upcoming", "disclosures", "news", "guidance"), "unknown") | dict.fromkeys(("calls", "ownership", "macro"), "not_collected")
+    kind = "entity_id int, price_date date, feature_date date, audit_status string, audit_at timestamp_ntz, missing_fields int, statements int, analysts int, analyst_at timestamp_ntz, eps_periods int, revenue_periods int, inconsistent_periods int, estimates_at timestamp_ntz, estimate_days int, release_errors int, action_checks int, owner_checks int"
+    ago = lambda h: TS(2024, 5, 3, 21) - dt.timedelta(hours=h)
+    rows = [
+        (1, day, day, "current", ago(30), 0, 1, 3, ago(168), 1, 1, 0, ago(48), 2, 0, 1, 1), (2, day, D(2024, 5, 2), "current", ago(31), 0, 1, 2, ago(1), 1, 1, 1, ago(1), 1, 1, 0, 0),
+        (3, D(2024, 5, 2), None, "current", ago(-1), 0, 0, 0, None, 0, 0, 0, ago(99), 0, 0, 0, 0), (4, None, None, "current", ago(1), 2, 5, None, None, None, 1, None, None, None, None, None, None),
+    ]
+    got = {(r.entity_id, r.family): r.status for r in U.entity_coverage(spark.createDataFrame(rows, kind), clock, F.lit(day)).collect()}
+    want = {"market": ("current", "stale", "stale", "missing"), "financials": ("current", "stale", "missing", "partial"), "analyst": ("current", "partial", "missing", "missing"), "estimates": ("current", "partial", "stale", "partial"),
+            "revisions": ("partial", "building", "missing", "missing"), "guidance": ("unknown", "pending", "unknown", "unknown"), "actions": ("unavailable", "missing", "missing", "missing"), "ownership": ("unknown", "not_collected", "not_collected", "not_collected")}
+    for family, statuses in want.items():
+        assert tuple(got[i, family] for i in range(1, 5)) == statuses, family
+    total = {r.family: (r.covered, r.total) for r in U.coverage_summary(U.entity_coverage(spark.createDataFrame(rows, kind), clock, F.lit(day))).collect()}
+    assert total["market"] == (1, 4) and len(total) == 15

@@ -156,3 +156,50 @@ def usable_shares(rows: DataFrame, by: list[str], features: list[str]) -> DataFr
     """How many rows there are, and the share of them that states each feature."""
     share = lambda c: round_half_up(F.avg(F.col(c).isNotNull().cast("int")), 6).alias(f"usable_{c}")
     return rows.groupBy(*by).agg(F.count("*").alias("entities"), *[share(c) for c in features])
+
+
+#: Source families and their order, the statuses an entity can have in one, and those that count as covered.
+FAMILIES = ("market", "financials", "valuation", "earnings", "upcoming", "analyst", "estimates", "revisions", "disclosures", "news", "guidance", "actions", "calls", "ownership", "macro")
+COVERAGE = ("current", "observed", "partial", "building", "pending", "stale", "unknown", "unavailable", "not_collected", "missing")
+COVERED = ("current", "observed")
+
+
+def entity_coverage(inventory: DataFrame, clock: Column, market_date: Column, entity: str = "entity_id") -> DataFrame:
+    """(entity, family, status) for all fifteen families, from one inventory row per entity.
+
+    The inventory states dates, counts and outcomes of collection checks; a
+    column that it lacks is unknown or zero.  What was not found is ``missing``
+    only where a complete source would have it; where sources are incomplete it
+    is ``unknown``, and ``not_collected`` where nobody has looked.  Expressions
+    on a row: no join, no shuffle.
+    """
+    has = lambda c: F.col(c) if c in inventory.columns else F.lit(None)
+    n = lambda c: F.coalesce(has(c).cast("long"), F.lit(0))
+    fresh = lambda c, hours: recent(c, clock, hours) if c in inventory.columns else F.lit(False)
+    on_date = lambda c: F.coalesce(has(c).cast("date") == market_date, F.lit(False))
+    audited = F.coalesce(has("audit_status") == "current", F.lit(False)) & fresh("audit_at", 30)
+    rules = {
+        "market": F.when(on_date("price_date") & on_date("feature_date"), "current").when(has("price_date").isNotNull(), "stale").otherwise("missing"),
+        "financials": F.when(audited & (n("missing_fields") > 0), "partial").when(audited, "current").when(n("statements") > 0, "stale").otherwise("missing"),
+        "valuation": F.when(on_date("valuation_date"), "current").when(has("valuation_date").isNotNull(), "stale").otherwise("missing"),
+        "earnings": F.when(has("reported_date").isNotNull(), "observed").otherwise("missing"),
+        "upcoming": F.when(has("calendar_status") == "current", "current").otherwise("unknown"),
+        "analyst": F.when((n("analysts") >= 3) & fresh("analyst_at", 7 * 24), "current").when(n("analysts") > 0, "partial").otherwise("missing"),
+        "estimates": F.when((n("eps_periods") > 0) & (n("revenue_periods") > 0) & (n("inconsistent_periods") == 0) & fresh("estimates_at", 48), "current")
+        .when((n("eps_periods") > 0) | (n("revenue_periods") > 0), "partial").when(has("estimates_at").isNotNull(), "stale").otherwise("missing"),
+        "revisions": F.when(n("estimate_days") >= 2, "partial").when(n("estimate_days") > 0, "building").otherwise("missing"),
+        "disclosures": F.when(n("reports_90d") > 0, "observed").otherwise("unknown"),
+        "news": F.when(n("articles_90d") > 0, "observed").otherwise("unknown"),
+        "guidance": F.when(n("guidance_90d") > 0, "partial").when(n("releases_pending") + n("release_errors") > 0, "pending").otherwise("unknown"),
+        "actions": F.when((n("actions") > 0) | has("total_return_date").isNotNull() | (n("action_checks_ok") > 0), "partial").when(n("action_checks") > 0, "unavailable").otherwise("missing"),
+        "calls": F.when(n("call_documents") > 0, "partial").when(n("call_checks") > 0, "unknown").otherwise("not_collected"),
+        "ownership": F.when(n("holdings") + n("insiders") > 0, "partial").when(n("insiders_pending") > 0, "pending").when(n("owner_checks") > 0, "unknown").otherwise("not_collected"),
+        "macro": F.when(n("fresh_series") > 0, "partial").when(n("macro_checks") > 0, "unavailable").otherwise("not_collected"),
+    }
+    return inventory.select(entity, F.inline(F.array(*[F.struct(F.lit(f).alias("family"), rules[f].alias("status")) for f in FAMILIES])))
+
+
+def coverage_summary(coverage: DataFrame) -> DataFrame:
+    """Per family the entities of each status, those covered and all."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in COVERAGE]
+    return coverage.groupBy("family").agg(*counts, F.count_if(F.col("status").isin(*COVERED)).alias("covered"), F.count("*").alias("total"))

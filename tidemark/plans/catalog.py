@@ -1,3 +1,3 @@
 """Imports every plan module."""
 
-from tidemark.plans import audits, earnings_plan, evaluation, evidence_plan, modelling, observations, prices, ranking, routines, scoring, statements, streams, texts  # noqa: F401
+from tidemark.plans import audits, coverage_plan, earnings_plan, evaluation, evidence_plan, modelling, observations, prices, ranking, routines, scoring, statements, streams, texts  # noqa: F401

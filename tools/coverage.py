@@ -15,7 +15,6 @@ from tidemark.plans.registry import load_all  # noqa: E402
 ELSEWHERE = {
     "S2": "a plain scan (`Tables.raw`)", "S15": "`sources.sinks.replace_entities`, tests",
     "P15": "`functions.text.normalize_ticker`, tests", "P20": "`DataFrame.select` / `Column.dropFields`, no wrapper", "F1": "`operators.calendar.exchange_calendar`, tests against published closures", "T7": "`operators.opinions.estimate_revisions` (target pick)",
-    "D2": "`features.session_labels` and `calendar.session_targets` as DataFrame functions instead of a table function",
 }
 
 
