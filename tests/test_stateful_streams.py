@@ -56,6 +56,16 @@ def test_late_runs_join_sessions_and_move_the_timer(spark, tmp_path):
     assert sorted((r.k, r.session_start, r.runs) for r in out.collect()) == [(1, _at(0), 3), (2, _at(7), 1)]
 
 
+def test_sessions_by_event_time_take_no_python_and_split_at_the_gap(spark, tmp_path):
+    gap = dt.timedelta(minutes=195)
+    _put(spark, tmp_path, [(1, 1, 0, 0), (2, 1, 0, 3.25), (3, 2, 0, 0), (4, 2, 0, 3.2499), (5, None, 0, 1), (6, 9, 0, 90)] + [(7 + i, 3, 0, 4 * (i % 10)) for i in range(500)])
+    stream = J.overdue_runs(_stream(spark, tmp_path), {"k": "int"}, "ts")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan and "TransformWithState" not in plan
+    got = {(r.k, r.session_start, r.overdue_from - r.last_started_at, r.runs) for r in _drained(stream, tmp_path).collect()}
+    assert got == {(1, _at(0), gap, 1), (1, _at(3.25), gap, 1), (2, _at(0), gap, 2), (None, _at(1), gap, 1)} | {(3, _at(4 * i), gap, 50) for i in range(10)}
+
+
 def test_silence_by_the_clock_needs_no_row_at_all(spark, tmp_path):
     _put(spark, tmp_path, [(1, 1, 0, 0), (2, 1, 0, 0.0001)])
     stream = J.overdue_runs(_stream(spark, tmp_path), {"k": "int"}, "ts", gap="3 seconds", clock=True)

@@ -62,7 +62,7 @@ def stream_rolling_counts(t: Tables) -> DataFrame:
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 195 MINUTE AS overdue_from, count(*) AS runs FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 195 MINUTE <= (SELECT max(ts) - INTERVAL 30 HOUR FROM events)""",
 )
 def stream_run_sessions(t: Tables) -> DataFrame:
-    """Each user's events stand for the runs of a pipeline; every silence of 195 minutes is reported by a timer."""
+    """Each user's events stand for the runs of a pipeline; every silence of 195 minutes is reported once the watermark has passed it."""
     d = _drain(t, J.overdue_runs(event_stream(t), {"user_id": "long"}, "ts"), "sessions")
     return d.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("overdue_from").cast("timestamp_ntz").alias("overdue_from"), "runs")
 

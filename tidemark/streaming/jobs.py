@@ -4,8 +4,8 @@ State is keyed, so Spark spreads it over the shuffle partitions.  Windowed and
 deduplicating jobs drop state behind the watermark, which must be longer than
 the longest lateness that still counts.  Change capture keeps one value per key
 and forgets keys that were silent for longer than a bound; the overdue monitor
-keeps open sessions only and acts by timers.  Both need the state store that
-``stateful`` chooses when they are started.  Sources bound a micro-batch
+keeps open sessions only.  Both need the state store that ``stateful`` chooses
+when they are started.  Sources bound a micro-batch
 (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``), which also bounds the rows
 of one key in it.
 """
@@ -75,10 +75,10 @@ def _seconds(interval: str) -> int:
 
 
 class _Overdue(StatefulProcessor):
-    """Open activity sessions of a key as (start, last, runs), and a timer at the end of each."""
+    """Open activity sessions of a key as (start, last, runs), and a timer by the clock at the end of each."""
 
-    def __init__(self, names: list[str], gap: int, by_clock: bool):
-        self._row, self._gap, self._by_clock = Row(*names, "session_start", "overdue_from", "runs", "last_started_at"), gap * 1_000_000, by_clock
+    def __init__(self, names: list[str], gap: int):
+        self._row, self._gap = Row(*names, "session_start", "overdue_from", "runs", "last_started_at"), gap * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -91,7 +91,7 @@ class _Overdue(StatefulProcessor):
         self._open.put(sessions) if sessions else self._open.clear()
 
     def handleInputRows(self, key, rows, timerValues):
-        now = timerValues.getCurrentProcessingTimeInMs() if self._by_clock else None
+        now = timerValues.getCurrentProcessingTimeInMs()
         before = self._sessions()
         merged: list[tuple[int, int, int, int]] = []
         for start, last, runs, due in sorted([*before, *((int(r.at), int(r.at), 1, -1) for r in rows)]):
@@ -100,8 +100,8 @@ class _Overdue(StatefulProcessor):
                 merged[-1] = (s, max(m, last), n + runs, d if last <= m else due)
             else:
                 merged.append((start, last, runs, due))
-        # A session that grew is due anew: the gap after its last run, or after its arrival by the clock; timers know milliseconds.
-        merged = [(s, m, n, d if (s, m, n, d) in before else -(-((1000 * now if self._by_clock else m) + self._gap) // 1000)) for s, m, n, d in merged]
+        # A session that grew is due anew, the gap after its arrival; timers know milliseconds.
+        merged = [(s, m, n, d if (s, m, n, d) in before else -(-(1000 * now + self._gap) // 1000)) for s, m, n, d in merged]
         old, new = {x[3] for x in before}, {x[3] for x in merged}
         for due in old - new:
             self._handle.deleteTimer(due)
@@ -122,21 +122,31 @@ class _Overdue(StatefulProcessor):
 def overdue_runs(runs: DataFrame, by: dict[str, str], time: str, gap: str = "195 minutes", lateness: str = LATENESS, clock: bool = False) -> DataFrame:
     """A row for each activity session that ended in silence: (*by, session_start, overdue_from, runs, last_started_at).
 
-    Runs less than ``gap`` apart are one session.  A timer at a session's last
-    run plus ``gap`` reports it, without a next row of its key: once the
-    watermark, which the rows of any key move on, has passed it, or, by
-    ``clock``, once the machine's time is ``gap`` past the arrival of that run,
-    even if no row comes at all.  A run that comes in time extends its session,
-    or joins two, and moves the timer; only open sessions are held.  A null
-    time is no run; null keys are a key.  Start it inside ``stateful``.
+    Runs less than ``gap`` apart are one session.  It is reported without a
+    next row of its key: once the watermark, which the rows of any key move
+    on, has passed its last run plus ``gap``, or, by ``clock``, by a timer once
+    the machine's time is ``gap`` past the arrival of that run, even if no row
+    comes at all.  A run that comes in time extends its session, or joins two;
+    only open sessions are held.  A null time is no run; null keys are a key.
+    Start it inside ``stateful``.
+
+    By event time these are Spark's session windows, one state row per open
+    session, whatever their number in a key.
     """
-    kinds = ", ".join(f"{n} {k}" for n, k in by.items())
-    found = "session_start long, overdue_from long, runs long, last_started_at long"
     d = runs.where(F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp"))
-    d = d if clock else d.withWatermark(time, lateness)
-    d = d.select(*by, F.unix_micros(time).alias("at"), *([] if clock else [time]))
-    out = d.groupBy(*by).transformWithState(_Overdue(list(by), _seconds(gap), clock), f"{kinds}, {found}", "append", "ProcessingTime" if clock else "EventTime")
-    return out.select(*by, *[F.timestamp_micros(c).alias(c) if c != "runs" else F.col(c) for c in ("session_start", "overdue_from", "runs", "last_started_at")])
+    micros = _seconds(gap) * 1_000_000
+    found = ("session_start", "overdue_from", "runs", "last_started_at")
+    if clock:
+        kinds = ", ".join(f"{n} {k}" for n, k in by.items())
+        out = d.select(*by, F.unix_micros(time).alias("at")).groupBy(*by).transformWithState(
+            _Overdue(list(by), _seconds(gap)), f"{kinds}, session_start long, overdue_from long, runs long, last_started_at long", "append", "ProcessingTime"
+        )
+        return out.select(*by, *[F.timestamp_micros(c).alias(c) if c != "runs" else F.col(c) for c in found])
+    # Windows that touch are one session in Spark; a run exactly the gap later begins another here, so they end a microsecond early.
+    window = F.session_window(time, f"{micros - 1} microseconds")
+    out = d.withWatermark(time, lateness).groupBy(*by, window.alias("_w")).agg(F.count("*").alias("runs"), F.max(time).alias("last_started_at"))
+    start, end = F.col("_w.start").alias(found[0]), F.timestamp_micros(F.unix_micros("last_started_at") + micros).alias(found[1])
+    return out.select(*by, start, end, "runs", "last_started_at")
 
 
 class _Versions(StatefulProcessor):
