@@ -57,6 +57,16 @@ def test_events_keep_first_contents_and_set_malformed_aside(spark):
     assert {r.fingerprint for r in kept} == {hashlib.sha256(p.encode()).hexdigest() for p in ('{"a":1,"b":2}', '{"a":1,"b":3}')}
 
 
+def test_contents_are_counted_and_formed_once(spark):
+    rows = [(1, '{"a":1,"b":"1.0 -0"}', 3), (1, '{"b":"1.0 -0", "a":1.0}', 1), (1, '{"a":-0.0,"b":3}', 2), (1, '{"b":3,"a":0}', 5), (1, '{"a":7}', 5), (2, "{oops", 1), (2, None, 1)]
+    observed = spark.createDataFrame(rows, "record int, payload string, hour int").repartition(3)
+    kept = V.first_evidence(V.evidence_events(observed), ["record"], ["hour"], "observations")
+    assert sorted((r.record, r.hour, r.payload, r.observations) for r in kept.collect()) == [(1, 1, '{"a":1,"b":"1.0 -0"}', 2), (1, 2, '{"a":0,"b":3}', 2), (1, 5, '{"a":7}', 1)]
+    # Only one operator of the plan computes forms, and rows are not filtered by them.
+    forms = [x for x in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "regexp_extract_all" in x]
+    assert len(forms) == 1 and "Project" in forms[0]
+
+
 def test_guidance_revisions_have_ids_of_their_own(spark):
     kind = "id string, event_date date, eps_method string, eps_guidance_low string, notes string, captured_at timestamp_ntz"
     day = dt.date(2024, 2, 1)

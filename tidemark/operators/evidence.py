@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators.latest import best_row
 
 #: Characters of a document that are kept, of its title, and of a digest in a record id.
 KEPT, TITLE, SHORT = 200_000, 200, 24
 _STRING_OR_REST = r'"(?:[^"\\]|\\.)*"|[^"]+'
 _NUMBER_OR_REST = r"-?[0-9][0-9.eE+-]*|[^0-9-]+|-"
+#: What every number has that is not in its one form already, and some texts of strings.
+_NUMBER_TO_FORM = r"[0-9][.eE]|-0"
 
 
 def _number(x: Column) -> Column:
@@ -28,11 +29,14 @@ def canonical(payload: Column) -> Column:
     ``payload`` is JSON text or a variant.  Text that is no JSON gives null, an
     explicit null the text ``null``; what follows the first value is left out.
     The order of arrays counts.  Numbers with an exponent are read as doubles.
+    Only texts with a fraction, an exponent or a negative zero are cut into
+    numbers and strings; the others are in their form once they are sorted.
     """
     sorted_text = F.to_json(F.try_parse_json(payload.cast("string")))
     parts = F.regexp_extract_all(sorted_text, F.lit(f"({_STRING_OR_REST})"), F.lit(1))
     numbers = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(f"({_NUMBER_OR_REST})"), F.lit(1)), lambda x: F.when(x.rlike("[0-9]"), _number(x)).otherwise(x)), "")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"') | ~p.rlike("[0-9]"), p).otherwise(numbers(p))), "")
+    formed = F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"') | ~p.rlike("[0-9]"), p).otherwise(numbers(p))), "")
+    return F.when(sorted_text.rlike(_NUMBER_TO_FORM), formed).otherwise(sorted_text)
 
 
 def fingerprint(payload: Column) -> Column:
@@ -59,12 +63,18 @@ def evidence_events(observed: DataFrame, payload: str = "payload") -> DataFrame:
     }).drop("_form")
 
 
-def first_evidence(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def first_evidence(events: DataFrame, keys: list[str], order: list[str], observations: str | None = None) -> DataFrame:
     """The first observation of each content of a record: a payload that comes again, however spelled, is no new evidence.
 
-    Malformed rows and those without payload are left out.
+    ``observations`` names a column for the number of rows that state the
+    content.  Malformed rows and those without payload are left out; they are
+    dropped as one group per key, since a filter of rows would be moved below
+    the canonical form and compute it twice.
     """
-    return best_row(events.where("fingerprint IS NOT NULL"), [*keys, "fingerprint"], [F.col(c) for c in order], "min")
+    names = [*keys, "fingerprint"]
+    row = F.struct(*[F.col(c) for c in events.columns if c not in names])
+    first = events.groupBy(*names).agg(F.min_by(row, F.struct(*order)).alias("_row"), F.count("fingerprint").alias("_n")).where("_n > 0")
+    return first.select(*names, "_row.*", *([F.col("_n").alias(observations)] if observations else [])).select(*events.columns, *([observations] if observations else []))
 
 
 def revision_id(source_id: Column, payload: Column) -> Column:

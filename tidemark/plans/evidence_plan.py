@@ -32,10 +32,8 @@ _EVENT_FORM = """'{"cents":' || CAST(floor(value * 100 + 0.5) AS BIGINT) || ',"p
   SELECT *, row_number() OVER (PARTITION BY user_id, form ORDER BY ts, event_id) AS i, 2 * count(*) OVER (PARTITION BY user_id, form) AS n, sha256(form) AS fingerprint FROM (SELECT *, {_EVENT_FORM} AS form FROM events WHERE event_id % 40 <> 7)) WHERE i = 1""",
 )
 def evidence_events(t: Tables) -> DataFrame:
-    seen = V.evidence_events(event_payloads(t))
-    kept = V.first_evidence(seen, ["user_id"], ["observed_at", "event_id"])
-    often = seen.where("fingerprint IS NOT NULL").groupBy("user_id", "fingerprint").agg(F.count("*").alias("observations"))
-    return kept.select("user_id", "fingerprint", *V.fields(F.col("payload"), {"k": ("$.props.k", "long")}), "event_id").join(often, ["user_id", "fingerprint"])
+    kept = V.first_evidence(V.evidence_events(event_payloads(t)), ["user_id"], ["observed_at", "event_id"], "observations")
+    return kept.select("user_id", "fingerprint", *V.fields(F.col("payload"), {"k": ("$.props.k", "long")}), "event_id", "observations")
 
 
 @query("malformed_evidence", "S20", "SELECT event_type, 2 * count(*) AS observations, 2 * count(*) FILTER (WHERE event_id % 40 = 7) AS malformed FROM events GROUP BY 1")
