@@ -2,11 +2,13 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontamination, licenses, minhash, secrets
 
@@ -227,6 +229,22 @@ def test_licences_in_paragraphs_and_within_lines(spark):
     assert licenses.license_scan(spark.createDataFrame([(1, code + "\n\n" + licenses.TEMPLATES["MIT"][1][:300] + "\n\n" + code)], "doc_id long, text string")).first().n_matches == 0
 
 
+def test_long_texts_with_a_licence_line_cost_little_and_runs_stay(spark, monkeypatch):
+    line, apache = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["Apache-2.0"][1]
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(20_000))
+    start = time.monotonic()
+    got = licenses.license_scan(spark.createDataFrame([(1, f"{long}\n{line}\n{long}")], "doc_id long, text string")).first()
+    assert (got.n_matches, got.licenses) == (1, ["MIT"])
+    assert time.monotonic() - start < 60  # words computed again for each pair took minutes
+    parts = [line, apache, *re.split(r"(?<=\. )", apache), "Released under", "the MIT License.", "see \0 this", "Licensed under CC BY-NC 4.0.", "other words of a text"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "\n", "\n\n", "\0"]) for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pruned = licenses.license_scan(docs).orderBy("doc_id").collect()
+    monkeypatch.setattr(licenses, "_has_room", lambda *_: F.lit(True))
+    assert pruned == licenses.license_scan(docs).orderBy("doc_id").collect()
+
+
 # --- secrets ----------------------------------------------------------------
 
 KEY = "AKIA" + "ABCDEFGH12345678"

@@ -67,8 +67,12 @@ def _words(unit: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
-    return F.array_distinct(pairs)
+    """Distinct pairs of neighbours; the words are computed once, not once for each pair."""
+
+    def pairs(found: Column) -> Column:
+        return F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(found, i + 1)))
+
+    return F.array_distinct(_bound(words, pairs))
 
 
 def _matches(grams: Column, templates: dict[str, tuple[str, ...]], threshold: float) -> Column:
@@ -119,7 +123,30 @@ def _level(grams: Column, own: Column, threshold: float) -> Column:
     return F.array_max(F.transform(own["templates"], lambda t: F.when(_dice(grams, t) >= threshold, F.size(t["own"])).otherwise(0)))
 
 
-def _phrases(text: Column, own: Column, threshold: float) -> Column:
+def _unit_level(unit: Column, own: Column, threshold: float, needed: list[tuple[str, ...]]) -> Column:
+    """``_level`` of a line or block, whose bigrams are built only if it has the words of some template."""
+    return F.when(_could_hold(unit, needed), _bound(_bigrams(_words(unit)), lambda g: _level(g, own, threshold))).otherwise(0)
+
+
+#: Stands for a line or block that is a template, where a run cannot go on.
+_END = "\0"
+
+
+def _has_room(text: Column, own: Column, t: Column, threshold: float, needed: list[tuple[str, ...]]) -> Column:
+    """Whether some part of the text between lines and blocks that are the template or a longer one shares enough bigrams for a run.
+
+    A run consists of consecutive phrases of such a part, so its bigrams are among those of the part.
+    """
+
+    def left(unit: Column, parts: Column) -> Column:
+        return F.when(_unit_level(unit, own, threshold, needed) >= F.size(t["own"]), F.array(F.lit(_END))).otherwise(parts)
+
+    lines = lambda block: F.flatten(F.transform(F.split(block, "\n"), lambda x: left(x, F.array(x))))
+    blocks = F.transform(F.split(F.replace(text, F.lit(_END), F.lit(" ")), r"\n\s*\n"), lambda x: left(x, lines(x)))
+    return F.exists(F.split(F.array_join(F.flatten(blocks), "\n"), r"\x00"), lambda part: F.size(F.array_intersect(_bigrams(_words(part)), t["own"])) >= t["low"])
+
+
+def _phrases(text: Column, own: Column, threshold: float, needed: list[tuple[str, ...]]) -> Column:
     """(words, level) of each phrase in order, the level that of its line or block.
 
     Phrases end at line ends, at marks beside white space, before a template's
@@ -130,11 +157,8 @@ def _phrases(text: Column, own: Column, threshold: float) -> Column:
         marked = F.regexp_replace(F.regexp_replace(F.lower(line), own["first"], F.lit("\n$0")), own["last"], F.lit("$0\n"))
         return F.transform(F.split(marked, r"\n|(?<=[^\p{L}\p{N}\s])\s+|\s+(?=[^\p{L}\p{N}\s])"), _words)
 
-    def level(unit: Column) -> Column:
-        return _bound(_bigrams(_words(unit)), lambda g: _level(g, own, threshold))
-
     def levelled(unit: Column, above: Column, use) -> Column:
-        return _bound(F.greatest(above, level(unit)), use)
+        return _bound(F.greatest(above, _unit_level(unit, own, threshold, needed)), use)
 
     def lines(block: Column, above: Column) -> Column:
         return F.flatten(F.transform(F.split(block, "\n"), lambda x: levelled(x, above, lambda n: F.transform(cut(x), lambda w: F.struct(w.alias("words"), n.alias("level"))))))
@@ -189,17 +213,19 @@ def _passages(text: Column, templates: dict[str, tuple[str, ...]], threshold: fl
     """(license, dice) of the runs of phrases that are a template and lie in no line, block or text that is it or a longer one of its licence.
 
     A run that reaches the threshold shares as many bigrams with its template
-    as the lower size bound, so a text without as many is passed over.
+    as the lower size bound, so a text without as many is passed over, and so
+    is one that has them only in lines and blocks that are the template.
     """
     rows, every, keys = _wanted(templates, threshold)
+    needed = _needed(templates, threshold)
     none = F.array().cast("array<struct<license:string,dice:double>>")
 
     def search(grams: Column, hits: Column, own: Column) -> Column:
         def missing(level: Column) -> Column:
-            return F.filter(own["templates"], lambda t: (F.size(t["own"]) > level) & (F.size(F.array_intersect(hits, t["own"])) >= t["low"]))
+            return F.filter(own["templates"], lambda t: (F.size(t["own"]) > level) & (F.size(F.array_intersect(hits, t["own"])) >= t["low"]) & _has_room(text, own, t, threshold, needed))
 
         def run(left: Column) -> Column:
-            return F.when(F.size(left) > 0, _bound(_phrases(text, own, threshold), lambda p: F.when(F.size(p) > 0, _runs(p, left, own, threshold)).otherwise(none))).otherwise(none)
+            return F.when(F.size(left) > 0, _bound(_phrases(text, own, threshold, needed), lambda p: F.when(F.size(p) > 0, _runs(p, left, own, threshold)).otherwise(none))).otherwise(none)
 
         return _bound(_bound(_level(grams, own, threshold), missing), run)
 
@@ -228,10 +254,20 @@ def _needed(templates: dict[str, tuple[str, ...]], threshold: float) -> list[tup
     return sorted(row for row in rows if len(row) == 1 or (row[0],) not in rows)
 
 
-def _could_hold(lowered: Column, needed: list[tuple[str, ...]]) -> Column:
-    """Whether a lower-cased text has the words of one row, be they parts of longer ones."""
-    found = [reduce(lambda a, b: a & b, [F.contains(lowered, F.lit(w)) for w in row]) for row in needed]
-    return reduce(lambda a, b: a | b, found)
+def _could_hold(unit: Column, needed: list[tuple[str, ...]]) -> Column:
+    """Whether a text has the words of one row."""
+    array = lambda words: F.array(*[F.lit(w) for w in sorted(words)])
+    alone, pairs = {row[0] for row in needed if len(row) == 1}, [row for row in needed if len(row) == 2]
+
+    def has(words: Column) -> Column:
+        found = F.arrays_overlap(words, array(alone)) if alone else F.lit(False)
+        if not pairs:
+            return found
+        # Few texts have the longer word of a pair, and only they are asked for each.
+        each = reduce(lambda a, b: a | b, [F.array_contains(words, x) & F.array_contains(words, y) for x, y in pairs])
+        return found | (F.arrays_overlap(words, array({x for x, _ in pairs})) & each)
+
+    return _bound(F.split(F.lower(unit), r"[^\p{L}\p{N}]+"), has)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,11 +285,11 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
     smallest = min(bounds(len(template_bigrams(t)), threshold)[0] for texts in templates.values() for t in texts)
     # A unit of n bigrams has at least n + 1 words, so 2 n + 1 characters.
     needed = _needed(templates, threshold)
-    likely = F.filter(units(text), lambda u: (F.length(u) >= 2 * smallest + 1) & _bound(F.lower(u), lambda low: _could_hold(low, needed)))
+    likely = F.filter(units(text), lambda u: (F.length(u) >= 2 * smallest + 1) & _could_hold(u, needed))
     found = F.flatten(F.transform(likely, lambda u: _bound(_words(u), lambda w: _bound(_bigrams(w), lambda g: _matches(g, templates, threshold)))))
     found = F.concat(found, _passages(text, templates, threshold))
     # Most texts have none of the words and are not cut into units at all.
-    found = F.when(_bound(F.lower(text), lambda low: _could_hold(low, needed)), found).otherwise(F.array().cast("array<struct<license:string,dice:double>>"))
+    found = F.when(_could_hold(text, needed), found).otherwise(F.array().cast("array<struct<license:string,dice:double>>"))
     best = F.element_at(F.array_sort(F.transform("found", lambda x: F.struct((-x["dice"]).alias("minus"), x["license"].alias("license")))), 1)
     scanned = docs.select(F.col(id_col).alias("doc_id"), found.alias("found"))
     return scanned.select("doc_id", F.size("found").cast("long").alias("n_matches"), F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"]))).alias("licenses"), F.when(F.size("found") > 0, best["license"]).alias("best_license"), F.when(F.size("found") > 0, -best["minus"]).alias("best_dice"))
