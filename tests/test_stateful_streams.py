@@ -1,6 +1,7 @@
 """Timers, dropped state and restarts of the stateful streaming jobs."""
 
 import datetime as dt
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -90,6 +91,21 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
     assert sorted(r.event_id for r in _drained(job(), tmp_path).collect()) == [1, 2, 3, 4, 7, 8, 9]
 
 
+def test_versions_by_a_lag_equal_those_by_state(spark, tmp_path):
+    rng = random.Random(2)
+    for n in range(3):  # late rows, ties, nulls and keys that fall silent
+        _put(spark, tmp_path, [(100 * n + i, rng.choice([None, 1, 2, 3]), rng.choice([None, 0, 1]), rng.choice([None, *range(8 * n, 8 * n + 14)])) for i in range(40)])
+    _put(spark, tmp_path, [(999, 3, 0, 60), (998, 1, 1, 21), (997, 2, None, 59)])
+    want = _drained(J.change_versions(_stream(spark, tmp_path), {"k": "int"}, F.col("x"), "ts", "event_id", idle="5 hours", lateness="6 hours"), tmp_path)
+    write = J.change_versions_writer(f"{tmp_path}/versions", f"{tmp_path}/held", ["k"], F.col("x"), "ts", "event_id", idle="5 hours", lateness="6 hours")
+    for _ in range(2):  # a repeated run of all batches adds nothing
+        _stream(spark, tmp_path).writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/again{_}").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/versions").select(want.columns)
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert shown(got) == shown(want) and got.count() > 20
+    assert {r.k for r in spark.read.parquet(f"{tmp_path}/held/batch=3").collect()} == {2, 3}
+
+
 def test_the_store_is_chosen_for_the_start_only(spark):
     before = spark.conf.get(J._STORE)
     with J.stateful(spark):

@@ -15,7 +15,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -198,6 +198,43 @@ def change_versions(df: DataFrame, keys: dict[str, str], state: Column, time: st
     return out.withColumn("state", F.col("state").cast("long"))
 
 
+def change_versions_writer(path: str, held: str, keys: list[str], state: Column, time: str, identity: str, idle: str = "400 days", lateness: str = LATENESS):
+    """``foreachBatch`` sink: the rows that ``change_versions`` emits, by a lag inside each micro-batch.
+
+    Versions of batch n go to ``path/batch=n``, the last state of each key that
+    is not idle behind the watermark to ``held/batch=n``, which the next batch
+    reads.  A repeated batch overwrites both, so the sink is idempotent.  A
+    micro-batch is one sort by key, without Python or a timer per key.
+    """
+    late, quiet = _seconds(lateness) * 1_000_000, _seconds(idle) * 1_000_000
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        d = batch.where(F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp"))
+        d = d.select(*keys, F.col(identity), F.col(time), F.unix_micros(time).alias("_at"), state.cast("long").alias("state"), F.lit(False).alias("_held"))
+        newest = None
+        if batch_id:
+            before = spark.read.parquet(f"{held}/batch={batch_id - 1}")
+            newest = spark.read.parquet(f"{held}_newest/batch={batch_id - 1}").first()["at"]
+            if newest is not None:
+                # Spark's watermark knows milliseconds.
+                d = d.where(F.col("_at") > newest // 1000 * 1000 - late)
+        newest = max((x for x in (newest, d.agg(F.max("_at")).first()[0]) if x is not None), default=None)
+        spark.createDataFrame([(newest,)], "at long").write.mode("overwrite").parquet(f"{held}_newest/batch={batch_id}")
+        if batch_id:
+            d = d.unionByName(before.select(*keys, F.lit(None).cast(d.schema[identity].dataType).alias(identity), F.timestamp_micros("_at").alias(time), "_at", "state", F.lit(True).alias("_held")))
+        # The state held comes first in its key, whatever its time; a late row leaves the newest time as it is.
+        w = Window.partitionBy(*keys).orderBy(F.col("_held").desc(), "_at", identity)
+        seen = d.select("*", F.lag(F.struct("state")).over(w).alias("_last"), F.max("_at").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_seen"))
+        new = F.col("_last").isNull() | ~F.col("_last.state").eqNullSafe(F.col("state")) | (F.col("_at") - F.col("_seen") > quiet)
+        seen.where(~F.col("_held") & new).select(*keys, identity, time, "state").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        last = d.groupBy(*keys).agg(F.max_by(F.struct("state"), F.struct(~F.col("_held"), "_at", identity)).alias("_row"), F.max("_at").alias("_at"))
+        last = last.select(*keys, F.col("_row.state").alias("state"), "_at")
+        (last if newest is None else last.where(F.col("_at") + quiet >= newest // 1000 * 1000 - late)).write.mode("overwrite").parquet(f"{held}/batch={batch_id}")
+
+    return write
+
+
 def matched_guidance(guidance: DataFrame, estimates: DataFrame, days: int = 7, lateness: str = LATENESS) -> DataFrame:
     """Each guidance row with the estimates captured in the days before its publication."""
     g = guidance.withWatermark("published_at", lateness).alias("g")
