@@ -171,6 +171,30 @@ def test_reordered_passages_are_found(spark):
     assert decontamination.matches(docs, benchmark.limit(0)).count() == 0 and decontamination.clean(docs.limit(0), benchmark).count() == 0
 
 
+def test_work_of_a_search_follows_the_words(monkeypatch):
+    """A long text that shares a long passage is hashed a few times over, not once for every word of a run's length."""
+    rng = np.random.default_rng(5)
+    doc = rng.integers(1, 2**60, 20_000).astype(np.uint64)
+    test = np.concatenate((doc[700:1000], doc[300:600]))
+    worked = []
+    monkeypatch.setattr(decontamination, "mixed", lambda x: worked.append(len(x)) or common.mixed(x))
+    if hasattr(decontamination, "sums"):
+        plain = decontamination.sums
+        monkeypatch.setattr(decontamination, "sums", lambda h: worked.append(len(h)) or plain(h))
+    assert sorted(decontamination.tiles(doc, test)) == [(300, 300, 300), (700, 0, 300)]
+    assert sum(worked) < 10 * len(doc)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "B", "b.", "..", "(x)", "x", "é", "\x1c", "\0", "a\0", "abcdefgh", "abcdefghi", "Q" * 17, "q" * 17 + "!", "q" * 16 + "r", " ", "\t", "\r\n", "\x0b"]), max_size=20), max_size=6))
+def test_words_of_many_texts_at_once(parts):
+    texts = ["".join(p).encode() for p in parts]
+    h, ends = decontamination.tokens(texts)
+    want = [[bare for w in t.lower().split() if (bare := w.strip(b".,;:!?\"'()[]{}<>*"))] for t in texts]
+    assert np.diff(ends).tolist() == [len(w) for w in want]
+    assert len(set(zip(h.tolist(), sum(want, [])))) == len(set(h.tolist())) == len(set(sum(want, [])))
+
+
 # --- licences ---------------------------------------------------------------
 
 
